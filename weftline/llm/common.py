@@ -47,3 +47,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     """
     big, small = groups.where(F.col(size) >= hot), groups.where(F.col(size) < hot)
     return rows.join(F.broadcast(big), keys).unionByName(rows.join(small.hint("shuffle_hash"), keys))
+
+
+def salted_pairs(members: DataFrame, keys: list[str], size: str, hot: int = HOT) -> DataFrame:
+    """All ordered pairs (columns a_*, b_*) of rows with equal keys; a group of n rows makes n / hot tasks.
+
+    The a side of a group is cut into ceil(n / hot) salts, the b side is repeated for each of them.
+    """
+    salts = F.greatest(F.lit(1), F.ceil(F.col(size) / hot)).cast("int")
+    rest = [c for c in members.columns if c not in {*keys, size}]
+    a = members.select(*keys, (F.pmod(F.xxhash64(*rest), salts)).cast("int").alias("salt"), *(F.col(c).alias(f"a_{c}") for c in rest))
+    b = members.select(*keys, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *(F.col(c).alias(f"b_{c}") for c in rest))
+    return a.join(b, [*keys, "salt"]).drop("salt")

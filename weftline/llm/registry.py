@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["format_copies"]
+MODULES = ["lookalikes", "format_copies"]
 
 
 def _all(name: str) -> dict:
