@@ -59,3 +59,19 @@ def salted_pairs(members: DataFrame, keys: list[str], size: str, hot: int = HOT)
     a = members.select(*keys, (F.pmod(F.xxhash64(*rest), salts)).cast("int").alias("salt"), *(F.col(c).alias(f"a_{c}") for c in rest))
     b = members.select(*keys, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *(F.col(c).alias(f"b_{c}") for c in rest))
     return a.join(b, [*keys, "salt"]).drop("salt")
+
+
+#: Rows up to which a side, once stored and counted, is broadcast; at a few dozen bytes a row some MB.
+SMALL_ROWS = 100_000
+
+
+def join_small(rows: DataFrame, few: DataFrame, keys: list[str], size: str | None = None, swap: bool = False) -> DataFrame:
+    """rows joined with few, by broadcast if few has SMALL_ROWS at most, which is counted, else by shuffle.
+
+    size: the column of few that holds the rows of the key, for hot keys. swap: rows is the side counted.
+    """
+    if swap:
+        return join_small(few, rows, keys, size)
+    if few.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(few), keys)
+    return join_groups(rows, few, keys, size) if size else rows.join(few, keys)

@@ -1,14 +1,14 @@
 """Problem 4: same or near-same records across splits.
 
-Texts are normalised (letter case, punctuation, blanks and combining marks do not matter) and
-exact copies are collapsed into one class for each field. Every class is cut into content-defined
-chunks: a cut falls where the rolling hash of a short window is the least within a radius, so an
-edit moves only the cuts around it. Chunk digests of evaluation classes are joined with those of
-training classes. An evaluation class joins only by its rarest chunks, which together make up more
-than 1 - MIN_OVERLAP of its length: any pair sharing MIN_OVERLAP of it shares one of them. A bound
-from sketches of the runs of five characters is applied inside the join; it can only drop pairs
-below the similarity wanted. Shared chunk lengths are summed into the overlap fraction of either
-record, and the pairs left are checked exactly on their runs.
+Texts are normalised (letter case, punctuation, blanks and combining marks do not matter) and cut
+into content-defined chunks: a cut falls where the rolling hash of a short window is the least
+within a radius, so an edit moves only the cuts around it. Exact copies are one class for each field
+and side. Train texts keep only chunks that pass a Bloom filter of bounded size over all held-out
+chunks. An evaluation class joins by its rarest chunks, which together make up more than
+1 - MIN_OVERLAP of its length: any pair sharing MIN_OVERLAP of it shares one of them. A bound from
+sketches of the runs of five characters is applied inside the join; it can only drop pairs below the
+similarity wanted. Shared chunk lengths are summed into the overlap fractions, and the pairs left are
+checked exactly on their runs.
 
 Defined cases: null, blank and `nan` texts, and texts without a letter or digit, match nothing;
 texts under five characters have themselves as their only run; records with an unknown or null split
@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm import flat
-from weftline.llm.common import HOT, has_text, join_groups, stored, table
+from weftline.llm import bloom, flat
+from weftline.llm.common import HOT, has_text, join_small, stored, table
 
 GRAM = 5
 SIMILARITY = 0.8
@@ -97,39 +97,51 @@ def cuts(starts: np.ndarray, prefix: np.ndarray, radius: int, window: int) -> np
     return flags
 
 
-TEXT_SCHEMA = "row_id long, held boolean, train boolean, fld string, hi long, lo long, n int, b0 long, b1 long, chunks array<long>, sizes array<int>"
-
-
-def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (row_id, held, train, fld, text) -> digest, sketch and content-defined chunks of the text."""
-    for batch in batches:
-        for first, part in flat.slices(batch.column(4)):
-            rows = batch.slice(first, len(part))
-            cps, starts = normalised(part)
-            prefix = flat.prefix_hash(cps)
-            hi = flat.span_hash(prefix, starts[:-1], starts[1:])
-            lo = flat.span_hash(flat.prefix_hash(cps ^ np.uint32(0x155555)), starts[:-1], starts[1:])
-            grams, at = gram_hashes(cps, starts, prefix, GRAM)
-            bit = np.uint64(1) << (grams & np.uint64(63))
-            upper = (grams >> np.uint64(6)) & np.uint64(1) != 0
-            some = np.flatnonzero(np.diff(at))
-            sketch = np.zeros((2, len(rows)), np.uint64)
-            if len(some):
-                sketch[0, some] = np.bitwise_or.reduceat(np.where(upper, np.uint64(0), bit), at[some])
-                sketch[1, some] = np.bitwise_or.reduceat(np.where(upper, bit, np.uint64(0)), at[some])
-            edge = np.flatnonzero(cuts(starts, prefix, RADIUS, WINDOW))
-            begin, end = edge[:-1], edge[1:]
-            digest = flat.span_hash(prefix, begin, end)
-            where = np.searchsorted(begin, starts)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    *rows.columns[:4],
-                    flat.i64(hi), flat.i64(lo), pa.array(np.diff(at).astype(np.int32)), flat.i64(sketch[0]), flat.i64(sketch[1]),
-                    flat.list_array(flat.i64(digest), where), flat.list_array(pa.array((end - begin).astype(np.int32)), where),
-                ],
-                ["row_id", "held", "train", "fld", "hi", "lo", "n", "b0", "b1", "chunks", "sizes"],
-            )
-            yield out.filter(pa.array(np.diff(starts) > 0))
+TEXT_SCHEMA = "row_id long, fld string, hi long, lo long, n int, b0 long, b1 long, length int, chunks array<long>"
+#: The low bits of a chunk's digest hold its length, at most this; lengths above weigh as much.
+LONGEST = 255
+
+
+def chunked(passing=None):
+    """mapInArrow: (row_id, fld, text) -> digest, sketch and content-defined chunks of the text.
+
+    passing: a broadcast Bloom filter; chunks outside it are left out, length still counts them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in flat.slices(batch.column(2)):
+                rows = batch.slice(first, len(part))
+                cps, starts = normalised(part)
+                prefix = flat.prefix_hash(cps)
+                hi = flat.span_hash(prefix, starts[:-1], starts[1:])
+                lo = flat.span_hash(flat.prefix_hash(cps ^ np.uint32(0x155555)), starts[:-1], starts[1:])
+                grams, at = gram_hashes(cps, starts, prefix, GRAM)
+                bit = np.uint64(1) << (grams & np.uint64(63))
+                upper = (grams >> np.uint64(6)) & np.uint64(1) != 0
+                some = np.flatnonzero(np.diff(at))
+                sketch = np.zeros((2, len(rows)), np.uint64)
+                if len(some):
+                    sketch[0, some] = np.bitwise_or.reduceat(np.where(upper, np.uint64(0), bit), at[some])
+                    sketch[1, some] = np.bitwise_or.reduceat(np.where(upper, bit, np.uint64(0)), at[some])
+                edge = np.flatnonzero(cuts(starts, prefix, RADIUS, WINDOW))
+                begin, size = edge[:-1], np.minimum(np.diff(edge), LONGEST)
+                digest = (flat.span_hash(prefix, begin, edge[1:]) & ~np.uint64(LONGEST)) | size.astype(np.uint64)
+                where = np.searchsorted(begin, starts)
+                weight = np.concatenate([[0], np.cumsum(size)])[where]
+                if passing is not None:
+                    digest, where = flat.compact(digest, where, bloom.passes(passing.value, digest))
+                out = pa.RecordBatch.from_arrays(
+                    [
+                        *rows.columns[:2],
+                        flat.i64(hi), flat.i64(lo), pa.array(np.diff(at).astype(np.int32)), flat.i64(sketch[0]), flat.i64(sketch[1]),
+                        pa.array(np.diff(weight).astype(np.int32)), flat.list_array(flat.i64(digest), where),
+                    ],
+                    ["row_id", "fld", "hi", "lo", "n", "b0", "b1", "length", "chunks"],
+                )
+                yield out.filter(pa.array(np.diff(starts) > 0))
+
+    return run
 
 
 def same_or_near(a: pd.Series, b: pd.Series, at_least: float) -> np.ndarray:
@@ -152,87 +164,89 @@ def same_or_near(a: pd.Series, b: pd.Series, at_least: float) -> np.ndarray:
     return out
 
 
-def rare_first(at_most: float):
-    """Column expression over array<struct<df, chunk, size>>: the rarest chunks up to the share given, and one more."""
-    total = "aggregate(c, 0L, (s, x) -> s + x.size)"
-    return F.expr(
-        f"""transform(filter(aggregate(sort_array(c), named_struct('at', 0L, 'out', cast(array() as array<struct<df:bigint,chunk:bigint,size:int,before:bigint>>)),
-        (s, x) -> named_struct('at', s.at + x.size, 'out', array_append(s.out, named_struct('df', x.df, 'chunk', x.chunk, 'size', x.size, 'before', s.at)))).out,
-        x -> x.before <= {at_most} * {total}), x -> x.chunk)"""
-    )
-
-
-def class_pairs(classes: DataFrame, similarity: float, min_overlap: float) -> DataFrame:
-    """Classes with chunks and flags held/train -> candidate pairs (e_id, t_id, overlap_e, overlap_t)."""
-    cols = ["id", "fld", "n", "b0", "b1"]
-    held = classes.where("held").select(*cols, F.explode(F.arrays_zip("chunks", "sizes")).alias("c")).select(*cols, "c.chunks", "c.sizes")
-    train = classes.where("train").select(*cols, F.explode(F.arrays_zip("chunks", "sizes")).alias("c")).select(*cols, "c.chunks", "c.sizes")
-    df = train.groupBy("chunks").agg(F.count("*").alias("df"))
-    wanted = held.join(df, "chunks", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    prefix = wanted.groupBy(*cols).agg(F.collect_list(F.struct("df", F.col("chunks").alias("chunk"), F.col("sizes").alias("size"))).alias("c"))
-    prefix = prefix.select(*cols, F.explode(F.array_distinct(rare_first(1 - min_overlap))).alias("chunks"))
-    e, t = prefix.alias("e"), train.drop("sizes").alias("t")
+KEY = ["fld", "hi", "lo"]
+
+
+def classes_of(marked: DataFrame) -> DataFrame:
+    """One row for each field and normalised text: rep is the least row_id, id tells it and the field."""
+    rest = ("n", "b0", "b1", "length", "chunks")
+    grouped = marked.groupBy(*KEY).agg(F.min("row_id").alias("rep"), F.count("*").alias("size"), *(F.first(c).alias(c) for c in rest))
+    return grouped.withColumn("id", text_id("rep"))
+
+
+def text_id(row: str) -> F.Column:
+    return F.col(row) * 2 + (F.col("fld") == "t").cast("int")
+
+
+def rarest(held: DataFrame, df: DataFrame, share: float) -> DataFrame:
+    """(id, fld, n, b0, b1, chunks) of the chunks, rarest first, that start below the share of their class."""
+    one = held.select("id", "fld", "n", "b0", "b1", "length", F.explode("chunks").alias("chunk")).join(df, "chunk", "left")
+    order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("chunk").bitwiseAND(LONGEST)
+    one = one.withColumn("before", F.coalesce(F.sum(size).over(order), F.lit(0)))
+    return one.where((F.col("before") <= share * F.col("length")) & F.col("df").isNotNull()).drop("before", "df", "length").dropDuplicates(["id", "chunk"])
+
+
+def candidates(held: DataFrame, train: DataFrame, similarity: float, min_overlap: float) -> DataFrame:
+    """Pairs (e_id, t_id) of classes that share a rare chunk and whose sketches allow the similarity."""
+    posted = train.select("id", "fld", "n", "b0", "b1", F.explode(F.array_distinct("chunks")).alias("chunk"))
+    df = posted.groupBy("chunk").agg(F.count("*").alias("df"))
+    e, t = rarest(held, df, 1 - min_overlap).alias("e"), posted.alias("t")
     apart = F.bit_count(F.col("e.b0").bitwiseXOR(F.col("t.b0"))) + F.bit_count(F.col("e.b1").bitwiseXOR(F.col("t.b1")))
     loss = (1 - similarity) / (1 + similarity)
-    near = (F.col("e.fld") == F.col("t.fld")) & (F.col("e.id") != F.col("t.id")) & (apart <= (F.col("e.n") + F.col("t.n")) * (loss + 1e-9))
-    return e.join(t, (F.col("e.chunks") == F.col("t.chunks")) & near).select(F.col("e.id").alias("e_id"), F.col("t.id").alias("t_id")).distinct()
+    near = (F.col("e.fld") == F.col("t.fld")) & (apart <= (F.col("e.n") + F.col("t.n")) * (loss + 1e-9))
+    return e.join(t, (F.col("e.chunk") == F.col("t.chunk")) & near).select(F.col("e.id").alias("e_id"), F.col("t.id").alias("t_id")).distinct()
 
 
-def overlaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def overlaps(pairs: DataFrame, held: DataFrame, train: DataFrame) -> DataFrame:
     """Sums the lengths of the chunks shared by each pair into overlap fractions of both records."""
-    side = lambda p: classes.select(F.col("id").alias(f"{p}_id"), F.arrays_zip("chunks", "sizes").alias(f"{p}_c"))
-    joined = pairs.join(side("e"), "e_id").join(side("t"), "t_id")
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["sizes"])
-    joined = joined.withColumns({"e_k": F.transform("e_c", lambda x: x["chunks"]), "t_k": F.transform("t_c", lambda x: x["chunks"])})
-    shared = lambda p, o: total(F.filter(f"{p}_c", lambda x: F.array_contains(F.col(f"{o}_k"), x["chunks"]))) / total(F.col(f"{p}_c"))
-    return joined.select("e_id", "t_id", shared("e", "t").alias("overlap_e"), shared("t", "e").alias("overlap_t"))
+    side = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), F.col("chunks").alias(f"{p}_c"), F.col("length").alias(f"{p}_len"))
+    joined = join_small(join_small(side(held, "e"), pairs, ["e_id"]).transform(stored), side(train, "t"), ["t_id"], swap=True)
+    total = lambda own, other: F.aggregate(F.filter(own, lambda x: F.array_contains(other, x)), F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(LONGEST))
+    share = lambda p, o: (total(F.col(f"{p}_c"), F.col(f"{o}_c")) / F.col(f"{p}_len")).alias(f"overlap_{p}")
+    return joined.select("e_id", "t_id", share("e", "t"), share("t", "e"))
 
 
 def cross_pairs(records: DataFrame, similarity: float = SIMILARITY, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """(row_id, split_name, s, t) -> (row_id_a, row_id_b, fld, overlap): pairs of a train and a held-out row.
+    """(row_id, split_name, s, t) -> (row_id_a, row_id_b, e, t, fld, overlap): pairs of a train and a held-out row.
 
-    overlap is the share of the held-out record made up of chunks shared with the train record.
+    overlap is the share of the held-out record e made up of chunks shared with the train record t.
     """
-    held = F.col("split_name").isin("r0", "eval")
-    known = records.where(held | (F.col("split_name") == "train"))
     fields = F.explode(F.array(*(F.struct(F.lit(f).alias("fld"), F.col(f).alias("text")) for f in ("s", "t")))).alias("f")
-    texts = known.select("row_id", held.alias("held"), (~held).alias("train"), fields).select("row_id", "held", "train", "f.*").where(has_text("text"))
-    marked = stored(texts.mapInArrow(chunked, TEXT_SCHEMA))
-    key = ["fld", "hi", "lo"]
-    classes = marked.groupBy(*key).agg(
-        F.min("row_id").alias("rep"), F.max("held").alias("held"), F.max("train").alias("train"), F.count("*").alias("size"),
-        *(F.first(c).alias(c) for c in ("n", "b0", "b1", "chunks", "sizes")),
-    )
-    classes = stored(classes.withColumn("id", F.col("rep") * 2 + (F.col("fld") == "t").cast("int")))
-    rough = overlaps(class_pairs(classes, similarity, min_overlap), classes).where(F.col("overlap_e") >= min_overlap)
-    text = texts.select((F.col("row_id") * 2 + (F.col("fld") == "t").cast("int")).alias("id"), "text").dropDuplicates(["id"])
-    near = rough.join(text.select(F.col("id").alias("e_id"), F.col("text").alias("a")), "e_id")
-    near = near.join(text.select(F.col("id").alias("t_id"), F.col("text").alias("b")), "t_id")
+    texts = records.select("row_id", "split_name", fields).select("row_id", "split_name", "f.*").where(has_text("text"))
+    ours, theirs = texts.where(F.col("split_name").isin("r0", "eval")), texts.where("split_name = 'train'")
+    columns = ["row_id", "fld", "text"]
+    held_rows = stored(ours.select(columns).mapInArrow(chunked(), TEXT_SCHEMA))
+    held = stored(classes_of(held_rows))
+    passing = records.sparkSession.sparkContext.broadcast(bloom.fit(held.select(F.explode("chunks").alias("h"))))
+    train_rows = stored(theirs.select(columns).mapInArrow(chunked(passing), TEXT_SCHEMA)).where(F.size("chunks") > 0)
+    train = stored(classes_of(train_rows))
+    rough = overlaps(stored(candidates(held, train, similarity, min_overlap)), held, train).where(F.col("overlap_e") >= min_overlap)
+    rough = stored(rough)
+    for side, source, text in (("e", ours, "a"), ("t", theirs, "b")):
+        ids = stored(rough.select(F.col(f"{side}_id").alias("id")).distinct())
+        found = join_small(source.select(text_id("row_id").alias("id"), "text"), ids, ["id"]).dropDuplicates(["id"])
+        rough = rough.join(found.select(F.col("id").alias(f"{side}_id"), F.col("text").alias(text)), f"{side}_id")
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(same_or_near(a, b, similarity))
 
-    near = near.where(close("a", "b")).select("e_id", "t_id", "overlap_e")
-    equal = classes.where("held and train").select(F.col("id").alias("e_id"), F.col("id").alias("t_id"), F.lit(1.0).alias("overlap_e"))
-    linked = stored(near.unionByName(equal))
-    return expanded(linked, marked, classes)
+    linked = stored(rough.where(close("a", "b")).select("e_id", "t_id", F.col("overlap_e").alias("overlap")))
+    for side, rows, classes in (("e", held_rows, held), ("t", train_rows, train)):
+        linked = with_members(linked, side, rows, classes)
+    return linked.select(F.least("e", "t").alias("row_id_a"), F.greatest("e", "t").alias("row_id_b"), "e", "t", (F.col("e_id") % 2 == 1).alias("by_t"), "overlap")
 
 
-def expanded(linked: DataFrame, marked: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes -> pairs of rows, over the members of both; classes are joined in salts of HOT rows."""
-    key = ["fld", "hi", "lo"]
-    used = linked.select(F.col("e_id").alias("id")).union(linked.select(F.col("t_id").alias("id"))).distinct()
-    used = stored(classes.select("id", *key, "size").join(used, "id"))
+def with_members(linked: DataFrame, side: str, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Puts for each class of the side its rows; a class of n rows is joined in n / HOT parts."""
+    used = stored(join_small(classes.select("id", *KEY, "size"), linked.select(F.col(f"{side}_id").alias("id")).distinct(), ["id"]))
     salts = F.ceil(F.col("size") / HOT).cast("int")
-    members = join_groups(marked.select(*key, "row_id", "held"), used, key, "size")
-    members = stored(members.select("id", "row_id", "held", "fld", F.pmod(F.xxhash64("row_id"), salts).cast("int").alias("salt")))
-    sized = used.select("id", F.sequence(F.lit(0), salts - 1).alias("salts"))
-    for side, held in (("e", True), ("t", False)):
-        linked = linked.join(sized.withColumnRenamed("id", f"{side}_id"), f"{side}_id").withColumn("salt", F.explode("salts")).drop("salts")
-        own = members.where(F.col("held") == held).select(F.col("id").alias(f"{side}_id"), "salt", F.col("row_id").alias(side), *(["fld"] if held else []))
-        linked = linked.join(own, [f"{side}_id", "salt"]).drop("salt")
-    return linked.select(F.least("e", "t").alias("row_id_a"), F.greatest("e", "t").alias("row_id_b"), "e", "t", "fld", F.col("overlap_e").alias("overlap"))
+    members = join_small(rows.select(*KEY, "row_id"), used, KEY, size="size")
+    members = members.select(F.col("id").alias(f"{side}_id"), F.pmod(F.xxhash64("row_id"), salts).cast("int").alias("salt"), F.col("row_id").alias(side))
+    sized = used.select(F.col("id").alias(f"{side}_id"), F.sequence(F.lit(0), salts - 1).alias("salts"))
+    linked = linked.join(sized, f"{side}_id").withColumn("salt", F.explode("salts")).drop("salts")
+    return linked.join(members, [f"{side}_id", "salt"]).drop("salt")
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,23 +15,13 @@ empty tables give empty results; columns other than those named are ignored.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm import bloom
 from weftline.llm.common import BLANK, has_text, join_groups, stored, table
 
-#: Bits of a block of the filter, and the most bits of the whole filter (16 MB packed).
-BLOCK_BITS = 1 << 18
-MAX_BITS = 1 << 27
-BITS_PER_RECORD = 16
-
-
 def canonical(text: F.Column) -> F.Column:
     """Lower case without blanks and punctuation; vowel marks, digits and symbols stay."""
     return F.regexp_replace(F.lower(text), rf"[\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}\p{{P}}]+", "")
@@ -61,67 +51,7 @@ def keyed(records: DataFrame) -> DataFrame:
     return kept.select("tbl", "id", both.alias("k")).select("tbl", "id", F.xxhash64("k").alias("h"), F.unhex(F.md5("k")).alias("digest"))
 
 
-def _positions(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h.astype(np.int64).view(np.uint64) >> np.uint64(64 - int(bits).bit_length() + 1)).astype(np.int64)
-
-
-def _pack(positions: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(positions, prepend=0).astype(np.uint32).tobytes(), 1)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint32), dtype=np.int64)
-
-
-def partial_filters(bits: int):
-    """mapInArrow function: h -> (block, once, twice), the sorted bit positions of this partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = np.zeros(0, np.int64)
-        twice = np.zeros(0, np.int64)
-        for batch in batches:
-            pos, n = np.unique(_positions(batch.column(0).to_numpy(), bits), return_counts=True)
-            both, m = np.unique(np.concatenate([once, pos]), return_counts=True)
-            twice = np.union1d(twice, np.concatenate([pos[n > 1], both[m > 1]]))
-            once = both
-        if not len(once):
-            return
-        blocks, first = np.unique(once // BLOCK_BITS, return_index=True)
-        ends, at = np.append(first[1:], len(once)), np.searchsorted(twice, blocks * BLOCK_BITS)
-        to = np.searchsorted(twice, (blocks + 1) * BLOCK_BITS)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(blocks),
-                pa.array([_pack(once[a:b] - k * BLOCK_BITS) for a, b, k in zip(first, ends, blocks)], pa.binary()),
-                pa.array([_pack(twice[a:b] - k * BLOCK_BITS) for a, b, k in zip(at, to, blocks)], pa.binary()),
-            ],
-            ["block", "once", "twice"],
-        )
-
-    return run
-
-
-def _merge(part: pd.DataFrame) -> pd.DataFrame:
-    seen, repeated = np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
-    for once, twice in zip(part["once"], part["twice"]):
-        x = _unpack(once)
-        repeated[x[seen[x]]] = True
-        seen[x] = True
-        repeated[_unpack(twice)] = True
-    return pd.DataFrame({"block": [part["block"].iloc[0]], "bits": [zlib.compress(np.packbits(repeated).tobytes(), 1)]})
-
-
-def repeat_filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """The merged, packed filter of repeated bits: bits / 8 bytes, whatever the number of records."""
-    parts = keys.select("h").mapInArrow(partial_filters(bits), "block long, once binary, twice binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for block, data in parts.groupBy("block").applyInPandas(_merge, "block long, bits binary").toLocalIterator():
-        packed = np.frombuffer(zlib.decompress(bytes(data)), np.uint8)
-        out[block * BLOCK_BITS // 8 :][: len(packed)] = packed[: bits // 8]
-    return out
-
-
-def copies(records: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def copies(records: DataFrame, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """(tbl, id, s, t) -> (tbl, id, keep_id, copies): for each record its kept record and group size.
 
     Singletons keep themselves and have 1 copy. The filter is sized by the number of records up to
@@ -129,13 +59,11 @@ def copies(records: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     spark = records.sparkSession
     keys = stored(keyed(records))
-    bits = int(min(max_bits, max(BLOCK_BITS, 1 << (BITS_PER_RECORD * max(1, keys.count()) - 1).bit_length())))
-    shared = spark.sparkContext.broadcast(repeat_filter(keys, bits))
+    shared = spark.sparkContext.broadcast(bloom.fit(keys.select("h"), max_bits, repeated=True))
 
     @F.pandas_udf("boolean")
     def repeated(h: pd.Series) -> pd.Series:
-        pos = _positions(h.to_numpy(), bits)
-        return pd.Series((shared.value[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1 != 0)
+        return pd.Series(bloom.passes(shared.value, h.to_numpy()))
 
     marked = stored(keys.select("tbl", "id", "digest", repeated("h").alias("again")), eager=False)
     again = marked.where("again").select("tbl", "id", "digest")
