@@ -63,13 +63,12 @@ def plan(strength: np.ndarray, whole: np.ndarray, n: int, m: int, limit: int, ov
     start = 0
     for i in range(1, m):
         target = i * size - (i - 1) * overlap
-        low = max(start + overlap + 1, n - (m - i) * (limit - overlap), int(target) - near)
-        high = min(start + limit, n - 1, int(target) + near)
+        low, high = max(start + overlap + 1, n - (m - i) * (limit - overlap)), min(start + limit, n - 1)
         if low > high:
-            low, high = max(start + overlap + 1, int(target) - near), min(start + limit, n - 1)
-            if low > high:
-                return None
-        at = np.arange(low, high + 1)
+            low = max(start + overlap + 1, int(target) - near)
+        at = np.arange(max(low, int(target) - near), min(high, int(target) + near) + 1)
+        if not len(at) or strength[at].max() < SENTENCE:  # nothing natural nearby: anywhere within the limit
+            at = np.arange(low, high + 1)
         at = at[whole[at]]
         if not len(at):
             return None
