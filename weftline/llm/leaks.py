@@ -46,10 +46,10 @@ def word_table() -> np.ndarray:
     return _words
 
 
-def words(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of the folded words of all rows, and the row starts among them."""
+def words(part: pa.Array, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the folded words of all rows, and the row starts among them; fold is as word_table."""
     cps, starts = flat.decode(part)
-    cps = word_table()[cps]
+    cps = (word_table() if fold is None else fold)[cps]
     cps, starts = flat.compact(cps, starts, cps != 0)
     solid = np.zeros(len(cps) + 2, bool)
     solid[1:-1] = cps != 32

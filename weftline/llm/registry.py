@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lookalikes", "languages", "leaks", "cross_split", "format_copies", "packing", "mixing", "splitting"]
+MODULES = ["lookalikes", "languages", "leaks", "cross_split", "sentence_align", "format_copies", "packing", "mixing", "splitting"]
 
 
 def _all(name: str) -> dict:
