@@ -1 +1 @@
-"""Weftline."""
+"""DataFrame -> DataFrame operators."""

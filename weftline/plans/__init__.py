@@ -1 +1 @@
-"""Weftline."""
+"""Pipelines, and the catalogue of registered queries with their SQL."""

@@ -1 +1 @@
-"""Weftline."""
+"""Readers and writers."""
