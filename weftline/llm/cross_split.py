@@ -219,7 +219,7 @@ def cross_pairs(records: DataFrame, similarity: float = SIMILARITY, min_overlap:
     held_rows = stored(ours.select(columns).mapInArrow(chunked(), TEXT_SCHEMA))
     held = stored(classes_of(held_rows))
     passing = records.sparkSession.sparkContext.broadcast(bloom.fit(held.select(F.explode("chunks").alias("h"))))
-    train_rows = stored(theirs.select(columns).mapInArrow(chunked(passing), TEXT_SCHEMA)).where(F.size("chunks") > 0)
+    train_rows = stored(theirs.select(columns).mapInArrow(chunked(passing), TEXT_SCHEMA).where(F.size("chunks") > 0))
     train = stored(classes_of(train_rows))
     rough = overlaps(stored(candidates(held, train, similarity, min_overlap)), held, train).where(F.col("overlap_e") >= min_overlap)
     rough = stored(rough)
