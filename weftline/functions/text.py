@@ -142,8 +142,8 @@ def normal_form(c: Column | str, form: str) -> Column:
 
 
 def grams(c: Column | str, n: int = 5) -> Column:
-    """Distinct runs of n characters, spaces left out; a shorter text is its only run, an empty one has none."""
-    s = F.replace(col(c), F.lit(" "), F.lit(""))
+    """Distinct runs of n characters; a shorter text is its only run, an empty one has none. Give it a plain column."""
+    s = col(c)
     all_ = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substr(s, i, F.lit(n)))
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.array_distinct(all_))
 

@@ -52,14 +52,19 @@ def _prefix(df: DataFrame, id_: list[str], rank: DataFrame, least: float) -> Dat
     return one.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= need).drop("_r", "df")
 
 
+def gram_sets(df: DataFrame, id_: str, text: str, n: int) -> DataFrame:
+    """(id, side, g, n): the runs of the loose key; the key is made once, not for every run."""
+    keyed = df.select(id_, "side", F.replace(T.loose_key(text), F.lit(" "), F.lit("")).alias("k"))
+    return keyed.select(id_, "side", T.grams("k", n).alias("g")).withColumn("n", F.size("g")).where("n > 0")
+
+
 def near(rows: DataFrame, lines: DataFrame, least: float = 0.8, n: int = 5) -> DataFrame:
     """The most similar line of the same side by Jaccard similarity of runs of n, if at least `least`.
 
     Sets are joined by their rarest grams only, a superset of all pairs of the similarity, and the pairs
     are scored on the full sets. Ties go to the lower item_id.
     """
-    q = rows.select("row_id", "side", T.grams(T.loose_key("text"), n).alias("g")).withColumn("n", F.size("g")).where("n > 0")
-    d = lines.select("item_id", "side", T.grams(T.loose_key("line"), n).alias("g")).withColumn("n", F.size("g")).where("n > 0")
+    q, d = gram_sets(rows, "row_id", "text", n), gram_sets(lines, "item_id", "line", n)
     rank = d.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     a = _prefix(q, ["row_id", "side"], rank, least).withColumnRenamed("n", "nq")
     b = _prefix(d, ["item_id", "side"], rank, least).withColumnRenamed("n", "nd")

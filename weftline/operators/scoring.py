@@ -54,7 +54,7 @@ def pair_scores(pooled: DataFrame) -> DataFrame:
                             pool.append(p)
                             h.append(js[a])
                             r.append(js[b])
-                            s.append(round(float(m[a, b]), 9))
+                            s.append(float(m[a, b]))
             yield pa.RecordBatch.from_arrays([pa.array(pool, pa.int64()), pa.array(h, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.float64())], ["pool", "h", "r", "chrf"])
 
     return pooled.select("pool", "candidates").mapInArrow(run, "pool long, h long, r long, chrf double")
