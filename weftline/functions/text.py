@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Blanks of Unicode as one class: Java's \s and that of other engines leave some out.
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -45,8 +46,7 @@ def flatten(c: Column | str) -> Column:
 
 def clean(c: Column | str) -> Column:
     """flatten, and the word nan in any case as empty."""
-    flat = flatten(c)
-    return F.when(F.lower(flat) == "nan", "").otherwise(flat)
+    return F.regexp_replace(flatten(c), "^(?i:nan)$", "")
 
 
 def is_nan_like(c: Column | str) -> Column:
@@ -59,18 +59,17 @@ def words(c: Column | str) -> Column:
 
 
 def n_words(c: Column | str) -> Column:
-    flat = flatten(c)
-    return F.when(flat == "", 0).otherwise(F.regexp_count(flat, F.lit(" ")) + 1).cast("long")
+    return F.regexp_count(F.coalesce(col(c), F.lit("")), F.lit(f"[^{WS[1:-1]}]+")).cast("long")
 
 
 def count_of(c: Column | str, chars: str) -> Column:
-    """Number of characters in the class."""
-    return F.regexp_count(col(c), F.lit(f"[{chars}]")).cast("long")
+    """Number of characters in the class, by what is left without runs of others."""
+    return F.length(F.regexp_replace(col(c), f"[^[{chars}]]+", "")).cast("long")
 
 
 def letterish(c: Column | str) -> Column:
     """What is neither blank nor punctuation, number, separator or control: letters, marks, symbols."""
-    return F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[^\p{L}\p{M}\p{S}]", "")
+    return F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[^\p{L}\p{M}\p{S}]+", "")
 
 
 def script_counts(c: Column | str) -> Column:
@@ -85,8 +84,8 @@ def arabic_share(c: Column | str, variant: str = "basic") -> Column:
     c = F.coalesce(col(c), F.lit(""))
     if variant == "all":
         return count_of(c, ARABIC_BASIC) / F.greatest(F.length(c), F.lit(1))
-    s = F.regexp_replace(c, r"[^\p{L}]", "")
-    return count_of(s, ARABIC_BASIC if variant == "basic" else ARABIC_WIDE) / F.greatest(F.length(s), F.lit(1))
+    range_ = ARABIC_BASIC if variant == "basic" else ARABIC_WIDE
+    return count_of(c, rf"\p{{L}}&&[{range_}]") / F.greatest(count_of(c, r"\p{L}"), F.lit(1))
 
 
 def has_devanagari(c: Column | str) -> Column:
@@ -117,7 +116,7 @@ def loose_key(c: Column | str) -> Column:
     return F.trim(F.lower(F.regexp_replace(s, r"[^\p{L}\p{N}_]+", " ")))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def loose_key_exact(c: pa.Array) -> pa.Array:
     """As loose_key by Unicode's rules: decomposed, combining marks dropped, recomposed, case-folded."""
 

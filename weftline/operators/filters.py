@@ -80,7 +80,8 @@ def waterfall(df: DataFrame, src: str = "src", tgt: str = "tgt", order: str = "r
     )
     first = df.withColumn("reason", reason)
     key = [F.col(src).alias("_s"), T.strip_key(tgt).alias("_t")]
-    kept = first.where("reason is null").groupBy(*key).agg(F.min(order).alias(order)).select(order, F.lit(True).alias("_kept"))
+    # a filter on reason would be pushed into the scan and the reason computed twice there
+    kept = first.groupBy(*key).agg(F.min(F.when(F.col("reason").isNull(), F.col(order))).alias(order)).where(F.col(order).isNotNull()).select(order, F.lit(True).alias("_kept"))
     joined = first.join(kept, order, "left")
     dup = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("_kept").isNull(), "duplicate")
     return joined.withColumn("reason", dup).drop("_kept")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
@@ -45,17 +45,22 @@ def by_key(rows: DataFrame, lines: DataFrame, key, kind: str) -> DataFrame:
 
 
 def _prefix(df: DataFrame, id_: list[str], rank: DataFrame, least: float) -> DataFrame:
-    """The rarest grams of each set, one more than may be missing at the similarity: any match shares one."""
-    one = df.select(*id_, "n", F.explode("g").alias("gram")).join(rank, "gram", "left")
-    order = Window.partitionBy(*id_).orderBy(F.coalesce("df", F.lit(0)), "gram")
-    need = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1
-    return one.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= need).drop("_r", "df")
+    """The rarest grams of each set, one more than may be missing at the similarity: any match shares one.
+
+    Grams that no line has are the rarest of all; they count, but need not be shuffled.
+    """
+    # outer: the filter that an inner explode implies would be pushed into the scan, and the grams made twice
+    one = df.select(*id_, "n", F.explode_outer("g").alias("gram")).join(rank, "gram")
+    packed = one.groupBy(*id_, "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("p"))
+    keep = F.ceil(F.col("n") * F.lit(least) - 1e-9)
+    packed = packed.withColumn("k", (F.size("p") + 1 - keep).cast("int")).where("k > 0")
+    return packed.select(*id_, "n", F.explode(F.transform(F.slice("p", F.lit(1), F.col("k")), lambda x: x["gram"])).alias("gram"))
 
 
 def gram_sets(df: DataFrame, id_: str, text: str, n: int) -> DataFrame:
     """(id, side, g, n): the runs of the loose key; the key is made once, not for every run."""
-    keyed = df.select(id_, "side", F.replace(T.loose_key(text), F.lit(" "), F.lit("")).alias("k"))
-    return keyed.select(id_, "side", T.grams("k", n).alias("g")).withColumn("n", F.size("g")).where("n > 0")
+    keyed = df.select(id_, "side", F.replace(T.loose_key(text), F.lit(" "), F.lit("")).alias("k")).where("k <> ''")
+    return keyed.select(id_, "side", T.grams("k", n).alias("g")).withColumn("n", F.size("g"))
 
 
 def near(rows: DataFrame, lines: DataFrame, least: float = 0.8, n: int = 5) -> DataFrame:
@@ -65,7 +70,7 @@ def near(rows: DataFrame, lines: DataFrame, least: float = 0.8, n: int = 5) -> D
     are scored on the full sets. Ties go to the lower item_id.
     """
     q, d = gram_sets(rows, "row_id", "text", n), gram_sets(lines, "item_id", "line", n)
-    rank = d.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    rank = d.select(F.explode_outer("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     a = _prefix(q, ["row_id", "side"], rank, least).withColumnRenamed("n", "nq")
     b = _prefix(d, ["item_id", "side"], rank, least).withColumnRenamed("n", "nd")
     sized = (F.col("nd") >= F.ceil(F.col("nq") * least - 1e-9)) & (F.col("nq") >= F.ceil(F.col("nd") * least - 1e-9))

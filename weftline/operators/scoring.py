@@ -81,7 +81,7 @@ def consensus(pooled: DataFrame, key: str | None = None) -> DataFrame:
                 for x, k in zip(c, at):
                     pool.append(p)
                     j.append(x["j"])
-                    u.append(round(float(utility[k]), 6))
+                    u.append(round(float(utility[k]), 9))
                     n.append(int(count[k]))
             yield pa.RecordBatch.from_arrays([pa.array(pool, pa.int64()), pa.array(j, pa.int64()), pa.array(u, pa.float64()), pa.array(n, pa.int64())], ["pool", "j", "utility", "multiplicity"])
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from weftline.functions import labels as L
 from weftline.functions import text as T
 from weftline.operators import align, dedup, filters, leakage, lexicon, ranking, report, sampling, scoring, selection
+from weftline.sources import readers
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.table(spark, sf_dir, name)
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
@@ -319,7 +320,7 @@ def q35(spark, d):
 
 
 def q36(spark, d):
-    return scoring.mbr_select(scoring.pools(_candidates(spark, d))).select("pool", "j", F.round("utility", 4).alias("utility"))
+    return scoring.mbr_select(scoring.pools(_candidates(spark, d))).select("pool", "j", F.round("utility", 6).alias("utility"))
 
 
 WEIGHTS = {"consensus": 1.0, "density": 0.2, "lexcov": 0.3, "length": 0.5, "marker": 0.4}

@@ -208,9 +208,9 @@ hit AS (SELECT a.pool, a.j AS h, b.j AS r, a.o, sum(least(a.c, b.c)) AS m FROM g
 ord AS (SELECT a.pool, a.j AS h, b.j AS r, coalesce(m, 0) / a.n AS p, coalesce(m, 0) / b.n AS q FROM size a JOIN size b ON a.pool = b.pool AND a.o = b.o AND a.j <> b.j
     LEFT JOIN hit ON hit.pool = a.pool AND hit.h = a.j AND hit.r = b.j AND hit.o = a.o),
 chrf AS (SELECT pool, h, r, CASE WHEN avg(p) + avg(q) > 0 THEN 500 * avg(p) * avg(q) / (4 * avg(p) + avg(q)) ELSE 0 END AS s FROM ord GROUP BY ALL),
-util AS (SELECT c.pool, c.j, c.text, coalesce(round(avg(s), 6), 0.0) AS u, count(*) OVER (PARTITION BY c.pool, c.text) AS n FROM cand c LEFT JOIN chrf ON chrf.pool = c.pool AND chrf.h = c.j GROUP BY c.pool, c.j, c.text)"""
+util AS (SELECT c.pool, c.j, c.text, coalesce(round(avg(s), 9), 0.0) AS u, count(*) OVER (PARTITION BY c.pool, c.text) AS n FROM cand c LEFT JOIN chrf ON chrf.pool = c.pool AND chrf.h = c.j GROUP BY c.pool, c.j, c.text)"""
 SQL["q35_chrf_pairs"] = f"WITH {_CHRF} SELECT pool, h, r, round(s, 6) AS chrf FROM chrf"
-SQL["q36_mbr_select"] = f"WITH {_CHRF} SELECT pool, j, round(u, 4) AS utility FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY u DESC, n DESC, j) AS k FROM util) WHERE k = 1"
+SQL["q36_mbr_select"] = f"WITH {_CHRF} SELECT pool, j, round(u, 6) AS utility FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY u DESC, n DESC, j) AS k FROM util) WHERE k = 1"
 _MARKERS = ", ".join(f"'{w}'" for w in T.MARKER_WORDS)
 _EDGE = T.EDGE_SIGNS.replace("'", "''")
 _FEATURES = f"""{_CHRF}, {_UNI},
