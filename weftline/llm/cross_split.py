@@ -2,7 +2,7 @@
 
 Texts are normalised (letter case, punctuation, blanks and combining marks do not matter) and cut
 into content-defined chunks: a cut falls where the rolling hash of a short window is the least
-within a radius, so an edit moves only the cuts around it. Exact copies are one class for each field
+within a radius, and MOST characters after the last cut, so an edit moves only the cuts around it. Exact copies are one class for each field
 and side. Train texts keep only chunks that pass a Bloom filter of bounded size over all held-out
 chunks. An evaluation class joins by its rarest chunks, which together make up more than
 1 - MIN_OVERLAP of its length: any pair sharing MIN_OVERLAP of it shares one of them. A bound from
@@ -34,6 +34,8 @@ GRAM = 5
 SIMILARITY = 0.8
 #: Radius within which a cut is the least, and the window hashed for it.
 RADIUS, WINDOW = 6, 4
+#: Longest chunk; the low bits of a chunk's digest hold its length.
+MOST, LENGTH_BITS = 64, 127
 #: Least share of the evaluation record that its chunks shared with a partner make up.
 MIN_OVERLAP = 0.2
 
@@ -94,12 +96,14 @@ def cuts(starts: np.ndarray, prefix: np.ndarray, radius: int, window: int) -> np
         least &= (here < h[radius + d : radius + d + n]) | (room_right <= d)
         least &= (here <= h[radius - d : radius - d + n]) | (room_left < d)
     flags[:n] |= least
+    edge = np.flatnonzero(flags)
+    more = (np.diff(edge) - 1) // MOST  # a stretch without a minimum, such as one repeated character
+    begin = np.repeat(edge[:-1], more)
+    flags[begin + MOST * (np.arange(len(begin)) - np.repeat(np.cumsum(more) - more, more) + 1)] = True
     return flags
 
 
 TEXT_SCHEMA = "row_id long, fld string, hi long, lo long, n int, b0 long, b1 long, length int, chunks array<long>"
-#: The low bits of a chunk's digest hold its length, at most this; lengths above weigh as much.
-LONGEST = 255
 
 
 def chunked(passing=None):
@@ -125,8 +129,8 @@ def chunked(passing=None):
                     sketch[0, some] = np.bitwise_or.reduceat(np.where(upper, np.uint64(0), bit), at[some])
                     sketch[1, some] = np.bitwise_or.reduceat(np.where(upper, bit, np.uint64(0)), at[some])
                 edge = np.flatnonzero(cuts(starts, prefix, RADIUS, WINDOW))
-                begin, size = edge[:-1], np.minimum(np.diff(edge), LONGEST)
-                digest = (flat.span_hash(prefix, begin, edge[1:]) & ~np.uint64(LONGEST)) | size.astype(np.uint64)
+                begin, size = edge[:-1], np.diff(edge)
+                digest = (flat.span_hash(prefix, begin, edge[1:]) & ~np.uint64(LENGTH_BITS)) | size.astype(np.uint64)
                 where = np.searchsorted(begin, starts)
                 weight = np.concatenate([[0], np.cumsum(size)])[where]
                 if passing is not None:
@@ -182,7 +186,7 @@ def rarest(held: DataFrame, df: DataFrame, share: float) -> DataFrame:
     """(id, fld, n, b0, b1, chunks) of the chunks, rarest first, that start below the share of their class."""
     one = held.select("id", "fld", "n", "b0", "b1", "length", F.explode("chunks").alias("chunk")).join(df, "chunk", "left")
     order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.col("chunk").bitwiseAND(LONGEST)
+    size = F.col("chunk").bitwiseAND(LENGTH_BITS)
     one = one.withColumn("before", F.coalesce(F.sum(size).over(order), F.lit(0)))
     return one.where((F.col("before") <= share * F.col("length")) & F.col("df").isNotNull()).drop("before", "df", "length").dropDuplicates(["id", "chunk"])
 
@@ -202,7 +206,7 @@ def overlaps(pairs: DataFrame, held: DataFrame, train: DataFrame) -> DataFrame:
     """Sums the lengths of the chunks shared by each pair into overlap fractions of both records."""
     side = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), F.col("chunks").alias(f"{p}_c"), F.col("length").alias(f"{p}_len"))
     joined = join_small(join_small(side(held, "e"), pairs, ["e_id"]).transform(stored), side(train, "t"), ["t_id"], swap=True)
-    total = lambda own, other: F.aggregate(F.filter(own, lambda x: F.array_contains(other, x)), F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(LONGEST))
+    total = lambda own, other: F.aggregate(F.filter(own, lambda x: F.array_contains(other, x)), F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(LENGTH_BITS))
     share = lambda p, o: (total(F.col(f"{p}_c"), F.col(f"{o}_c")) / F.col(f"{p}_len")).alias(f"overlap_{p}")
     return joined.select("e_id", "t_id", share("e", "t"), share("t", "e"))
 

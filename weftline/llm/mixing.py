@@ -99,6 +99,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     A document that would overrun the budget is passed over, and the order is gone through again for
     the room left until no document fits; then the one that comes nearest may overrun it.
     """
+    sizes = sizes.select("doc_id", "source", "tokens", "quality")
     plan = stored(budgets(sizes, targets, total)).select("source", "max_repeat", "epochs", "rest")  # a row a target
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rows = sizes.join(F.broadcast(plan), "source")

@@ -153,8 +153,8 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, tokens) -> (container_id, doc_id, part, tokens, filled)."""
     items = stored(parts(sizes, capacity))
     h = np.zeros(capacity + 1, np.int64)
-    for r in items.groupBy("tokens").count().toLocalIterator():  # at most `capacity` rows
-        h[r["tokens"]] = r["count"]
+    for r in items.groupBy("tokens").agg(F.count("*").alias("n")).toLocalIterator():  # at most `capacity` rows
+        h[r["tokens"]] = r["n"]
     where, _ = slots(solve(h, capacity), capacity)
     shared = items.sparkSession.sparkContext.broadcast(where)
 
