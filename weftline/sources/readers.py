@@ -82,7 +82,7 @@ def csv_text(spark: SparkSession, path: str, text: tuple[str, ...] = TEXT_COLUMN
 def csv_strings(spark: SparkSession, path: str) -> DataFrame:
     """Every cell as it stands: empty cells and the word nan stay."""
     df = spark.read.options(header="true", inferSchema="false", multiLine="true", escape='"', nullValue="\u0001", emptyValue="").csv(path)
-    return df.toDF(*(c.lstrip("﻿") for c in df.columns))
+    return df.toDF(*(c.lstrip("﻿") for c in df.columns)).na.fill("")
 
 
 def any_text(spark: SparkSession, path: str, source: str) -> DataFrame:
