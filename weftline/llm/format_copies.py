@@ -89,4 +89,17 @@ def p6_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(all_records(spark, sf_dir)).where("id = keep_id").select("tbl", "keep_id", "copies")
 
 
+_CUT = r"regexp_replace(lower({}), '[\t-\r\x{{1c}}-\x{{20}}\x{{85}}\p{{Z}}\p{{P}}]+', '', 'g')"
+_OK = r"{0} IS NOT NULL AND lower(regexp_replace({0}, '[\t-\r\x{{1c}}-\x{{20}}\x{{85}}\p{{Z}}]+', '', 'g')) NOT IN ('', 'nan')"
+_FIELD = "string_split(payload, chr(9))[list_position(string_split(head_line, chr(9)), '{}')]"
+_JSON = "CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.{}') END"
+_GROUPS = f"""WITH r AS (SELECT 'pool_pairs' AS tbl, row_id AS id, s, t FROM pool_pairs
+    UNION ALL SELECT 'raw_lines', line_id, {_JSON.format("s")}, {_JSON.format("t")} FROM raw_lines WHERE head_line IS NULL
+    UNION ALL SELECT 'raw_lines', line_id, {_FIELD.format("src")}, {_FIELD.format("tgt")} FROM raw_lines WHERE head_line IS NOT NULL AND len(string_split(head_line, chr(9))) = len(string_split(payload, chr(9)))),
+k AS (SELECT tbl, id, {_CUT.format("s")} AS a, {_CUT.format("t")} AS b FROM r WHERE {_OK.format("s")} AND {_OK.format("t")}),
+g AS (SELECT tbl, id, min(id) OVER w AS keep_id, count(*) OVER w AS copies FROM k WINDOW w AS (PARTITION BY tbl, least(a, b), greatest(a, b)))"""
+SQL = {
+    "p6_found": f"{_GROUPS} SELECT tbl, keep_id, id AS dup_id FROM g WHERE id <> keep_id",
+    "p6_copies": f"{_GROUPS} SELECT tbl, keep_id, copies FROM g WHERE id = keep_id",
+}
 QUERIES = {"p6_found": p6_found, "p6_copies": p6_copies}
