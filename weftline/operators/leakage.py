@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import flat
 from weftline.functions import text as T
 
 
@@ -44,40 +48,102 @@ def by_key(rows: DataFrame, lines: DataFrame, key, kind: str) -> DataFrame:
     return keyed.join(own, ["side", "_k"]).select("row_id", "side", F.lit(kind).alias("kind"), F.lit(1.0).alias("score"), "item_id")
 
 
-def _prefix(df: DataFrame, id_: list[str], rank: DataFrame, least: float) -> DataFrame:
-    """The rarest grams of each set, one more than may be missing at the similarity: any match shares one.
+#: Distinct grams of the lines up to which their counts are broadcast, 16 bytes each; more are joined.
+SMALL_GRAMS = 2_000_000
+SETS = "id long, side string, n int, g array<long>"
 
-    Grams that no line has are the rarest of all; they count, but need not be shuffled.
-    """
-    # outer: the filter that an inner explode implies would be pushed into the scan, and the grams made twice
-    one = df.select(*id_, "n", F.explode_outer("g").alias("gram")).join(rank, "gram")
-    packed = one.groupBy(*id_, "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("p"))
-    keep = F.ceil(F.col("n") * F.lit(least) - 1e-9)
-    packed = packed.withColumn("k", (F.size("p") + 1 - keep).cast("int")).where("k > 0")
-    return packed.select(*id_, "n", F.explode(F.transform(F.slice("p", F.lit(1), F.col("k")), lambda x: x["gram"])).alias("gram"))
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, side, k) -> rows with text, and their distinct hashed grams: row, gram, and starts of the rows."""
+    for batch in batches:
+        for first, part in flat.slices(batch.column(2)):
+            cps, starts = flat.decode(part)
+            size = np.diff(starts)
+            count = np.where(size >= n, size - n + 1, np.minimum(size, 1))
+            row = np.repeat(np.arange(len(part)), count)
+            begin = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + starts[row]
+            gram = flat.span_hash(flat.prefix_hash(cps), begin, np.minimum(begin + n, starts[row + 1]))
+            order = np.lexsort((gram, row))
+            row, gram = row[order], gram[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+            row, gram = row[new], gram[new]
+            yield batch.slice(first, len(part)), row, gram, np.searchsorted(row, np.arange(len(part) + 1))
 
 
 def gram_sets(df: DataFrame, id_: str, text: str, n: int) -> DataFrame:
-    """(id, side, g, n): the runs of the loose key; the key is made once, not for every run."""
-    keyed = df.select(id_, "side", F.replace(T.loose_key(text), F.lit(" "), F.lit("")).alias("k")).where("k <> ''")
-    return keyed.select(id_, "side", T.grams("k", n).alias("g")).withColumn("n", F.size("g"))
+    """SETS of the loose keys: distinct runs of n characters as 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, gram, at in _sets(batches, n):
+            out = pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(at).astype(np.int32)), flat.list_array(flat.i64(gram), at)], ["id", "side", "n", "g"])
+            yield out.filter(pa.array(np.diff(at) > 0))
+
+    return _keyed(df, id_, text).mapInArrow(run, SETS)
+
 
+def _keyed(df: DataFrame, id_: str, text: str) -> DataFrame:
+    return df.select(F.col(id_).alias("id"), "side", F.replace(T.loose_key(text), F.lit(" "), F.lit("")).alias("k"))
+
+
+def _prefixed(df: DataFrame, id_: str, text: str, n: int, least: float, ranks) -> DataFrame:
+    """SETS with p, the rarest grams: as many as any match of the similarity must share one of; rows without are dropped.
+
+    ranks: broadcast (sorted grams, their counts) of the lines. Grams that no line has are rarest of all;
+    they take their places in the count, but cannot match.
+    """
 
-def near(rows: DataFrame, lines: DataFrame, least: float = 0.8, n: int = 5) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = ranks.value
+        for rows, row, gram, at in _sets(batches, n):
+            slot = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
+            df_ = np.where(known[slot] == gram, counts[slot], 0) if len(known) else np.zeros(len(gram), np.int64)
+            order = np.lexsort((gram, df_, row))
+            size = np.diff(at)
+            need = size - np.ceil(size * least - 1e-9).astype(np.int64) + 1
+            place = np.arange(len(row)) - at[row]
+            keep = (place < need[row]) & (df_[order] > 0)
+            prefix, starts = flat.compact(gram[order], at, keep)
+            out = pa.RecordBatch.from_arrays(
+                [rows.column(0), rows.column(1), pa.array(size.astype(np.int32)), flat.list_array(flat.i64(gram), at), flat.list_array(flat.i64(prefix), starts)],
+                ["id", "side", "n", "g", "p"],
+            )
+            yield out.filter(pa.array(np.diff(starts) > 0))
+
+    return _keyed(df, id_, text).mapInArrow(run, SETS + ", p array<long>")
+
+
+def _prefix_joined(sets: DataFrame, rank: DataFrame, least: float) -> DataFrame:
+    """As _prefixed, for counts too many to broadcast."""
+    one = sets.select("id", "side", F.explode_outer("g").alias("gram")).join(rank, "gram")
+    packed = one.groupBy("id", "side").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("c"))
+    k = (F.size("c") + 1 - F.ceil(F.col("n") * F.lit(least) - 1e-9)).cast("int")
+    rows = sets.join(packed, ["id", "side"]).withColumn("k", k).where("k > 0")
+    return rows.select("id", "side", "n", "g", F.transform(F.slice("c", F.lit(1), F.col("k")), lambda x: x["gram"]).alias("p"))
+
+
+def near(rows: DataFrame, lines: DataFrame, least: float = 0.8, n: int = 5, small: int = SMALL_GRAMS) -> DataFrame:
     """The most similar line of the same side by Jaccard similarity of runs of n, if at least `least`.
 
     Sets are joined by their rarest grams only, a superset of all pairs of the similarity, and the pairs
     are scored on the full sets. Ties go to the lower item_id.
     """
-    q, d = gram_sets(rows, "row_id", "text", n), gram_sets(lines, "item_id", "line", n)
-    rank = d.select(F.explode_outer("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    a = _prefix(q, ["row_id", "side"], rank, least).withColumnRenamed("n", "nq")
-    b = _prefix(d, ["item_id", "side"], rank, least).withColumnRenamed("n", "nd")
+    rank = gram_sets(lines, "item_id", "line", n).select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    if rank.limit(small + 1).count() <= small:
+        table = rank.toArrow()
+        gram, df = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+        order = np.argsort(gram)
+        ranks = rows.sparkSession.sparkContext.broadcast((gram[order], df[order]))
+        q, d = (_prefixed(x, i, t, n, least, ranks) for x, i, t in ((rows, "row_id", "text"), (lines, "item_id", "line")))
+    else:
+        q, d = (_prefix_joined(gram_sets(x, i, t, n), rank, least) for x, i, t in ((rows, "row_id", "text"), (lines, "item_id", "line")))
+    a = q.select(F.col("id").alias("row_id"), "side", F.col("n").alias("nq"), "g", F.explode("p").alias("gram"))
+    b = d.select(F.col("id").alias("item_id"), "side", F.col("n").alias("nd"), F.col("g").alias("h"), F.explode("p").alias("gram"))
     sized = (F.col("nd") >= F.ceil(F.col("nq") * least - 1e-9)) & (F.col("nq") >= F.ceil(F.col("nd") * least - 1e-9))
-    pairs = a.join(b, ["side", "gram"]).where(sized).select("row_id", "side", "item_id").distinct()
-    full = pairs.join(q, ["row_id", "side"]).join(d.select("item_id", "side", F.col("g").alias("h")), ["item_id", "side"])
+    pairs = a.join(b, ["side", "gram"]).where(sized)
     shared = F.size(F.array_intersect("g", "h"))
-    scored = full.select("row_id", "side", "item_id", (shared / (F.size("g") + F.size("h") - shared)).alias("score")).where(F.col("score") >= least - 1e-12)
+    score = shared / (F.col("nq") + F.col("nd") - shared)
+    scored = pairs.select("row_id", "side", "item_id", score.alias("score")).where(F.col("score") >= least - 1e-12)
     best = F.max_by(F.struct("item_id", "score"), F.struct("score", -F.col("item_id"))).alias("m")
     return scored.groupBy("row_id", "side").agg(best).select("row_id", "side", F.lit("near").alias("kind"), "m.score", "m.item_id")
 

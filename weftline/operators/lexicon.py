@@ -23,19 +23,29 @@ def word_rows(texts: DataFrame, text: str = "text", id_: str = "row_id", key=T.s
     return rows.select(id_, F.col("pos").cast("long").alias("pos"), "form", at(2).alias("key"), at(1).alias("prev"), at(3).alias("next"))
 
 
-def majority(rows: DataFrame, keys: list[str], least: int, dominance: float = 0.0, drop_same: bool = False, id_: str = "row_id") -> DataFrame:
-    """(keys, form, n, total): the most frequent form of each key; ties to the one met first.
+def form_counts(rows: DataFrame, keys: list[str], id_: str = "row_id") -> DataFrame:
+    """(keys, form, n, first): how often and where first each form stands for the keys."""
+    return rows.groupBy(*keys, "form").agg(F.count("*").alias("n"), F.min(F.struct(F.col(id_).alias("row"), "pos")).alias("first"))
+
+
+def majority_of(counts: DataFrame, keys: list[str], least: int, dominance: float = 0.0, drop_same: bool = False) -> DataFrame:
+    """(keys, form, n, total) from form_counts of these keys or finer ones; ties go to the form met first.
 
-    Forms are counted before the shuffle, and the majority is a second aggregate, not a sort.
+    The majority is an aggregate, not a sort.
     """
-    counts = rows.groupBy(*keys, "form").agg(F.count("*").alias("n"), F.min(F.struct(id_, "pos")).alias("first"))
-    best = F.max_by(F.struct("form", "n"), F.struct("n", (-F.col(f"first.{id_}")).alias("a"), (-F.col("first.pos")).alias("b"))).alias("b")
+    counts = counts.groupBy(*keys, "form").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    best = F.max_by(F.struct("form", "n"), F.struct("n", (-F.col("first.row")).alias("a"), (-F.col("first.pos")).alias("b"))).alias("b")
     top = counts.groupBy(*keys).agg(best, F.sum("n").alias("total"))
     out = top.select(*keys, F.col("b.form").alias("form"), F.col("b.n").alias("n"), "total")
     out = out.where((F.col("total") >= least) & (F.col("n") >= F.col("total") * F.lit(dominance)))
     return out.where("form <> key") if drop_same else out
 
 
+def majority(rows: DataFrame, keys: list[str], least: int, dominance: float = 0.0, drop_same: bool = False, id_: str = "row_id") -> DataFrame:
+    """majority_of the forms of word_rows."""
+    return majority_of(form_counts(rows, keys, id_), keys, least, dominance, drop_same)
+
+
 @dataclass
 class Lexicon:
     """unigram (key, form) and context tables keyed by (prev, key, next), (prev, key), (key, next)."""
@@ -54,12 +64,13 @@ def pruned(context: DataFrame, unigram: DataFrame) -> DataFrame:
 
 def build(texts: DataFrame, least: int = 3, dominance: float = 0.0, context_least: int = 2, context: tuple[str, ...] = (), prune: bool = True) -> Lexicon:
     """context: any of both, left, right. With a single one it is pruned, with several kept whole."""
-    rows = word_rows(texts)
-    uni = majority(rows, ["key"], least, dominance, drop_same=True)
+    # one pass over the words: coarser counts are sums of the finest ones, whose shuffle the tables share
+    counts = form_counts(word_rows(texts), ["prev", "key", "next"] if context else ["key"])
+    uni = majority_of(counts, ["key"], least, dominance, drop_same=True)
     keys = {"both": ["prev", "key", "next"], "left": ["prev", "key"], "right": ["key", "next"]}
     tables = {}
     for name in context:
-        t = majority(rows, keys[name], context_least)
+        t = majority_of(counts, keys[name], context_least)
         tables[name] = pruned(t, uni) if prune and len(context) == 1 else t
     return Lexicon(uni, **tables)
 
