@@ -91,6 +91,30 @@ def test_models(spark):
     assert models.calibrate(lambda b: 10 - b, 7.0) == pytest.approx(3.0, abs=1e-4)
 
 
+def test_settings_vectors_and_restoration(spark, tmp_path):
+    writers.tuned({"length": 0.5}, str(tmp_path / "w.yaml"), "found by search")
+    assert readers.settings(str(tmp_path / "w.yaml")) == {"w_length": 0.5}
+    (tmp_path / "n.yaml").write_text("a:\n  b: 1\n")
+    with pytest.raises(ValueError):
+        readers.settings(str(tmp_path / "n.yaml"))
+    df = spark.createDataFrame([("ab",), ("ab",), ("c",)], "text string")
+    calls = []
+
+    def embed(new):
+        calls.append(new.count())
+        return new.select("key", F.array(F.length("text").cast("float")).alias("embedding"))
+
+    for _ in range(2):
+        assert sorted(r["embedding"][0] for r in writers.cached_vectors(spark, df, embed, str(tmp_path / "v")).collect()) == [1.0, 2.0, 2.0]
+    assert calls == [2, 0]
+    gold = spark.createDataFrame([("کِتِ",)], "text string")
+    tagger = lambda: lambda xs: [[[0.0, 1.0, 0.0, 0.0] for _ in x] for x in xs]
+    got = {(r["bias"], r["mark"]): (r["hit"], r["density_pred"]) for r in pipelines.evaluate_restoration(gold, tagger, [0.0, 9.0]).collect()}
+    assert got[0.0, "kasra"] == (2, 50.0) and got[9.0, "kasra"] == (0, 0.0)
+    with pytest.raises(AssertionError):
+        pipelines.guarded_restoration(gold, lambda x: x)
+
+
 def test_pipelines(spark):
     text = "اب اب اب اب"
     pairs = spark.createDataFrame([(i, f"word{i} two three", text + " " + chr(0x628 + i), "bpcc-seed-v1" if i % 2 else "bpcc-seed-latest", "human") for i in range(20)], "row_id long, src string, tgt string, config string, provenance string")

@@ -181,3 +181,11 @@ def composition_counts(c: Column | str, pairs: list[tuple[str, str]]) -> Column:
     for pre, seq in pairs:
         out += [F.regexp_count(col(c), F.lit(pre)).alias(f"pre_{ord(pre):04x}"), F.regexp_count(col(c), F.lit(seq)).alias(f"seq_{ord(pre):04x}")]
     return F.struct(*out)
+
+
+def is_nfc(c: Column | str) -> Column:
+    @F.arrow_udf("boolean")
+    def run(t: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unicodedata.is_normalized("NFC", x) for x in t.to_pylist()], pa.bool_())
+
+    return run(col(c))

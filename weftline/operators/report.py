@@ -116,3 +116,14 @@ def no_op_guard(before: float, after: float) -> None:
 def share_alike(df: DataFrame, sources: str, restricted: list[str]) -> DataFrame:
     """Adds share_alike: does any recorded source, up to its colon, oblige to it?"""
     return df.withColumn("share_alike", F.exists(sources, lambda s: F.substring_index(s, ":", 1).isin(restricted)))
+
+
+def vocabulary(df: DataFrame, text: str, least: int = 5) -> DataFrame:
+    """(char, n): characters of the stripped texts that occur `least` times or more."""
+    chars = df.select(F.explode(F.filter(F.split(T.strip_key(F.coalesce(F.col(text), F.lit(""))), ""), lambda x: x != "")).alias("char"))
+    return chars.groupBy("char").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def examples(df: DataFrame, n: int, order: str, descending: bool = True) -> DataFrame:
+    """The n rows first by the column."""
+    return df.orderBy(F.col(order).desc() if descending else F.col(order)).limit(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -248,3 +249,34 @@ def mark_scores(pairs: DataFrame, gold: str = "gold", pred: str = "pred", side:
 
 def line_accuracy(pairs: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     return pairs.agg(F.round(F.avg((F.col(gold) == F.col(pred)).cast("double")), 6).alias("accuracy"))
+
+
+def winner_report(winners: DataFrame) -> DataFrame:
+    """(pools, agreement, mean_place): winners (pool, j), the share that chose candidate 0, the mean place of the winner."""
+    return winners.agg(F.count("*").alias("pools"), F.round(F.avg((F.col("j") == 0).cast("double")), 6).alias("agreement"), F.round(F.avg("j"), 6).alias("mean_place"))
+
+
+def winner_counts(winners: DataFrame) -> DataFrame:
+    """(j, n): how often each place won."""
+    return winners.groupBy("j").agg(F.count("*").alias("n"))
+
+
+def against_reference(candidates: DataFrame, refs: DataFrame) -> DataFrame:
+    """(pool, j, text) and (pool, ref) -> (pool, j, chrf) of every candidate against its pool's reference."""
+
+    @F.pandas_udf("double")
+    def score(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+        return pd.Series([float(N.pairwise_chrf([h or "", r or ""])[0, 1]) for h, r in zip(hyp, ref)], dtype="float64")
+
+    joined = candidates.where(F.length(T.clean("text")) > 0).join(refs.select("pool", "ref"), "pool")
+    return joined.select("pool", F.col("j").cast("long").alias("j"), F.round(score("text", "ref"), 9).alias("chrf"))
+
+
+def oracle_select(candidates: DataFrame, refs: DataFrame) -> DataFrame:
+    """The candidate nearest the reference; ties to the lowest j. What a perfect selector would reach."""
+    return best_by(against_reference(candidates, refs), "pool", [F.col("chrf"), -F.col("j")], ["j", "chrf"])
+
+
+def mean_ratio(pairs: DataFrame, src: str, tgt: str) -> DataFrame:
+    """(mean_ratio): the mean over rows of target by source length, not the ratio of sums."""
+    return pairs.agg(F.round(F.avg(F.length(tgt) / F.greatest(F.length(src), F.lit(1))), 6).alias("mean_ratio"))

@@ -373,6 +373,25 @@ def q55(spark, d):
     return out.select("strategy", "lines", F.round(F.col("marks") * 100.0 / F.col("chars"), 6).alias("density"), "exact")
 
 
+def q57(spark, d):
+    return report.vocabulary(raw(spark, d), "tgt", 50)
+
+
+def q58(spark, d):
+    return scoring.winner_report(scoring.mbr_select(scoring.pools(_candidates(spark, d))))
+
+
+def q59(spark, d):
+    """The candidate of each pool nearest its longest member."""
+    c = _candidates(spark, d)
+    refs = c.groupBy("pool").agg(F.max_by("text", F.struct(F.length("text"), -F.col("j"))).alias("ref"))
+    return scoring.oracle_select(c, refs).select("pool", "j", F.round("chrf", 6).alias("chrf"))
+
+
+def q60(spark, d):
+    return scoring.mean_ratio(filters.nonempty(raw(spark, d), "src", "tgt"), "src", "tgt")
+
+
 # alignment --------------------------------------------------------------------------------------
 
 
@@ -458,6 +477,7 @@ NAMES = {
     "q43_rolling_majority": q43, "q44_validator": q44, "q45_neighbour_context": q45, "q46_loose_key_exact": q46, "q46_loose_key": q46_sql,
     "q47_encode_decode": q47, "q48_chunk": q48, "q49_decide_rules": q49, "q50_arabic_shares": q50, "q51_score_filter": q51,
     "q52_text_reasons": q52, "q53_overlap_count": q53, "q54_upweight_pairs": q54, "q55_restoration_strategies": q55, "q56_twin_files": q56,
+    "q57_vocabulary": q57, "q58_winner_report": q58, "q59_oracle_select": q59, "q60_mean_ratio": q60,
 }
 
 

@@ -211,6 +211,10 @@ chrf AS (SELECT pool, h, r, CASE WHEN avg(p) + avg(q) > 0 THEN 500 * avg(p) * av
 util AS (SELECT c.pool, c.j, c.text, coalesce(round(avg(s), 9), 0.0) AS u, count(*) OVER (PARTITION BY c.pool, c.text) AS n FROM cand c LEFT JOIN chrf ON chrf.pool = c.pool AND chrf.h = c.j GROUP BY c.pool, c.j, c.text)"""
 SQL["q35_chrf_pairs"] = f"WITH {_CHRF} SELECT pool, h, r, round(s, 6) AS chrf FROM chrf"
 SQL["q36_mbr_select"] = f"WITH {_CHRF} SELECT pool, j, round(u, 6) AS utility FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY u DESC, n DESC, j) AS k FROM util) WHERE k = 1"
+SQL["q58_winner_report"] = f"WITH {_CHRF}, w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY u DESC, n DESC, j) AS k FROM util) WHERE k = 1) SELECT count(*) AS pools, round(avg(CASE WHEN j = 0 THEN 1.0 ELSE 0.0 END), 6) AS agreement, round(avg(j), 6) AS mean_place FROM w"
+SQL["q59_oracle_select"] = f"""WITH {_CHRF}, ref AS (SELECT pool, arg_max(j, length(text) * 100 - j) AS r FROM cand GROUP BY 1), s AS (SELECT c.pool, c.j, CASE WHEN c.j = ref.r OR c.text = t.text THEN 100.0 ELSE chrf.s END AS s
+    FROM cand c JOIN ref USING (pool) JOIN cand t ON t.pool = c.pool AND t.j = ref.r LEFT JOIN chrf ON chrf.pool = c.pool AND chrf.h = c.j AND chrf.r = ref.r)
+SELECT pool, j, round(s, 6) AS chrf FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY round(s, 9) DESC, j) AS k FROM s) WHERE k = 1"""
 _MARKERS = ", ".join(f"'{w}'" for w in T.MARKER_WORDS)
 _EDGE = T.EDGE_SIGNS.replace("'", "''")
 _FEATURES = f"""{_CHRF}, {_UNI},
@@ -252,6 +256,8 @@ SELECT strategy, count(*) AS lines, round(sum({count('pred', M)}) * 100.0 / sum(
 SQL["q41_align_corr"] = f"""WITH {PAIRS}, b AS (SELECT (row_id - 1) // 50 AS block, count(*) AS n, sum(length(src)) AS x, sum(length(tgt)) AS y, sum(length(src) * length(tgt)) AS xy, sum(length(src) ** 2) AS xx, sum(length(tgt) ** 2) AS yy FROM pairs GROUP BY 1),
 r AS (SELECT block, n, round(CASE WHEN n * xx - x * x > 0 AND n * yy - y * y > 0 THEN (n * xy - x * y) / sqrt((n * xx - x * x)::DOUBLE * (n * yy - y * y)::DOUBLE) ELSE 0.0 END, 6) AS r FROM b)
 SELECT CAST(block AS BIGINT) AS block, n, r, n < 50 OR r >= 0.5 AS keep FROM r"""
+SQL["q57_vocabulary"] = f"SELECT char, count(*) AS n FROM (SELECT unnest(regexp_extract_all({strip('tgt')}, '(?s).')) AS char FROM raw_pairs WHERE tgt IS NOT NULL) GROUP BY 1 HAVING count(*) >= 50"
+SQL["q60_mean_ratio"] = f"WITH {PAIRS} SELECT round(avg({RATIO}), 6) AS mean_ratio FROM pairs"
 _COS = """b AS (SELECT vec_id + CAST(floor(vec_id / 50) AS BIGINT) % 3 - 1 AS vec_id, embedding FROM embeddings),
 cosx AS (SELECT a.vec_id, s, max(round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)) AS c FROM embeddings a, (SELECT unnest([-1, 0, 1]) AS s), b WHERE b.vec_id = a.vec_id + s GROUP BY 1, 2),
 cos3 AS (SELECT e.vec_id, """ + ", ".join(f"coalesce(max(CASE WHEN s = {s} THEN c END), -1.0) AS cos_{i}" for i, s in enumerate((-1, 0, 1))) + " FROM embeddings e LEFT JOIN cosx USING (vec_id) GROUP BY 1)"

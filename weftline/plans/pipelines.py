@@ -101,3 +101,28 @@ def score_report(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFr
     if n:
         raise ValueError("hypotheses and references differ in number")
     return corpus_scores(pairs, hyp, ref)
+
+
+def evaluate_restoration(gold: DataFrame, load, biases: list[float], text: str = "text") -> DataFrame:
+    """(bias, side, mark, gold, pred, hit, p, r, f1, density_gold, density_pred) of a tagger for each bias.
+
+    Marks are stripped, restored and compared; each density is over its own text's length.
+    """
+    from weftline.operators import models, scoring
+
+    out = None
+    for bias in biases:
+        pairs = models.tag(gold.select(F.col(text).alias("gold")), load, "gold", none_bias=bias).withColumnRenamed("restored", "pred")
+        density = lambda c: F.sum(T.mark_count(c)) * 100.0 / F.greatest(F.sum(F.length(c)), F.lit(1))
+        both = pairs.agg(F.round(density("gold"), 6).alias("density_gold"), F.round(density("pred"), 6).alias("density_pred"))
+        one = scoring.mark_scores(pairs).crossJoin(F.broadcast(both)).withColumn("bias", F.lit(float(bias)))  # one row
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def guarded_restoration(texts: DataFrame, restore, text: str = "text") -> DataFrame:
+    """restore(texts), once it is seen to raise the density of marks."""
+    out = restore(texts)
+    sums = lambda df: df.agg((F.sum(T.mark_count(text)) * 100.0 / F.greatest(F.sum(F.length(text)), F.lit(1))).alias("d")).first()["d"] or 0.0
+    report.no_op_guard(sums(texts), sums(out))
+    return out

@@ -146,3 +146,23 @@ def lexicon_json(spark: SparkSession, path: str):
 def given(spark: SparkSession, texts: list[str]) -> DataFrame:
     """(row_id, text) of texts at hand."""
     return spark.createDataFrame(list(enumerate(texts, 1)), "row_id long, text string")
+
+
+def settings(path: str) -> dict:
+    """A flat YAML file of `name: value` lines as a dict of numbers, booleans and strings; nested ones are an error."""
+    out: dict = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            body = line.split("#", 1)[0].rstrip()
+            if not body.strip():
+                continue
+            if body[0].isspace() or ":" not in body:
+                raise ValueError(f"not a flat setting: {line.strip()}")
+            name, value = (x.strip() for x in body.split(":", 1))
+            for kind in (int, float):
+                try:
+                    out[name] = kind(value)
+                    break
+                except ValueError:
+                    out[name] = {"true": True, "false": False, "null": None, "": None}.get(value.lower(), value.strip("'\""))
+    return out

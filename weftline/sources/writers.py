@@ -83,6 +83,21 @@ def cached_scores(spark: SparkSession, rows: DataFrame, score, path: str, text:
     return keyed.join(spark.read.parquet(path), "key", "left").drop("key")
 
 
+def cached_vectors(spark: SparkSession, rows: DataFrame, embed, path: str, text: str = "text", model: str = "") -> DataFrame:
+    """rows with embedding; vectors are kept in Parquet by the hash of text and model, only new texts are embedded.
+
+    embed: (key, text) -> (key, embedding).
+    """
+    keyed = rows.withColumn("key", F.sha2(F.concat_ws("\u0001", F.lit(model), text), 256))
+    try:
+        known = spark.read.parquet(path).select("key")
+    except Exception:  # nothing there yet
+        known = spark.createDataFrame([], "key string")
+    new = keyed.select("key", text).dropDuplicates(["key"]).join(known, "key", "left_anti")
+    embed(new).select("key", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("append").parquet(path)
+    return keyed.join(spark.read.parquet(path), "key", "left").drop("key")
+
+
 def pools(wide: DataFrame, path: str, system: str, meta: dict | None = None) -> None:
     wide.select(F.col("pool").alias("i"), "src", F.lit(system).alias("system"), "candidates").write.mode("overwrite").json(path)
     if meta is not None:
