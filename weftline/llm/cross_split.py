@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm import bloom, flat
+from weftline.functions import flat
+from weftline.llm import bloom
 from weftline.llm.common import HOT, has_text, join_small, stored, table
 
 GRAM = 5
@@ -192,10 +193,22 @@ def rarest(held: DataFrame, df: DataFrame, share: float) -> DataFrame:
 
 
 def candidates(held: DataFrame, train: DataFrame, similarity: float, min_overlap: float) -> DataFrame:
-    """Pairs (e_id, t_id) of classes that share a rare chunk and whose sketches allow the similarity."""
-    posted = train.select("id", "fld", "n", "b0", "b1", F.explode(F.array_distinct("chunks")).alias("chunk"))
-    df = posted.groupBy("chunk").agg(F.count("*").alias("df"))
-    e, t = rarest(held, df, 1 - min_overlap).alias("e"), posted.alias("t")
+    """Pairs (e_id, t_id) of classes that share a rare chunk and whose sketches allow the similarity.
+
+    Of the train chunks only those that pass a second filter, of the rare held-out ones, are shuffled.
+    """
+    df = train.select(F.explode(F.array_distinct("chunks")).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("df"))
+    rare = stored(rarest(held, df, 1 - min_overlap))
+    passing = held.sparkSession.sparkContext.broadcast(bloom.fit(rare.select("chunk")))
+
+    @F.arrow_udf("array<bigint>")
+    def wanted(chunks: pa.Array) -> pa.Array:
+        start, values = chunks.offsets.to_numpy(), chunks.values.to_numpy(zero_copy_only=False)
+        kept, at = flat.compact(values, start.astype(np.int64), bloom.passes(passing.value, values))
+        return flat.list_array(pa.array(kept), at)
+
+    few = train.select("id", "fld", "n", "b0", "b1", wanted(F.array_distinct("chunks")).alias("chunks")).where(F.size("chunks") > 0)
+    e, t = rare.alias("e"), few.select("id", "fld", "n", "b0", "b1", F.explode("chunks").alias("chunk")).alias("t")
     apart = F.bit_count(F.col("e.b0").bitwiseXOR(F.col("t.b0"))) + F.bit_count(F.col("e.b1").bitwiseXOR(F.col("t.b1")))
     loss = (1 - similarity) / (1 + similarity)
     near = (F.col("e.fld") == F.col("t.fld")) & (apart <= (F.col("e.n") + F.col("t.n")) * (loss + 1e-9))
