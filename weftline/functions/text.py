@@ -46,7 +46,8 @@ def flatten(c: Column | str) -> Column:
 
 def clean(c: Column | str) -> Column:
     """flatten, and the word nan in any case as empty."""
-    return F.regexp_replace(flatten(c), "^(?i:nan)$", "")
+    flat = flatten(c)  # used twice on every row, so it is computed once
+    return F.repeat(flat, (F.lower(flat) != "nan").cast("int"))
 
 
 def is_nan_like(c: Column | str) -> Column:
@@ -59,7 +60,8 @@ def words(c: Column | str) -> Column:
 
 
 def n_words(c: Column | str) -> Column:
-    return F.regexp_count(F.coalesce(col(c), F.lit("")), F.lit(f"[^{WS[1:-1]}]+")).cast("long")
+    flat = flatten(c)
+    return (F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + (flat != "").cast("int")).cast("long")
 
 
 def count_of(c: Column | str, chars: str) -> Column:

@@ -22,10 +22,14 @@ def language_is(df: DataFrame, **wanted: str) -> DataFrame:
     return df
 
 
+def ratio_ok(src: str, tgt: str, ratio: tuple[float, float] = (0.5, 2.0)) -> Column:
+    """Target by source characters within the bounds, both included."""
+    return (F.length(tgt) / F.greatest(F.length(src), F.lit(1))).between(*ratio)
+
+
 def length_ok(src: str, tgt: str, words: tuple[int, int] = (1, 200), ratio: tuple[float, float] = (0.5, 2.0)) -> Column:
-    """Source words and the ratio of characters within the bounds, both included."""
-    r = F.length(tgt) / F.greatest(F.length(src), F.lit(1))
-    return T.n_words(src).between(*words) & r.between(*ratio)
+    """Source words and the ratio of characters within the bounds, all included."""
+    return ratio_ok(src, tgt, ratio) & T.n_words(src).between(*words)
 
 
 def script_reason(c: str, devanagari: float = 0.10, arabic: float = 0.80) -> Column:
@@ -74,7 +78,7 @@ def waterfall(df: DataFrame, src: str = "src", tgt: str = "tgt", order: str = "r
     df = df.withColumns({src: T.clean(src), tgt: T.clean(tgt)})
     reason = (
         F.when((F.length(src) == 0) | (F.length(tgt) == 0), "empty")
-        .when(~length_ok(src, tgt, (0, 1 << 30), ratio), "ratio")
+        .when(~ratio_ok(src, tgt, ratio), "ratio")
         .when(T.arabic_share(tgt) < arabic, "script")
         .when(T.has_devanagari(tgt), "devanagari")
     )
