@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,17 @@ def test_ngram_metrics():
     assert N.pairwise_chrf(["ab", "abc"])[0, 1] == pytest.approx(100 * 5 * p * r / (4 * p + r))
 
 
+def test_pools_against_counted_pairs():
+    rng = random.Random(6)
+    pools = [["".join(rng.choices("abc ,.é", k=rng.randrange(0, 30))) for _ in range(rng.randrange(1, 6))] for _ in range(40)]
+    for texts, got in zip(pools, N.pools_chrf(pools)):
+        for i, h in enumerate(texts):
+            for j, r in enumerate(texts):
+                s = np.array(N.chrf_statistics(h, r)).reshape(-1, 3)
+                assert got[i, j] == pytest.approx(float(N.f_score(s[:, 0], s[:, 1], s[:, 2])))
+    assert N.pools_chrf([]) == []
+
+
 def test_consensus_and_rerank(spark):
     cand = [(1, 0, "ab cd"), (1, 1, "ab cd"), (1, 2, "ab ce"), (1, 3, ""), (2, 0, "x"), (3, 0, None), (4, 0, "aa"), (4, 1, "bb")]
     pooled = scoring.pools(spark.createDataFrame(cand, "pool long, j int, text string"))

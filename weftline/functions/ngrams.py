@@ -11,6 +11,8 @@ from collections import Counter
 
 import numpy as np
 
+from weftline.functions import flat
+
 CHAR_ORDER, WORD_ORDER, BETA = 6, 2, 2.0
 _PUNCT = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
@@ -47,26 +49,74 @@ def f_score(match: np.ndarray, hyp: np.ndarray, ref: np.ndarray, beta: float = B
     return np.where(down > 0, 100 * (1 + b) * p * r / np.where(down > 0, down, 1), 0.0)
 
 
+#: Pairs of candidates scored at once.
+PAIRS = 200_000
+
+
+def _shared(gram: np.ndarray, text: np.ndarray, pool: np.ndarray, place: np.ndarray, pairs: int) -> np.ndarray:
+    """Sum over the grams of each pool of the lesser count, for every pair of its texts.
+
+    gram: hashes; text: whose; pool, place: of each text, the first pair of its pool's row and its column.
+    """
+    order = np.lexsort((text, gram))
+    gram, text = gram[order], text[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(new)
+    count = np.diff(np.append(at, len(gram)))
+    gram, text = gram[at], text[at]
+    first = np.ones(len(gram), bool)
+    first[1:] = gram[1:] != gram[:-1]
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(gram)))
+    times = np.repeat(size, size)  # each text of a gram meets all texts of the gram
+    mine = np.repeat(np.arange(len(gram)), times)
+    other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(np.repeat(start, size), times)
+    return np.bincount(pool[text[mine]] + place[text[other]], np.minimum(count[mine], count[other]), pairs)
+
+
+def pools_chrf(pools: list[list[str]]) -> list[np.ndarray]:
+    """For each pool scores[h, r]: chrF++ of text h as a hypothesis for text r. Many pools in one pass."""
+    if sum(len(p) ** 2 for p in pools) > PAIRS and len(pools) > 1:
+        half = len(pools) // 2
+        return pools_chrf(pools[:half]) + pools_chrf(pools[half:])
+    sizes = np.array([len(p) for p in pools], np.int64)
+    texts = [t for p in pools for t in p]
+    base = np.concatenate([[0], np.cumsum(sizes**2)])
+    owner = np.repeat(np.arange(len(pools)), sizes)
+    place = np.arange(len(texts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row = base[owner] + place * sizes[owner]
+    salt = flat.mix(owner.astype(np.uint64) + np.uint64(1))
+    cps, starts = flat.of_strings(["".join(t.split()) for t in texts])
+    prefix, n_chars = flat.prefix_hash(cps), np.diff(starts)
+    ids: dict[str, int] = {}
+    words = [[ids.setdefault(w, len(ids)) for w in metric_words(t)] for t in texts]
+    n_words = np.array([len(w) for w in words], np.int64)
+    word = np.array([i for w in words for i in w], np.uint64)
+    word_at = np.concatenate([[0], np.cumsum(n_words)])
+    match, total = np.zeros((int(base[-1]), CHAR_ORDER + WORD_ORDER)), np.zeros((len(texts), CHAR_ORDER + WORD_ORDER), np.int64)
+    for o in range(CHAR_ORDER + WORD_ORDER):
+        n = o + 1 if o < CHAR_ORDER else o + 1 - CHAR_ORDER
+        length, first = (n_chars, starts) if o < CHAR_ORDER else (n_words, word_at)
+        count = np.maximum(length - n + 1, 0)
+        text = np.repeat(np.arange(len(texts)), count)
+        begin = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[text]
+        if o < CHAR_ORDER:
+            gram = flat.span_hash(prefix, begin, begin + n)
+        else:
+            gram = word[begin] if n == 1 else word[begin] << np.uint64(32) | word[begin + 1]
+        total[:, o] = count
+        match[:, o] = _shared(flat.mix(gram ^ salt[text]), text, row, place, len(match))
+    out = []
+    for p, k in enumerate(sizes):
+        own = np.flatnonzero(owner == p) if len(pools) == 1 else np.arange(np.searchsorted(owner, p), np.searchsorted(owner, p, "right"))
+        out.append(f_score(match[base[p] : base[p + 1]].reshape(k, k, -1), total[own][:, None, :], total[own][None, :, :]))
+    return out
+
+
 def pairwise_chrf(texts: list[str]) -> np.ndarray:
-    """scores[h, r]: chrF++ of text h as a hypothesis for text r."""
-    k = len(texts)
-    counts = [gram_counts(t) for t in texts]
-    orders = CHAR_ORDER + WORD_ORDER
-    match, size = np.zeros((k, k, orders)), np.zeros((k, orders))
-    for o in range(orders):
-        index: dict = {}
-        rows, cols, vals = [], [], []
-        for i, c in enumerate(counts):
-            for g, n in c[o].items():
-                rows.append(i)
-                cols.append(index.setdefault(g, len(index)))
-                vals.append(n)
-        m = np.zeros((k, max(len(index), 1)), np.int32)
-        m[rows, cols] = vals
-        size[:, o] = m.sum(1)
-        for i in range(k):
-            match[i, :, o] = np.minimum(m[i], m).sum(1)
-    return f_score(match, size[:, None, :], size[None, :, :])
+    """pools_chrf of one pool."""
+    return pools_chrf([texts])[0]
 
 
 def chrf_statistics(hyp: str, ref: str) -> list[int]:

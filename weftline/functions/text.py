@@ -50,6 +50,16 @@ def clean(c: Column | str) -> Column:
     return F.repeat(flat, (F.lower(flat) != "nan").cast("int"))
 
 
+def not_blank(c: Column | str) -> Column:
+    """Does the text hold more than blanks? A search that ends at the first other character: cheap in filters."""
+    return F.coalesce(col(c).rlike(f"[^{WS[1:-1]}]"), F.lit(False))
+
+
+def has_text(c: Column | str) -> Column:
+    """Is clean(c) not empty? Without making it."""
+    return F.coalesce(~col(c).rlike(f"^{WS}*(?i:nan)?{WS}*$"), F.lit(False))
+
+
 def is_nan_like(c: Column | str) -> Column:
     return F.lower(flatten(c)).isin("", "nan", "none", "null")
 

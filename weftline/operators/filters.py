@@ -10,10 +10,9 @@ from weftline.functions import text as T
 
 def nonempty(df: DataFrame, *columns: str) -> DataFrame:
     """Blanks flattened in the columns; rows with an empty one dropped."""
-    df = df.withColumns({c: T.clean(c) for c in columns})
-    for c in columns:
-        df = df.where(F.length(c) > 0)
-    return df
+    for c in columns:  # on the raw text: a filter on the cleaned one would clean it twice
+        df = df.where(T.has_text(c))
+    return df.withColumns({c: T.clean(c) for c in columns})
 
 
 def language_is(df: DataFrame, **wanted: str) -> DataFrame:

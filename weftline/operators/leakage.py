@@ -179,5 +179,6 @@ def least_shared(n: int, least: float) -> int:
 
 def side_rows(df: DataFrame, src: str, tgt: str) -> DataFrame:
     """(row_id, side, text): a row for each side of a pair."""
-    sides: Column = F.explode(F.array(F.struct(F.lit("eng_Latn").alias("side"), T.clean(src).alias("text")), F.struct(F.lit("kas_Arab").alias("side"), T.clean(tgt).alias("text"))))
-    return df.select("row_id", sides.alias("x")).select("row_id", "x.side", "x.text").where("text <> ''")
+    sides: Column = F.explode(F.array(F.struct(F.lit("eng_Latn").alias("side"), F.col(src).alias("text")), F.struct(F.lit("kas_Arab").alias("side"), F.col(tgt).alias("text"))))
+    long = df.select("row_id", sides.alias("x")).select("row_id", "x.side", "x.text").where(T.has_text("text"))
+    return long.withColumn("text", T.flatten("text"))

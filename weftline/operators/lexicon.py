@@ -14,13 +14,14 @@ BOS, EOS = "<s>", "</s>"
 
 def word_rows(texts: DataFrame, text: str = "text", id_: str = "row_id", key=T.strip_key) -> DataFrame:
     """(id, pos, form, key, prev, next): words with their keys and neighbours' keys, made within the row."""
-    w = T.words(text)
-    k = F.transform(w, lambda x: key(x))
-    around = F.concat(F.array(F.lit(BOS)), k, F.array(F.lit(EOS)))
-    rows = texts.select(id_, w.alias("w"), around.alias("k")).where(F.size("w") > 0)
-    rows = rows.select(id_, "k", F.posexplode("w").alias("pos", "form"))
-    at = lambda d: F.element_at("k", F.col("pos") + d)
-    return rows.select(id_, F.col("pos").cast("long").alias("pos"), "form", at(2).alias("key"), at(1).alias("prev"), at(3).alias("next"))
+    one = texts.where(T.not_blank(text)).select(id_, T.words(text).alias("w"))
+    one = one.select(id_, "w", F.transform("w", lambda x: key(x)).alias("k"))
+    n = F.size("k")
+    before, after = F.concat(F.array(F.lit(BOS)), F.slice("k", F.lit(1), n - 1)), F.concat(F.slice("k", F.lit(2), n), F.array(F.lit(EOS)))
+    zipped = one.select(id_, F.arrays_zip(F.col("w").alias("form"), F.col("k").alias("key"), before.alias("prev"), after.alias("next")).alias("z"))
+    # outer: an inner explode implies a filter on the array, which would be made twice
+    rows = zipped.select(id_, F.posexplode_outer("z").alias("pos", "x"))
+    return rows.select(id_, F.col("pos").cast("long").alias("pos"), *(F.col("x").getField(c).alias(c) for c in ("form", "key", "prev", "next")))
 
 
 def form_counts(rows: DataFrame, keys: list[str], id_: str = "row_id") -> DataFrame:
@@ -54,6 +55,12 @@ class Lexicon:
     both: DataFrame | None = None
     left: DataFrame | None = None
     right: DataFrame | None = None
+    counts: DataFrame | None = None  # what the tables are made of, kept for all of them
+
+    def release(self) -> None:
+        """Frees the counts once the tables are written or no longer needed."""
+        if self.counts is not None:
+            self.counts.unpersist()
 
 
 def pruned(context: DataFrame, unigram: DataFrame) -> DataFrame:
@@ -64,15 +71,16 @@ def pruned(context: DataFrame, unigram: DataFrame) -> DataFrame:
 
 def build(texts: DataFrame, least: int = 3, dominance: float = 0.0, context_least: int = 2, context: tuple[str, ...] = (), prune: bool = True) -> Lexicon:
     """context: any of both, left, right. With a single one it is pruned, with several kept whole."""
-    # one pass over the words: coarser counts are sums of the finest ones, whose shuffle the tables share
+    # one pass over the words: coarser counts are sums of the finest ones, kept in memory or on disk for all tables
     counts = form_counts(word_rows(texts), ["prev", "key", "next"] if context else ["key"])
+    counts = counts.persist() if context else counts
     uni = majority_of(counts, ["key"], least, dominance, drop_same=True)
     keys = {"both": ["prev", "key", "next"], "left": ["prev", "key"], "right": ["key", "next"]}
     tables = {}
     for name in context:
         t = majority_of(counts, keys[name], context_least)
         tables[name] = pruned(t, uni) if prune and len(context) == 1 else t
-    return Lexicon(uni, **tables)
+    return Lexicon(uni, **tables, counts=counts if context else None)
 
 
 def looked_up(rows: DataFrame, lexicon: Lexicon) -> DataFrame:

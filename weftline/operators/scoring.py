@@ -23,7 +23,7 @@ FEATURES = ["consensus", "density", "lexcov", "length", "marker"]
 
 def pools(candidates: DataFrame) -> DataFrame:
     """(pool, j, text[, src]) long -> (pool, candidates array<struct<j, text>>), empty ones dropped."""
-    kept = candidates.where(F.length(T.clean("text")) > 0)
+    kept = candidates.where(T.not_blank("text"))
     return kept.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct(F.col("j").cast("long").alias("j"), "text"))).alias("candidates"))
 
 
@@ -47,8 +47,9 @@ def pair_scores(pooled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pool, h, r, s = [], [], [], []
-            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                m, js = N.pairwise_chrf([x["text"] for x in c]), [x["j"] for x in c]
+            lists = batch.column(1).to_pylist()
+            for p, c, m in zip(batch.column(0).to_pylist(), lists, N.pools_chrf([[x["text"] for x in c] for c in lists])):
+                js = [x["j"] for x in c]
                 for a in range(len(c)):
                     for b in range(len(c)):
                         if a != b:
@@ -70,12 +71,13 @@ def consensus(pooled: DataFrame, key: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pool, j, u, n = [], [], [], []
-            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lists = batch.column(1).to_pylist()
+            every = [list(dict.fromkeys(x["text"] for x in c)) for c in lists]
+            for p, c, distinct, m in zip(batch.column(0).to_pylist(), lists, every, N.pools_chrf(every)):
                 texts = [x["text"] for x in c]
-                distinct = list(dict.fromkeys(texts))
-                at = [distinct.index(t) for t in texts]
+                where = {t: i for i, t in enumerate(distinct)}
+                at = [where[t] for t in texts]
                 count = np.bincount(at, minlength=len(distinct)).astype(float)
-                m = N.pairwise_chrf(distinct)
                 np.fill_diagonal(m, 100.0)
                 total = m @ count - 100.0
                 utility = total / max(1, len(texts) - 1)
@@ -105,7 +107,7 @@ def features(candidates: DataFrame, known_words: DataFrame, target_density: floa
 
     known_words (key): the words that the lexicon can act on.
     """
-    kept = candidates.where(F.length(T.clean("text")) > 0)
+    kept = candidates.where(T.not_blank("text"))
     shared = consensus(pools(kept)).select("pool", "j", (F.col("utility") / 100).alias("consensus"))
     w = kept.select("pool", F.col("j").cast("long").alias("j"), F.explode(F.transform(T.words("text"), T.strip_key)).alias("key"))
     hit = known_words.select("key", F.lit(1).alias("hit"))
@@ -266,9 +268,9 @@ def against_reference(candidates: DataFrame, refs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([float(N.pairwise_chrf([h or "", r or ""])[0, 1]) for h, r in zip(hyp, ref)], dtype="float64")
+        return pd.Series([float(m[0, 1]) for m in N.pools_chrf([[h or "", r or ""] for h, r in zip(hyp, ref)])], dtype="float64")
 
-    joined = candidates.where(F.length(T.clean("text")) > 0).join(refs.select("pool", "ref"), "pool")
+    joined = candidates.where(T.not_blank("text")).join(refs.select("pool", "ref"), "pool")
     return joined.select("pool", F.col("j").cast("long").alias("j"), F.round(score("text", "ref"), 9).alias("chrf"))
 
 

@@ -236,7 +236,7 @@ def q27(spark, d):
 
 
 def _targets(spark, d):
-    return raw(spark, d).where("tgt_lang = 'kas_Arab'").select("row_id", T.clean("tgt").alias("text"))
+    return raw(spark, d).where((F.col("tgt_lang") == "kas_Arab") & T.has_text("tgt")).select("row_id", T.flatten("tgt").alias("text"))
 
 
 def _unseen(spark, d):
@@ -297,8 +297,8 @@ POOL = 8
 
 def _candidates(spark, d):
     """Pools of the targets of eight neighbouring rows, a stand-in for sampled candidates."""
-    df = raw(spark, d).select(F.floor((F.col("row_id") - 1) / POOL).alias("pool"), (F.col("row_id") - 1).alias("i"), T.clean("tgt").alias("text"), T.clean("src").alias("src"))
-    return df.select("pool", (F.col("i") - F.col("pool") * POOL).alias("j"), "text", "src").where("text <> ''")
+    df = raw(spark, d).where(T.has_text("tgt")).select(F.floor((F.col("row_id") - 1) / POOL).alias("pool"), (F.col("row_id") - 1).alias("i"), T.clean("tgt").alias("text"), T.clean("src").alias("src"))
+    return df.select("pool", (F.col("i") - F.col("pool") * POOL).alias("j"), "text", "src")
 
 
 def _run_of(n):
