@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom
-from weftline.llm.common import BLANK, has_text, join_groups, stored, table
+from weftline.llm.common import has_text, join_groups, stored, table
 
 def canonical(text: F.Column) -> F.Column:
     """Lower case without blanks and punctuation; vowel marks, digits and symbols stay."""
