@@ -45,3 +45,8 @@ def test_rewriting_is_idempotent(text):
     c = K.Canonicaliser(K.rewrites({x: i + 1 for i, x in enumerate("کكيیىﻻلاAΑَّٓ‍  x")}))
     once = c.rewrite(text)
     assert c.rewrite(once) == once
+
+
+def test_parts_around_an_invisible_character():
+    c = K.Canonicaliser(K.rewrites({"ﻻ": 9, "ل": 1, "ا": 1, "‍": 1}))
+    assert c.rewrite("ل‍ا") == c.rewrite("لا") == c.rewrite("ﻻ")

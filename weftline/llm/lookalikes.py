@@ -167,7 +167,11 @@ def rewrites(counts: dict[str, int]) -> dict[str, str]:
     for s in known_strings():  # sequences are the same if their parts are, part by part
         if s in sets.parent:
             sets.union(s, "".join(sets.find(c) if len(sets.find(c)) == 1 else c for c in s))
-    weight = lambda s: counts.get(s[:2], 0) if len(s) > 1 else counts.get(s, 0)
+
+    def weight(s: str) -> int:  # a sequence also counts where it is written as one composed character
+        whole = unicodedata.normalize("NFC", s)
+        return counts.get(s[:2] if len(s) > 1 else s, 0) + (counts.get(whole, 0) if len(whole) == 1 and whole != s else 0)
+
     out = {}
     for members in sets.classes():
         best = "" if "" in members else " " if " " in members else max(members, key=lambda s: (weight(s), len(s), s[::-1]))
@@ -204,13 +208,19 @@ class Canonicaliser:
         return flags
 
     def rewrite(self, text: str) -> str:
-        text = unicodedata.normalize("NFD", text)
-        out, at = [], 0
-        for end, (n, best) in self.automaton.iter_long(text):
-            out += [text[at : end + 1 - n], best]
-            at = end + 1
-        out.append(text[at:])
-        return unicodedata.normalize("NFC", unicodedata.normalize("NFD", "".join(out)))
+        """Greedy passes until nothing changes: what stood around an invisible character may form a member."""
+        while True:
+            text = unicodedata.normalize("NFD", text)
+            out, at = [], 0
+            for end, (n, best) in self.automaton.iter_long(text):
+                out += [text[at : end + 1 - n], best]
+                at = end + 1
+            if not out:
+                return unicodedata.normalize("NFC", text)
+            new = unicodedata.normalize("NFD", "".join([*out, text[at:]]))
+            if new == text:
+                return unicodedata.normalize("NFC", text)
+            text = new
 
     def many(self, part: pa.Array) -> list[str | None]:
         """The canonical texts; blanks are single spaces, none at the ends."""
