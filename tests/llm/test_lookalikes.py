@@ -50,3 +50,15 @@ def test_rewriting_is_idempotent(text):
 def test_parts_around_an_invisible_character():
     c = K.Canonicaliser(K.rewrites({"ﻻ": 9, "ل": 1, "ا": 1, "‍": 1}))
     assert c.rewrite("ل‍ا") == c.rewrite("لا") == c.rewrite("ﻻ")
+
+
+def test_composed_characters_that_hold_a_member(spark):
+    texts = ["\u0626\u0627\u0628 A1", "\u0626\u0627\u0628\u00a0A1", "\u0626\u0627\u0628 A\uff11", "\u06cc\u0654\u0627\u0628 A1", "\u06cc\u06cc", "\u06cc\u06cc\u06cc", "\u064a"]
+    got = pairs(spark, [("x", i, t, 0, "") for i, t in enumerate(texts)])
+    assert got == {("x", a, b) for a in range(4) for b in range(4) if a < b}
+
+
+def test_fast_path_agrees_with_rewriting():
+    c = K.Canonicaliser(K.rewrites({"\u06cc": 9, "\u064a": 1, " \u064c\u0651": 1, "\ufc5e": 9, " ": 9}))
+    for text in ("\u0626\u0627", "a\t\u064c\u0651", "\u00e9 \u0622", "plain"):
+        assert c.many(K.pa.array([text])) == [" ".join(c.rewrite(text).split())]

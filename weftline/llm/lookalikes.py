@@ -125,6 +125,13 @@ def known_strings() -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+@functools.cache
+def decomposed() -> tuple[tuple[int, list[int]], ...]:
+    """Code points with a canonical decomposition, and its code points; a table of Unicode."""
+    every = ((cp, unicodedata.normalize("NFD", chr(cp))) for cp in range(0x110000) if not 0xD800 <= cp < 0xE000)
+    return tuple((cp, [ord(c) for c in s]) for cp, s in every if s != chr(cp))
+
+
 def count_strings(text: DataFrame) -> dict[str, int]:
     """Frequencies of all code points and known sequences over all rows of the one column given.
 
@@ -200,11 +207,16 @@ class Canonicaliser:
 
     @functools.cached_property
     def touched(self) -> np.ndarray:
-        """By code point: does a member start with it, or is it a blank other than the space?"""
+        """By code point: does its canonical decomposition hold the first character of a member?
+
+        Ordinary blanks count as the space, which they become in any case.
+        """
         flags = np.zeros(0x110000, bool)
         for member in self.table:
             flags[ord(member[0])] = True
-        flags[[9, 10, 11, 12, 13]] = False
+        for cp, parts in decomposed():
+            flags[cp] |= flags[parts].any()
+        flags[[9, 10, 11, 12, 13]] = flags[32]
         return flags
 
     def rewrite(self, text: str) -> str:
