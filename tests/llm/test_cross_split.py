@@ -68,3 +68,26 @@ def test_chunks_cover_and_depend_on_content_only(texts):
         own, s = C.normalised(pa.array([t], pa.large_string()))
         alone = C.cuts(s, flat.prefix_hash(own), C.RADIUS, C.WINDOW)
         assert (np.flatnonzero(alone)[:-1] == np.flatnonzero(flags[starts[i] : starts[i + 1]])).all() or not len(own)
+
+
+def test_edits_that_touch_every_chunk(spark):
+    """Pairs of the similarity whose chunks have less than MIN_OVERLAP in common."""
+    rng, rows = random.Random(4), []
+    kept = lambda x: pa.array([x], pa.large_string())
+
+    def chunks(text):
+        cps, starts = C.normalised(kept(text))
+        edge = np.flatnonzero(C.cuts(starts, flat.prefix_hash(cps), C.RADIUS, C.WINDOW))
+        return [text[a:b] for a, b in zip(edge, edge[1:])]
+
+    for _ in range(20_000):
+        a = "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(45, 60)))
+        k = len(a) // 2 + rng.randrange(-6, 7)
+        b = a[:k] + "z" + a[k + 1 :]
+        both = set(chunks(b))
+        if len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) and sum(len(c) for c in chunks(a) if c in both) < C.MIN_OVERLAP * len(a):
+            rows += [(2 * len(rows), "eval", a, None), (2 * len(rows) + 1, "train", b, None)]
+        if len(rows) >= 6:
+            break
+    assert rows
+    assert found(spark, rows) == {(rows[i][0], rows[i + 1][0]) for i in range(0, len(rows), 2)}

@@ -7,8 +7,10 @@ and side. Train texts keep only chunks that pass a Bloom filter of bounded size
 chunks. An evaluation class joins by its rarest chunks, which together make up more than
 1 - MIN_OVERLAP of its length: any pair sharing MIN_OVERLAP of it shares one of them. A bound from
 sketches of the runs of five characters is applied inside the join; it can only drop pairs below the
-similarity wanted. Shared chunk lengths are summed into the overlap fractions, and the pairs left are
-checked exactly on their runs.
+similarity wanted. Edits can touch every chunk of a text, so classes also join by prefixes: of the runs of
+each text, in one order of all runs (rarest among the held-out ones first), two texts of the similarity
+share one of the first n - ceil(similarity n) + 1. Shared chunk lengths are summed into the overlap
+fractions, and the pairs left are checked exactly on their runs.
 
 Defined cases: null, blank and `nan` texts, and texts without a letter or digit, match nothing;
 texts under five characters have themselves as their only run; records with an unknown or null split
@@ -37,7 +39,7 @@ SIMILARITY = 0.8
 RADIUS, WINDOW = 6, 4
 #: Longest chunk; the low bits of a chunk's digest hold its length.
 MOST, LENGTH_BITS = 64, 127
-#: Least share of the evaluation record that its chunks shared with a partner make up.
+#: Share of the evaluation record above which shared chunks surely find a partner; others are found by runs.
 MIN_OVERLAP = 0.2
 
 _fold: np.ndarray | None = None
@@ -104,13 +106,51 @@ def cuts(starts: np.ndarray, prefix: np.ndarray, radius: int, window: int) -> np
     return flags
 
 
-TEXT_SCHEMA = "row_id long, fld string, hi long, lo long, n int, b0 long, b1 long, length int, chunks array<long>"
+TEXT_SCHEMA = "row_id long, fld string, hi long, lo long, n int, b0 long, b1 long, length int, chunks array<long>, first array<long>"
 
 
-def chunked(passing=None):
+#: Counts of runs by the low bits of their digests.
+BUCKETS = 1 << 20
+
+
+def run_counts(texts: DataFrame) -> np.ndarray:
+    """How often the runs of the texts (row_id, fld, text) fall in each bucket; of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, part in flat.slices(batch.column(2)):
+                cps, starts = normalised(part)
+                grams, _ = gram_hashes(cps, starts, flat.prefix_hash(cps), GRAM)
+                total += np.bincount((grams & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+
+    rows = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
+
+
+def first_runs(grams: np.ndarray, at: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of each text of which any text of the similarity has one among its own, and their row starts."""
+    row = flat.row_ids(at)
+    order = np.lexsort((grams, counts[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)], row))
+    grams, row = grams[order], row[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
+    grams, row = grams[new], row[new]
+    n = np.bincount(row, minlength=len(at) - 1)
+    starts = np.concatenate([[0], np.cumsum(n)])
+    least = np.ceil(similarity * n - 1e-9).astype(np.int64)
+    return flat.compact(grams, starts, np.arange(len(grams)) - starts[row] <= (n - least)[row])
+
+
+def chunked(counts, similarity: float, passing=None, passing_runs=None):
     """mapInArrow: (row_id, fld, text) -> digest, sketch and content-defined chunks of the text.
 
-    passing: a broadcast Bloom filter; chunks outside it are left out, length still counts them.
+    passing: a broadcast Bloom filter; chunks outside it are left out, length still counts them. counts:
+    broadcast counts that order the runs; passing_runs: the same as passing for the first runs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,13 +176,17 @@ def chunked(passing=None):
                 weight = np.concatenate([[0], np.cumsum(size)])[where]
                 if passing is not None:
                     digest, where = flat.compact(digest, where, bloom.passes(passing.value, digest))
+                first_of, first_at = first_runs(grams, at, counts.value, similarity)
+                if passing_runs is not None:
+                    first_of, first_at = flat.compact(first_of, first_at, bloom.passes(passing_runs.value, first_of))
                 out = pa.RecordBatch.from_arrays(
                     [
                         *rows.columns[:2],
                         flat.i64(hi), flat.i64(lo), pa.array(np.diff(at).astype(np.int32)), flat.i64(sketch[0]), flat.i64(sketch[1]),
                         pa.array(np.diff(weight).astype(np.int32)), flat.list_array(flat.i64(digest), where),
+                        flat.list_array(flat.i64(first_of), first_at),
                     ],
-                    ["row_id", "fld", "hi", "lo", "n", "b0", "b1", "length", "chunks"],
+                    ["row_id", "fld", "hi", "lo", "n", "b0", "b1", "length", "chunks", "first"],
                 )
                 yield out.filter(pa.array(np.diff(starts) > 0))
 
@@ -174,7 +218,7 @@ KEY = ["fld", "hi", "lo"]
 
 def classes_of(marked: DataFrame) -> DataFrame:
     """One row for each field and normalised text: rep is the least row_id, id tells it and the field."""
-    rest = ("n", "b0", "b1", "length", "chunks")
+    rest = ("n", "b0", "b1", "length", "chunks", "first")
     grouped = marked.groupBy(*KEY).agg(F.min("row_id").alias("rep"), F.count("*").alias("size"), *(F.first(c).alias(c) for c in rest))
     return grouped.withColumn("id", text_id("rep"))
 
@@ -193,7 +237,7 @@ def rarest(held: DataFrame, df: DataFrame, share: float) -> DataFrame:
 
 
 def candidates(held: DataFrame, train: DataFrame, similarity: float, min_overlap: float) -> DataFrame:
-    """Pairs (e_id, t_id) of classes that share a rare chunk and whose sketches allow the similarity.
+    """Pairs (e_id, t_id) of classes that share a rare chunk or a first run and whose sketches allow the similarity.
 
     Of the train chunks only those that pass a second filter, of the rare held-out ones, are shuffled.
     """
@@ -208,11 +252,19 @@ def candidates(held: DataFrame, train: DataFrame, similarity: float, min_overlap
         return flat.list_array(pa.array(kept), at)
 
     few = train.select("id", "fld", "n", "b0", "b1", wanted(F.array_distinct("chunks")).alias("chunks")).where(F.size("chunks") > 0)
-    e, t = rare.alias("e"), few.select("id", "fld", "n", "b0", "b1", F.explode("chunks").alias("chunk")).alias("t")
+    columns = ["id", "fld", "n", "b0", "b1"]
+    by_chunk = near_pairs(rare, few.select(*columns, F.explode("chunks").alias("chunk")), similarity)
+    by_run = near_pairs(*(d.select(*columns, F.explode("first").alias("chunk")) for d in (held, train)), similarity)
+    return by_chunk.unionByName(by_run).distinct()
+
+
+def near_pairs(held: DataFrame, train: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (e_id, t_id) of the same chunk or run whose sketches allow the similarity; may repeat."""
+    e, t = held.alias("e"), train.alias("t")
     apart = F.bit_count(F.col("e.b0").bitwiseXOR(F.col("t.b0"))) + F.bit_count(F.col("e.b1").bitwiseXOR(F.col("t.b1")))
     loss = (1 - similarity) / (1 + similarity)
     near = (F.col("e.fld") == F.col("t.fld")) & (apart <= (F.col("e.n") + F.col("t.n")) * (loss + 1e-9))
-    return e.join(t, (F.col("e.chunk") == F.col("t.chunk")) & near).select(F.col("e.id").alias("e_id"), F.col("t.id").alias("t_id")).distinct()
+    return e.join(t, (F.col("e.chunk") == F.col("t.chunk")) & near).select(F.col("e.id").alias("e_id"), F.col("t.id").alias("t_id"))
 
 
 def overlaps(pairs: DataFrame, held: DataFrame, train: DataFrame) -> DataFrame:
@@ -233,12 +285,14 @@ def cross_pairs(records: DataFrame, similarity: float = SIMILARITY, min_overlap:
     texts = records.select("row_id", "split_name", fields).select("row_id", "split_name", "f.*").where(has_text("text"))
     ours, theirs = texts.where(F.col("split_name").isin("r0", "eval")), texts.where("split_name = 'train'")
     columns = ["row_id", "fld", "text"]
-    held_rows = stored(ours.select(columns).mapInArrow(chunked(), TEXT_SCHEMA))
+    share = records.sparkSession.sparkContext.broadcast
+    counts = share(run_counts(ours.select(columns)))
+    held_rows = stored(ours.select(columns).mapInArrow(chunked(counts, similarity), TEXT_SCHEMA))
     held = stored(classes_of(held_rows))
-    passing = records.sparkSession.sparkContext.broadcast(bloom.fit(held.select(F.explode("chunks").alias("h"))))
-    train_rows = stored(theirs.select(columns).mapInArrow(chunked(passing), TEXT_SCHEMA).where(F.size("chunks") > 0))
+    passing, passing_runs = (share(bloom.fit(held.select(F.explode(c).alias("h")))) for c in ("chunks", "first"))
+    train_rows = stored(theirs.select(columns).mapInArrow(chunked(counts, similarity, passing, passing_runs), TEXT_SCHEMA).where((F.size("chunks") > 0) | (F.size("first") > 0)))
     train = stored(classes_of(train_rows))
-    rough = overlaps(stored(candidates(held, train, similarity, min_overlap)), held, train).where(F.col("overlap_e") >= min_overlap)
+    rough = overlaps(stored(candidates(held, train, similarity, min_overlap)), held, train)
     rough = stored(rough)
     for side, source, text in (("e", ours, "a"), ("t", theirs, "b")):
         ids = stored(rough.select(F.col(f"{side}_id").alias("id")).distinct())
