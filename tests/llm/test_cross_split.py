@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 
 from weftline.llm import cross_split as C
-from weftline.functions import flat
 
 SCHEMA = "row_id long, split_name string, s string, t string, fld string, hi int, size int"
 
@@ -61,33 +60,49 @@ def test_empty_and_hot(spark):
 @given(st.lists(st.text(alphabet="abcdef ", max_size=60), min_size=1, max_size=5))
 @settings(max_examples=100, deadline=None)
 def test_chunks_cover_and_depend_on_content_only(texts):
-    cps, starts = C.normalised(pa.array(texts, pa.large_string()))
-    flags = C.cuts(starts, flat.prefix_hash(cps), C.RADIUS, C.WINDOW)
-    assert flags[starts].all()
+    both = C.Texts(pa.array(texts, pa.large_string()), np.zeros(len(texts), bool))
+    flags = C.cuts(both.starts, both.least)
+    assert flags[both.starts].all()
     for i, t in enumerate(texts):
-        own, s = C.normalised(pa.array([t], pa.large_string()))
-        alone = C.cuts(s, flat.prefix_hash(own), C.RADIUS, C.WINDOW)
-        assert (np.flatnonzero(alone)[:-1] == np.flatnonzero(flags[starts[i] : starts[i + 1]])).all() or not len(own)
-
-
-def test_edits_that_touch_every_chunk(spark):
-    """Pairs of the similarity whose chunks have less than MIN_OVERLAP in common."""
-    rng, rows = random.Random(4), []
-    kept = lambda x: pa.array([x], pa.large_string())
-
-    def chunks(text):
-        cps, starts = C.normalised(kept(text))
-        edge = np.flatnonzero(C.cuts(starts, flat.prefix_hash(cps), C.RADIUS, C.WINDOW))
-        return [text[a:b] for a, b in zip(edge, edge[1:])]
-
-    for _ in range(20_000):
-        a = "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(45, 60)))
-        k = len(a) // 2 + rng.randrange(-6, 7)
-        b = a[:k] + "z" + a[k + 1 :]
-        both = set(chunks(b))
-        if len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) and sum(len(c) for c in chunks(a) if c in both) < C.MIN_OVERLAP * len(a):
-            rows += [(2 * len(rows), "eval", a, None), (2 * len(rows) + 1, "train", b, None)]
-        if len(rows) >= 6:
-            break
-    assert rows
-    assert found(spark, rows) == {(rows[i][0], rows[i + 1][0]) for i in range(0, len(rows), 2)}
+        one = C.Texts(pa.array([t], pa.large_string()), np.zeros(1, bool))
+        alone = C.cuts(one.starts, one.least)
+        assert (np.flatnonzero(alone)[:-1] == np.flatnonzero(flags[both.starts[i] : both.starts[i + 1]])).all() or not len(one.cps)
+
+
+@given(st.text(alphabet="abcdefgh", min_size=20, max_size=80), st.text(alphabet="abcdefgh", max_size=20), st.text(alphabet="abcdefgh", max_size=20))
+@settings(max_examples=200, deadline=None)
+def test_a_span_is_found_in_any_text_that_holds_it(text, before, after):
+    keys = lambda x: np.concatenate([k[3] for k in C.Texts(pa.array([x], pa.large_string()), np.zeros(1, bool)).spans])
+    assert set(keys(text)) <= set(keys(before + text + after))
+
+
+def edited(rng, text, n, alphabet):
+    for k in sorted(rng.sample(range(len(text)), min(n, len(text))), reverse=True):
+        text = text[:k] + rng.choice([rng.choice(alphabet), "", rng.choice(alphabet) * 2]) + text[k + 1 :]
+    return text
+
+
+def test_edits_of_any_text_against_brute_force(spark):
+    """Short and long texts, edits evenly spread or anywhere, as many as the similarity allows and more."""
+    rng, rows, want = random.Random(4), [], set()
+    letters = "abcdefghijklmnop"
+    for i in range(6000):
+        alphabet = letters if i % 5 else "abc"
+        a = "".join(rng.choices(alphabet, k=rng.choice([rng.randrange(9, 40), rng.randrange(40, 100), rng.randrange(100, 300)])))
+        e = max(1, len(a) // 45)
+        if i % 3 == 0:
+            b = list(a)
+            for k in range(e):
+                b[min(len(b) - 1, int((k + 0.5) * len(b) / e) + rng.randrange(-3, 4))] = rng.choice(letters)
+            b = "".join(b)
+        elif i % 3 == 1:
+            b = edited(rng, a, rng.randrange(1, e + 2), alphabet)
+        else:
+            k = rng.randrange(0, len(a))
+            b = (a[k:] + a[:k], a[: -max(1, len(a) // 6)], a[len(a) // 6 :], a[:k] + a[k + len(a) // 7 :])[rng.randrange(4)]
+        rows += [(2 * i, "eval", a, None), (2 * i + 1, "train", b, None)]
+        if len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)):
+            want.add((2 * i, 2 * i + 1))
+    assert len(want) > 2000
+    got = found(spark, rows)
+    assert {p for p in got if p[1] == p[0] + 1 and p[0] % 2 == 0} == want

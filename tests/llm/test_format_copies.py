@@ -24,10 +24,16 @@ def test_copies_cases(spark):
     assert found(spark, rows) == want
 
 
-def test_small_filter_gives_the_same(spark):
-    rows = [("a", i, f"text {i % 700}", "t", 0, "") for i in range(1000)]
-    assert found(spark, rows) == found(spark, rows, max_bits=bloom.BLOCK_BITS)
-    assert sum(r[3] == 2 for r in found(spark, rows)) == 600
+def test_many_small_filters_give_the_same_and_pass_little(spark, monkeypatch):
+    """A table 60 times what one filter of the bound holds: the filters grow in number, not in what they let pass."""
+    rows = [("a", i, f"text {i % 2900}", "t", 0, "") for i in range(3000)]
+    want = found(spark, rows)
+    monkeypatch.setattr(bloom, "BLOCK_RECORDS", 64)
+    df = spark.createDataFrame(rows, "tbl string, id long, s string, t string, h int, digest string")
+    again, alone = C.split_repeats(df, max_bits=1 << 7)
+    assert 200 <= again.count() < 400 and again.count() + alone.count() == 3000
+    assert found(spark, rows, max_bits=1 << 7) == want
+    assert sum(r[3] == 2 for r in want) == 200
 
 
 def test_empty(spark):
@@ -45,10 +51,16 @@ def test_serialised(spark):
     assert {r[0] for r in C.keyed(C.read_serialised(df).selectExpr("'x' tbl", "line_id id", "s", "t")).select("id").collect()} == {1, 3, 9}
 
 
-def test_filter_never_misses(spark):
+def test_filter_never_misses(spark, monkeypatch):
     rng = np.random.default_rng(1)
     h = rng.integers(-(2**62), 2**62, 5000)
-    df = spark.createDataFrame([(int(x),) for x in np.concatenate([h, h[:200]])], "h long").repartition(5)
-    seen, again = bloom.fit(df), bloom.fit(df, repeated=True)
-    assert bloom.passes(seen, h).all() and bloom.passes(again, h[:200]).all()
-    assert bloom.passes(again, h[200:]).mean() < 0.2
+    df = spark.createDataFrame([(int(x),) for x in np.concatenate([h, h[:200]])] + [(None,)], "h long").repartition(5)
+    for records, bits in ((bloom.BLOCK_RECORDS, bloom.MAX_BITS), (100, 1 << 12), (100, 1 << 9)):
+        monkeypatch.setattr(bloom, "BLOCK_RECORDS", records)
+        monkeypatch.setattr(bloom, "FLUSH", 300)
+        seen, again = list(bloom.fit(df, bits)), list(bloom.fit(df, bits, repeated=True))
+        passes = lambda fs, x: np.any([f.passes(x) for f in fs], axis=0)
+        assert passes(seen, h).all() and passes(again, h[:200]).all()
+        assert passes(again, h[200:]).mean() < 0.05 and passes(seen, rng.integers(-(2**62), 2**62, 5000)).mean() < 0.1
+        one = bloom.fit_one(df, bits)
+        assert one.passes(h).all() and len(one.packed) * 8 <= max(bits, 64 << one.width)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +24,21 @@ def has_text(c: Column | str) -> Column:
     return c.isNotNull() & ~F.coalesce(c.rlike(rf"(?i)^{BLANK}*(nan)?{BLANK}*$"), F.lit(True))
 
 
+def sorted_distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each occurs; by sorting, which for numbers is faster than a table."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; a local one only where that is unset and Spark runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
     return sc.getCheckpointDir()
 
 
@@ -37,43 +48,59 @@ def stored(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-#: A key with at least so many rows is joined by broadcast; there are at most rows / HOT such keys.
-HOT = 20_000
+#: A key with at least so many rows is hot; and the most keys taken as hot, so many rows of a few bytes are broadcast.
+HOT, MOST_HOT = 20_000, 50_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int = HOT) -> DataFrame:
-    """rows inner-joined with groups (one row a key, `size` = its number of rows), safe for hot keys.
+    """rows inner-joined with groups (stored; one row a key, `size` = its number of rows), safe for hot keys.
 
-    Keys with `hot` rows or more are joined by broadcast, so that their rows stay where they are: at
-    most |rows| / hot such keys exist. All others are shuffled, at most `hot` rows a key.
+    Hot keys are joined by broadcast, so that their rows stay where they are. A key is hot from `hot` rows on,
+    or from a share of 1 / MOST_HOT of all rows on if that is more, so there are MOST_HOT of them at most.
     """
+    total = groups.agg(F.sum(size), F.max(size)).first()
+    hot = max(hot, -(-(total[0] or 0) // MOST_HOT))
+    if (total[1] or 0) < hot:
+        return rows.join(groups, keys)
     big, small = groups.where(F.col(size) >= hot), groups.where(F.col(size) < hot)
-    return rows.join(F.broadcast(big), keys).unionByName(rows.join(small.hint("shuffle_hash"), keys))
+    return rows.join(F.broadcast(big), keys).unionByName(rows.join(small, keys))
 
 
-def salted_pairs(members: DataFrame, keys: list[str], size: str, hot: int = HOT) -> DataFrame:
-    """All ordered pairs (columns a_*, b_*) of rows with equal keys; a group of n rows makes n / hot tasks.
+def salts(size: Column, hot: int = HOT) -> Column:
+    """The parts of at most about `hot` rows that a group is cut into."""
+    return F.greatest(F.lit(1), F.ceil(size / hot)).cast("int")
 
-    The a side of a group is cut into ceil(n / hot) salts, the b side is repeated for each of them.
-    """
-    salts = F.greatest(F.lit(1), F.ceil(F.col(size) / hot)).cast("int")
-    rest = [c for c in members.columns if c not in {*keys, size}]
-    a = members.select(*keys, (F.pmod(F.xxhash64(*rest), salts)).cast("int").alias("salt"), *(F.col(c).alias(f"a_{c}") for c in rest))
-    b = members.select(*keys, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *(F.col(c).alias(f"b_{c}") for c in rest))
-    return a.join(b, [*keys, "salt"]).drop("salt")
 
+def salt(parts: Column, *by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), parts).cast("int")
 
-#: Rows up to which a side, once stored and counted, is broadcast; at a few dozen bytes a row some MB.
+
+def unlike_pairs(rows: DataFrame, keys: list[str], kind: str, item: str, hot: int = HOT) -> DataFrame:
+    """(keys, kind, item) -> (keys, a_item, b_item): all pairs of rows of one group and different kinds, each once.
+
+    The kinds of a group are paired, not its rows; then the rows of both are put in, by salts of about `hot` rows,
+    so that no task gets more than `hot` rows a side of one pair of kinds and rows of one kind never meet.
+    """
+    kinds = stored(rows.groupBy(*keys, kind).agg(F.count("*").alias("size")))
+    side = lambda p: kinds.select(*keys, F.col(kind).alias(f"{p}_kind"), salts(F.col("size"), hot).alias(f"{p}_salts"))
+    pairs = side("a").join(side("b"), keys).where("a_kind < b_kind")
+    cells = pairs.withColumn("a_salt", F.explode(F.sequence(F.lit(0), F.col("a_salts") - 1))).withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.col("b_salts") - 1)))
+    cells = stored(cells.drop("a_salts", "b_salts"))
+    salted = join_groups(rows, kinds, [*keys, kind], "size", hot).select(*keys, kind, item, salt(salts(F.col("size"), hot), item).alias("salt"))
+    names = [*keys, "a_kind", "b_kind", "a_salt", "b_salt"]
+    a, b = (cells.join(salted.select(*keys, F.col(kind).alias(f"{p}_kind"), F.col("salt").alias(f"{p}_salt"), F.col(item).alias(f"{p}_{item}")), [*keys, f"{p}_kind", f"{p}_salt"]) for p in "ab")
+    return a.join(b, names).select(*keys, f"a_{item}", f"b_{item}")
+
+
+#: Rows of a few numbers each up to which a side, once stored and counted, is broadcast: some MB.
 SMALL_ROWS = 100_000
 
 
-def join_small(rows: DataFrame, few: DataFrame, keys: list[str], size: str | None = None, swap: bool = False) -> DataFrame:
-    """rows joined with few, by broadcast if few has SMALL_ROWS at most, which is counted, else by shuffle.
+def join_small(rows: DataFrame, few: DataFrame, keys: list[str], size: str | None = None) -> DataFrame:
+    """rows joined with few, a stored table of numbers, by broadcast if it has SMALL_ROWS at most, else by shuffle.
 
-    size: the column of few that holds the rows of the key, for hot keys. swap: rows is the side counted.
+    size: the column of few that holds the rows of the key, for hot keys.
     """
-    if swap:
-        return join_small(few, rows, keys, size)
     if few.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         return rows.join(F.broadcast(few), keys)
     return join_groups(rows, few, keys, size) if size else rows.join(few, keys)

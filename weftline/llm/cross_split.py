@@ -2,15 +2,22 @@
 
 Texts are normalised (letter case, punctuation, blanks and combining marks do not matter) and cut
 into content-defined chunks: a cut falls where the rolling hash of a short window is the least
-within a radius, and MOST characters after the last cut, so an edit moves only the cuts around it. Exact copies are one class for each field
-and side. Train texts keep only chunks that pass a Bloom filter of bounded size over all held-out
-chunks. An evaluation class joins by its rarest chunks, which together make up more than
-1 - MIN_OVERLAP of its length: any pair sharing MIN_OVERLAP of it shares one of them. A bound from
-sketches of the runs of five characters is applied inside the join; it can only drop pairs below the
-similarity wanted. Edits can touch every chunk of a text, so classes also join by prefixes: of the runs of
-each text, in one order of all runs (rarest among the held-out ones first), two texts of the similarity
-share one of the first n - ceil(similarity n) + 1. Shared chunk lengths are summed into the overlap
-fractions, and the pairs left are checked exactly on their runs.
+within a radius, and MOST characters after the last cut, so an edit moves only the cuts around it.
+
+A chunk between two such least places is found again in any text that holds its span, the characters on
+which its two cuts depend. Two texts of the similarity differ in a bounded number of runs, and a place where
+they differ costs BREAK_COST runs at least (fewer near the ends), so of chunks whose spans lie GAP apart only so many can
+be touched. A held-out text therefore joins by the digests of one such span more, the rarest ones it has; of the
+train texts only the chunks that pass a Bloom filter of these are shuffled. Finer chunks serve texts that have too few. Where a held-out text has too few spans
+(short or repetitive ones), it joins by the first of its runs of five in one order of all runs, rarest
+first: two texts of the similarity share one of the first n - ceil(similarity n) + 1. Exact copies are one class
+for each field and side. A bound from sketches of the runs is applied inside the join; it can only drop
+pairs below the similarity. The pairs left are checked exactly on their runs, and the lengths of
+their shared chunks are summed into overlap fractions.
+
+The chunk search misses a pair only if, at several places, a difference makes fewer new runs than BREAK_COST: a short
+word said twice, or runs that the other text has elsewhere. So spans that hold a repeated run are not taken, nor
+texts of few different characters, and short texts are taken to differ by FEW_COST runs a place.
 
 Defined cases: null, blank and `nan` texts, and texts without a letter or digit, match nothing;
 texts under five characters have themselves as their only run; records with an unknown or null split
@@ -20,27 +27,31 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import flat
 from weftline.llm import bloom
-from weftline.llm.common import HOT, has_text, join_small, stored, table
+from weftline.llm.common import has_text, join_small, salt, salts, sorted_distinct, stored, table
 
 GRAM = 5
 SIMILARITY = 0.8
-#: Radius within which a cut is the least, and the window hashed for it.
-RADIUS, WINDOW = 6, 4
-#: Longest chunk; the low bits of a chunk's digest hold its length.
-MOST, LENGTH_BITS = 64, 127
-#: Share of the evaluation record above which shared chunks surely find a partner; others are found by runs.
-MIN_OVERLAP = 0.2
+#: Radius within which a cut is the least, and the window hashed for it: of the chunks, and of finer ones for
+#: texts that have too few of the first.
+LEVELS = ((2, 4), (1, 4))
+#: Longest chunk.
+MOST = 64
+#: Runs of five by which two texts differ at least where they differ in one place, GAP characters from the next;
+#: less where a word of a few letters is said twice, which counts in texts that may differ in FEW runs at most.
+BREAK_COST, GAP, FEW, FEW_COST = 7, 6, 12, 4
 
 _fold: np.ndarray | None = None
 
@@ -80,13 +91,11 @@ def gram_hashes(cps: np.ndarray, starts: np.ndarray, prefix: np.ndarray, n: int)
     return flat.span_hash(prefix, begin, np.minimum(begin + n, starts[row + 1])), at
 
 
-def cuts(starts: np.ndarray, prefix: np.ndarray, radius: int, window: int) -> np.ndarray:
-    """Flags of the positions where a chunk begins: row starts and local minima of the window hash."""
+def least_places(starts: np.ndarray, prefix: np.ndarray, radius: int, window: int) -> np.ndarray:
+    """Flags of the positions whose window hash is the least within the radius."""
     n = int(starts[-1])
-    flags = np.zeros(n + 1, bool)
-    flags[starts] = True
     if not n:
-        return flags
+        return np.zeros(0, bool)
     row = flat.row_ids(starts)
     pos = np.arange(n)
     inside = pos + window <= starts[row + 1]
@@ -98,7 +107,13 @@ def cuts(starts: np.ndarray, prefix: np.ndarray, radius: int, window: int) -> np
     for d in range(1, radius + 1):
         least &= (here < h[radius + d : radius + d + n]) | (room_right <= d)
         least &= (here <= h[radius - d : radius - d + n]) | (room_left < d)
-    flags[:n] |= least
+    return least
+
+
+def cuts(starts: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Flags of the positions where a chunk begins: row starts, least places, and MOST characters after the last one."""
+    flags = np.append(least, False)
+    flags[starts] = True
     edge = np.flatnonzero(flags)
     more = (np.diff(edge) - 1) // MOST  # a stretch without a minimum, such as one repeated character
     begin = np.repeat(edge[:-1], more)
@@ -106,218 +121,359 @@ def cuts(starts: np.ndarray, prefix: np.ndarray, radius: int, window: int) -> np
     return flags
 
 
-TEXT_SCHEMA = "row_id long, fld string, hi long, lo long, n int, b0 long, b1 long, length int, chunks array<long>, first array<long>"
+def spans(starts: np.ndarray, least: np.ndarray, radius: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the characters that make sure of a chunk between two least places, where they are within the row."""
+    at = np.flatnonzero(least)
+    row = np.searchsorted(starts, at, "right") - 1
+    begin, end, row = at[:-1] - radius, at[1:] + radius + window, row[:-1]
+    ok = (at[1:] - at[:-1] <= MOST) & (begin >= starts[row]) & (end <= starts[row + 1])
+    return row[ok], begin[ok], end[ok]
+
+
+def room(n: np.ndarray, similarity: float) -> np.ndarray:
+    """The most runs in which a text of n distinct runs can differ from one of the similarity, in either."""
+    return np.floor((1 - similarity) / similarity * n + 1e-9).astype(np.int64)
+
+
+#: Texts of fewer different characters join by runs, since a change in them often makes a run that they have already.
+LETTERS = 8
+#: Places of the counts of runs and of spans.
+BUCKETS = 1 << 18
+#: Bits of the digest of a run that are kept; the rest hold the row.
+RUN_BITS = 44
+FIELD, RUN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+
+
+def run_of(grams: np.ndarray) -> np.ndarray:
+    return grams >> np.uint64(64 - RUN_BITS)
+
+
+def bucket(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+class Texts:
+    """Normalised texts of a part of a column: their runs, least places, chunks and digests."""
+
+    def __init__(self, text: pa.Array, field: np.ndarray) -> None:
+        self.cps, self.starts = normalised(text)
+        self.prefix = flat.prefix_hash(self.cps)
+        self.field = np.where(field, FIELD, np.uint64(0))
+        places = [least_places(self.starts, self.prefix, *level) for level in LEVELS]
+        self.least = places[0]
+        self.spans = []
+        for k, (level, least) in enumerate(zip(LEVELS, places)):
+            row, begin, end = spans(self.starts, least, *level)
+            self.spans.append((row, begin, end, flat.span_hash(self.prefix, begin, end) ^ self.field[row] ^ np.uint64(k)))
+        self.grams, self.at = gram_hashes(self.cps, self.starts, self.prefix, GRAM)
+
+    @functools.cached_property
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, run) of the distinct runs, in order; a run by the first RUN_BITS bits of its digest."""
+        key, _ = sorted_distinct(self.packed)
+        return (key >> np.uint64(RUN_BITS)).astype(np.int64), key & np.uint64((1 << RUN_BITS) - 1)
+
+    @functools.cached_property
+    def packed(self) -> np.ndarray:
+        """Row and run of all runs in one number each."""
+        return (flat.row_ids(self.at).astype(np.uint64) << np.uint64(RUN_BITS)) | run_of(self.grams)
+
+    def sizes(self) -> np.ndarray:
+        return np.bincount(self.distinct[0], minlength=len(self.at) - 1)
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        return digests(self.cps, self.starts, self.field == FIELD)
+
+    def sketches(self) -> np.ndarray:
+        """Two words a row: whether the distinct runs that fall on each of 128 places are odd in number."""
+        out = np.zeros((2, len(self.starts) - 1), np.uint64)
+        row, runs = self.distinct
+        if len(row):
+            bit = np.uint64(1) << (runs & np.uint64(63))
+            upper = (runs >> np.uint64(6)) & np.uint64(1) != 0
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            for k in range(2):
+                out[k, row[first]] = np.bitwise_xor.reduceat(np.where(upper == bool(k), bit, np.uint64(0)), first)
+        return out
+
+    def first_runs(self, counts: np.ndarray, similarity: float, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, key) of the runs of the rows flagged of which any text of the similarity has one among its own."""
+        row, runs = self.distinct
+        keep = rows[row]
+        row, runs = row[keep], runs[keep]
+        count = np.minimum(counts[bucket(runs)], 4095).astype(np.uint64)
+        order = np.argsort((row.astype(np.uint64) << np.uint64(RUN_BITS)) | (count << np.uint64(RUN_BITS - 12)) | (runs >> np.uint64(12)), kind="stable")
+        row, runs = row[order], runs[order]
+        n = np.bincount(row, minlength=len(self.at) - 1)
+        rank = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        first = rank <= (n - np.ceil(similarity * n - 1e-9).astype(np.int64))[row]
+        return row[first], flat.mix(runs[first] ^ self.field[row[first]] ^ RUN)
+
+    def chosen_spans(self, counts: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, key) of the spans chosen for each row, rarest first, GAP apart, until any text of the similarity must
+        have one of them; flags of the rows that have too few at any level.
+
+        Near the ends of a text a difference costs less, down to one run a character cut off, and so where runs stand
+        that the text has twice.
+        """
+        every, times = sorted_distinct(self.packed)
+        alone = np.concatenate([[0], np.cumsum(times[np.searchsorted(every, self.packed)] == 1)])
+        # by character: the runs over it that its text has only once
+        place = np.arange(len(self.cps))
+        row = flat.row_ids(self.starts)
+        low, shift = self.at[row], self.at[row] - self.starts[row]
+        lone = alone[np.minimum(place + shift + 1, self.at[row + 1])] - alone[np.maximum(place + shift - GRAM + 1, low)]
+        letters, _ = sorted_distinct((flat.row_ids(self.starts).astype(np.uint64) << np.uint64(32)) | self.cps)
+        open_rows = (n > 0) & (np.bincount((letters >> np.uint64(32)).astype(np.int64), minlength=len(n)) >= LETTERS)
+        need, short = room(n, similarity), n > 0
+        rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for row, begin, end, key in self.spans:
+            if not len(row):
+                continue
+            # the fewest runs of one place of the span; a difference there changes them, and makes about as many others
+            size = end - begin
+            first = np.cumsum(size) - size
+            fewest = np.minimum.reduceat(lone[np.arange(size.sum()) + np.repeat(begin - first, size)], first)
+            most = np.minimum(np.where(need < FEW, FEW_COST, BREAK_COST)[row], fewest + BREAK_COST - GRAM)
+            cost = np.minimum(np.minimum(begin - self.starts[row], self.starts[row + 1] - end) + 1, most)
+            order = np.lexsort((begin, counts[bucket(key)], row))
+            order, cost = order[cost[order] > BREAK_COST - GRAM], cost.tolist()
+            own = np.searchsorted(row[order], np.arange(len(n) + 1))
+            a, b = begin.tolist(), end.tolist()
+            for r in np.flatnonzero(short & open_rows).tolist():
+                mine = order[own[r] : own[r + 1]].tolist()
+                taken = enough(mine, a, b, cost, int(need[r])) or enough(sorted(mine, key=b.__getitem__), a, b, cost, int(need[r]))
+                if taken:
+                    short[r] = False
+                    rows.append(np.full(len(taken), r))
+                    keys.append(key[taken])
+        return np.concatenate(rows), np.concatenate(keys), short
+
+
+def enough(order: list[int], begin: list[int], end: list[int], cost: list[int], need: int) -> list[int]:
+    """Spans in the order given, GAP apart, that cost more than needed to touch all; none if there are too few."""
+    taken: list[int] = []
+    for k in order:
+        if all(begin[k] >= end[j] + GAP or begin[j] >= end[k] + GAP for j in taken):
+            taken.append(k)
+            need -= cost[k]
+            if need < 0:
+                return taken
+    return []
+
+
+def digests(cps: np.ndarray, starts: np.ndarray, field: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of the normalised texts, the first with their fields."""
+    hi, lo = (flat.span_hash(flat.prefix_hash(cps ^ np.uint32(x)), starts[:-1], starts[1:]) for x in (0, 0x155555))
+    return flat.mix(hi ^ np.where(field, FIELD, np.uint64(0))), lo
+
+
+def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """(row_id, fld, text): the rows and their texts, a part at a time; rows without letters or digits have no runs."""
+    for batch in batches:
+        for first, part in flat.slices(batch.column(2)):
+            rows = batch.slice(first, len(part))
+            yield rows, Texts(part, rows.column(1).to_numpy(zero_copy_only=False) == "t")
+
+
+#: Parts in which the counts are summed.
+PARTS = 16
+
+
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How often the runs, and the chunk spans, of the texts (row_id, fld, text) fall in each bucket; of bounded size."""
+    wide = 2 * BUCKETS // PARTS
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * BUCKETS, np.int64)
+        for _, own in parted(batches):
+            for k, h in enumerate((run_of(own.grams), np.concatenate([x[3] for x in own.spans]))):
+                total[k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(bucket(h), minlength=BUCKETS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS)), pa.array([zlib.compress(x.tobytes(), 1) for x in total.reshape(PARTS, wide)], pa.binary())], ["part", "n"])
 
-#: Counts of runs by the low bits of their digests.
-BUCKETS = 1 << 20
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(zlib.decompress(x), np.int64) for x in rows["n"]], axis=0)
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "n": [zlib.compress(total.tobytes(), 1)]})
 
+    out = np.zeros((PARTS, wide), np.int64)
+    for r in texts.mapInArrow(run, "part long, n binary").groupBy("part").applyInPandas(added, "part long, n binary").collect():
+        out[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["n"])), np.int64)
+    return out.reshape(2, BUCKETS)
 
-def run_counts(texts: DataFrame) -> np.ndarray:
-    """How often the runs of the texts (row_id, fld, text) fall in each bucket; of bounded size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, part in flat.slices(batch.column(2)):
-                cps, starts = normalised(part)
-                grams, _ = gram_hashes(cps, starts, flat.prefix_hash(cps), GRAM)
-                total += np.bincount((grams & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
-
-    rows = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out
-
-
-def first_runs(grams: np.ndarray, at: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of each text of which any text of the similarity has one among its own, and their row starts."""
-    row = flat.row_ids(at)
-    order = np.lexsort((grams, counts[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)], row))
-    grams, row = grams[order], row[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
-    grams, row = grams[new], row[new]
-    n = np.bincount(row, minlength=len(at) - 1)
-    starts = np.concatenate([[0], np.cumsum(n)])
-    least = np.ceil(similarity * n - 1e-9).astype(np.int64)
-    return flat.compact(grams, starts, np.arange(len(grams)) - starts[row] <= (n - least)[row])
-
-
-def chunked(counts, similarity: float, passing=None, passing_runs=None):
-    """mapInArrow: (row_id, fld, text) -> digest, sketch and content-defined chunks of the text.
-
-    passing: a broadcast Bloom filter; chunks outside it are left out, length still counts them. counts:
-    broadcast counts that order the runs; passing_runs: the same as passing for the first runs.
-    """
+#: Classes of sizes (distinct runs), each about a fifth above the one before.
+SIZE_STEP = 0.2
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / SIZE_STEP + 1e-9).astype(np.int64)
+
+
+KEYS = "hi long, n int, b0 long, b1 long, short boolean, key long"
+
+
+def keyed(own: Texts, n: np.ndarray, short: np.ndarray, row: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """KEYS, a row for each key of a text; of equal texts of the part only the first has any."""
+    hi, _ = own.digests()
+    first = np.zeros(len(n), bool)
+    first[np.unique(hi, return_index=True)[1]] = True
+    keep = first[row]
+    row, key = row[keep], key[keep]
+    sketch = own.sketches()
+    columns = [flat.i64(hi[row]), pa.array(n[row].astype(np.int32)), flat.i64(sketch[0, row]), flat.i64(sketch[1, row]), pa.array(short[row]), flat.i64(key)]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in KEYS.split(", ")])
+
+
+def held_keys(counts, similarity: float):
+    """mapInArrow: (row_id, fld, text) -> KEYS by which held-out texts join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, part in flat.slices(batch.column(2)):
-                rows = batch.slice(first, len(part))
-                cps, starts = normalised(part)
-                prefix = flat.prefix_hash(cps)
-                hi = flat.span_hash(prefix, starts[:-1], starts[1:])
-                lo = flat.span_hash(flat.prefix_hash(cps ^ np.uint32(0x155555)), starts[:-1], starts[1:])
-                grams, at = gram_hashes(cps, starts, prefix, GRAM)
-                bit = np.uint64(1) << (grams & np.uint64(63))
-                upper = (grams >> np.uint64(6)) & np.uint64(1) != 0
-                some = np.flatnonzero(np.diff(at))
-                sketch = np.zeros((2, len(rows)), np.uint64)
-                if len(some):
-                    sketch[0, some] = np.bitwise_or.reduceat(np.where(upper, np.uint64(0), bit), at[some])
-                    sketch[1, some] = np.bitwise_or.reduceat(np.where(upper, bit, np.uint64(0)), at[some])
-                edge = np.flatnonzero(cuts(starts, prefix, RADIUS, WINDOW))
-                begin, size = edge[:-1], np.diff(edge)
-                digest = (flat.span_hash(prefix, begin, edge[1:]) & ~np.uint64(LENGTH_BITS)) | size.astype(np.uint64)
-                where = np.searchsorted(begin, starts)
-                weight = np.concatenate([[0], np.cumsum(size)])[where]
-                if passing is not None:
-                    digest, where = flat.compact(digest, where, bloom.passes(passing.value, digest))
-                first_of, first_at = first_runs(grams, at, counts.value, similarity)
-                if passing_runs is not None:
-                    first_of, first_at = flat.compact(first_of, first_at, bloom.passes(passing_runs.value, first_of))
-                out = pa.RecordBatch.from_arrays(
-                    [
-                        *rows.columns[:2],
-                        flat.i64(hi), flat.i64(lo), pa.array(np.diff(at).astype(np.int32)), flat.i64(sketch[0]), flat.i64(sketch[1]),
-                        pa.array(np.diff(weight).astype(np.int32)), flat.list_array(flat.i64(digest), where),
-                        flat.list_array(flat.i64(first_of), first_at),
-                    ],
-                    ["row_id", "fld", "hi", "lo", "n", "b0", "b1", "length", "chunks", "first"],
-                )
-                yield out.filter(pa.array(np.diff(starts) > 0))
+        runs, chunks = counts.value
+        for _, own in parted(batches):
+            n = own.sizes()
+            row, key, short = own.chosen_spans(chunks, n, similarity)
+            run_row, run_key = own.first_runs(runs, similarity, short)
+            yield keyed(own, n, short, np.concatenate([row, run_row]), np.concatenate([key, run_key]))
 
     return run
 
 
-def same_or_near(a: pd.Series, b: pd.Series, at_least: float) -> np.ndarray:
-    """Exact similarity of runs of five, pairwise; True where it is at least the given one."""
-    out = np.zeros(len(a), bool)
-    x, y = pa.array(a, pa.large_string()), pa.array(b, pa.large_string())
-    for first, part in flat.slices(x, 1 << 18):
-        other = y.slice(first, len(part))
-        sides = []
-        for k, col in enumerate((part, other)):
-            cps, starts = normalised(col)
-            grams, at = gram_hashes(cps, starts, flat.prefix_hash(cps), GRAM)
-            key = np.unique(np.rec.fromarrays([flat.row_ids(at), grams], names="r,g"))
-            sides.append(key)
-        both = np.intersect1d(sides[0], sides[1])
-        m = len(part)
-        shared, na, nb = (np.bincount(s["r"], minlength=m) for s in (both, *sides))
-        out[first : first + m] = shared >= at_least * (na + nb - shared) - 1e-9
-        out[first : first + m] &= shared > 0
-    return out
+def train_keys(counts, passing, sizes, similarity: float):
+    """mapInArrow: (row_id, fld, text) -> KEYS that pass the filter of the held-out ones.
 
+    First runs are sought in texts of the size classes in which a held-out text that joins by runs may have a partner.
+    """
 
-KEY = ["fld", "hi", "lo"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, wanted = counts.value[0], passing.value
+        for _, own in parted(batches):
+            row, key = [], []
+            for span_row, _, _, span_key in own.spans:
+                ok = wanted.passes(span_key)
+                row.append(span_row[ok])
+                key.append(span_key[ok])
+            n = own.sizes()
+            may = np.isin(size_class(n), sizes) & (n > 0)
+            if may.any():
+                run_row, run_key = own.first_runs(runs, similarity, may)
+                hit = wanted.passes(run_key)
+                row.append(run_row[hit])
+                key.append(run_key[hit])
+            yield keyed(own, n, may, np.concatenate(row), np.concatenate(key))
 
+    return run
 
-def classes_of(marked: DataFrame) -> DataFrame:
-    """One row for each field and normalised text: rep is the least row_id, id tells it and the field."""
-    rest = ("n", "b0", "b1", "length", "chunks", "first")
-    grouped = marked.groupBy(*KEY).agg(F.min("row_id").alias("rep"), F.count("*").alias("size"), *(F.first(c).alias(c) for c in rest))
-    return grouped.withColumn("id", text_id("rep"))
 
+MATCHED = "row_id long, fld string, hi long, lo long, text string"
 
-def text_id(row: str) -> F.Column:
-    return F.col(row) * 2 + (F.col("fld") == "t").cast("int")
 
+def matched(wanted):
+    """mapInArrow: (row_id, fld, text) -> MATCHED of the rows of which the digest hi passes the filter.
 
-def rarest(held: DataFrame, df: DataFrame, share: float) -> DataFrame:
-    """(id, fld, n, b0, b1, chunks) of the chunks, rarest first, that start below the share of their class."""
-    one = held.select("id", "fld", "n", "b0", "b1", "length", F.explode("chunks").alias("chunk")).join(df, "chunk", "left")
-    order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.col("chunk").bitwiseAND(LENGTH_BITS)
-    one = one.withColumn("before", F.coalesce(F.sum(size).over(order), F.lit(0)))
-    return one.where((F.col("before") <= share * F.col("length")) & F.col("df").isNotNull()).drop("before", "df", "length").dropDuplicates(["id", "chunk"])
+    Of equal texts of a part only the first comes with its text.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in flat.slices(batch.column(2)):
+                rows = batch.slice(at, len(part))
+                hi, lo = digests(*normalised(part), rows.column(1).to_numpy(zero_copy_only=False) == "t")
+                ok = np.flatnonzero(wanted.value.passes(hi))
+                first = np.zeros(len(ok), bool)
+                first[np.unique(hi[ok], return_index=True)[1]] = True
+                text = pa.array([x if f else None for x, f in zip(part.take(pa.array(ok)).to_pylist(), first.tolist())], pa.string())
+                yield pa.RecordBatch.from_arrays([*(rows.column(k).take(pa.array(ok)) for k in range(2)), flat.i64(hi[ok]), flat.i64(lo[ok]), text], [x.split()[0] for x in MATCHED.split(", ")])
 
-def candidates(held: DataFrame, train: DataFrame, similarity: float, min_overlap: float) -> DataFrame:
-    """Pairs (e_id, t_id) of classes that share a rare chunk or a first run and whose sketches allow the similarity.
+    return run
 
-    Of the train chunks only those that pass a second filter, of the rare held-out ones, are shuffled.
-    """
-    df = train.select(F.explode(F.array_distinct("chunks")).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("df"))
-    rare = stored(rarest(held, df, 1 - min_overlap))
-    passing = held.sparkSession.sparkContext.broadcast(bloom.fit(rare.select("chunk")))
 
-    @F.arrow_udf("array<bigint>")
-    def wanted(chunks: pa.Array) -> pa.Array:
-        start, values = chunks.offsets.to_numpy(), chunks.values.to_numpy(zero_copy_only=False)
-        kept, at = flat.compact(values, start.astype(np.int64), bloom.passes(passing.value, values))
-        return flat.list_array(pa.array(kept), at)
+def compared(a: pa.Array, b: pa.Array, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairwise: is the exact similarity of runs of five at least the given one, and the share of a in shared chunks."""
+    close, overlap = np.zeros(len(a), bool), np.zeros(len(a))
+    x, y = (v.cast(pa.large_string()) for v in (a, b))
+    for first, part in flat.slices(x, 1 << 18):
+        m = len(part)
+        one, two = (Texts(col, np.zeros(m, bool)) for col in (part, y.slice(first, m)))
+        packed = lambda row, h: (row.astype(np.uint64) << np.uint64(RUN_BITS)) | h
+        both = np.intersect1d(packed(*one.distinct), packed(*two.distinct), assume_unique=True)
+        shared, na, nb = np.bincount((both >> np.uint64(RUN_BITS)).astype(np.int64), minlength=m), one.sizes(), two.sizes()
+        close[first : first + m] = (shared >= at_least * (na + nb - shared) - 1e-9) & (shared > 0)
+        chunks = []
+        for own in (one, two):
+            edge = np.flatnonzero(cuts(own.starts, own.least))
+            row = np.searchsorted(own.starts, edge[:-1], "right") - 1
+            chunks.append((row, packed(row, run_of(flat.span_hash(own.prefix, edge[:-1], edge[1:]))), np.diff(edge)))
+        row, digest, size = chunks[0]
+        overlap[first : first + m] = np.bincount(row, size * np.isin(digest, chunks[1][1]), m) / np.maximum(np.bincount(row, size, m), 1)
+    return close, overlap
+
 
-    few = train.select("id", "fld", "n", "b0", "b1", wanted(F.array_distinct("chunks")).alias("chunks")).where(F.size("chunks") > 0)
-    columns = ["id", "fld", "n", "b0", "b1"]
-    by_chunk = near_pairs(rare, few.select(*columns, F.explode("chunks").alias("chunk")), similarity)
-    by_run = near_pairs(*(d.select(*columns, F.explode("first").alias("chunk")) for d in (held, train)), similarity)
-    return by_chunk.unionByName(by_run).distinct()
+KEY = ["hi", "lo"]
 
 
 def near_pairs(held: DataFrame, train: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (e_id, t_id) of the same chunk or run whose sketches allow the similarity; may repeat."""
-    e, t = held.alias("e"), train.alias("t")
-    apart = F.bit_count(F.col("e.b0").bitwiseXOR(F.col("t.b0"))) + F.bit_count(F.col("e.b1").bitwiseXOR(F.col("t.b1")))
-    loss = (1 - similarity) / (1 + similarity)
-    near = (F.col("e.fld") == F.col("t.fld")) & (apart <= (F.col("e.n") + F.col("t.n")) * (loss + 1e-9))
-    return e.join(t, (F.col("e.chunk") == F.col("t.chunk")) & near).select(F.col("e.id").alias("e_id"), F.col("t.id").alias("t_id"))
+    """Pairs (e_hi, t_hi) of digests of texts with a key in common and whose sketches allow the similarity."""
+    side = lambda d, p: d.select(*(F.col(c).alias(f"{p}_{c}") for c in ("hi", "n", "b0", "b1")), "key")
+    apart = F.bit_count(F.col("e_b0").bitwiseXOR(F.col("t_b0"))) + F.bit_count(F.col("e_b1").bitwiseXOR(F.col("t_b1")))
+    near = apart <= (F.col("e_n") + F.col("t_n")) * ((1 - similarity) / (1 + similarity) + 1e-9)
+    sized = (F.col("e_n") >= F.col("t_n") * (similarity - 1e-9)) & (F.col("t_n") >= F.col("e_n") * (similarity - 1e-9))
+    return side(train, "t").join(side(held, "e"), "key").where(near & sized).select("e_hi", "t_hi").distinct()
 
 
-def overlaps(pairs: DataFrame, held: DataFrame, train: DataFrame) -> DataFrame:
-    """Sums the lengths of the chunks shared by each pair into overlap fractions of both records."""
-    side = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), F.col("chunks").alias(f"{p}_c"), F.col("length").alias(f"{p}_len"))
-    joined = join_small(join_small(side(held, "e"), pairs, ["e_id"]).transform(stored), side(train, "t"), ["t_id"], swap=True)
-    total = lambda own, other: F.aggregate(F.filter(own, lambda x: F.array_contains(other, x)), F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(LENGTH_BITS))
-    share = lambda p, o: (total(F.col(f"{p}_c"), F.col(f"{o}_c")) / F.col(f"{p}_len")).alias(f"overlap_{p}")
-    return joined.select("e_id", "t_id", share("e", "t"), share("t", "e"))
+def rows_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """MATCHED of the rows (row_id, fld, text) with a digest among those of the one column hi, stored."""
+    passing = texts.sparkSession.sparkContext.broadcast(bloom.fit_one(wanted))
+    return stored(texts.mapInArrow(matched(passing), MATCHED).join(wanted, "hi").select(*(x.split()[0] for x in MATCHED.split(", "))))
 
 
-def cross_pairs(records: DataFrame, similarity: float = SIMILARITY, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """(row_id, split_name, s, t) -> (row_id_a, row_id_b, e, t, fld, overlap): pairs of a train and a held-out row.
+def cross_pairs(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(row_id, split_name, s, t) -> (row_id_a, row_id_b, e, t, by_t, overlap): pairs of a train and a held-out row.
 
     overlap is the share of the held-out record e made up of chunks shared with the train record t.
     """
     fields = F.explode(F.array(*(F.struct(F.lit(f).alias("fld"), F.col(f).alias("text")) for f in ("s", "t")))).alias("f")
     texts = records.select("row_id", "split_name", fields).select("row_id", "split_name", "f.*").where(has_text("text"))
-    ours, theirs = texts.where(F.col("split_name").isin("r0", "eval")), texts.where("split_name = 'train'")
     columns = ["row_id", "fld", "text"]
+    ours, theirs = texts.where(F.col("split_name").isin("r0", "eval")).select(columns), texts.where("split_name = 'train'").select(columns)
     share = records.sparkSession.sparkContext.broadcast
-    counts = share(run_counts(ours.select(columns)))
-    held_rows = stored(ours.select(columns).mapInArrow(chunked(counts, similarity), TEXT_SCHEMA))
-    held = stored(classes_of(held_rows))
-    passing, passing_runs = (share(bloom.fit(held.select(F.explode(c).alias("h")))) for c in ("chunks", "first"))
-    train_rows = stored(theirs.select(columns).mapInArrow(chunked(counts, similarity, passing, passing_runs), TEXT_SCHEMA).where((F.size("chunks") > 0) | (F.size("first") > 0)))
-    train = stored(classes_of(train_rows))
-    rough = overlaps(stored(candidates(held, train, similarity, min_overlap)), held, train)
-    rough = stored(rough)
-    for side, source, text in (("e", ours, "a"), ("t", theirs, "b")):
-        ids = stored(rough.select(F.col(f"{side}_id").alias("id")).distinct())
-        found = join_small(source.select(text_id("row_id").alias("id"), "text"), ids, ["id"]).dropDuplicates(["id"])
-        rough = rough.join(found.select(F.col("id").alias(f"{side}_id"), F.col("text").alias(text)), f"{side}_id")
-
-    @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(same_or_near(a, b, similarity))
-
-    linked = stored(rough.where(close("a", "b")).select("e_id", "t_id", F.col("overlap_e").alias("overlap")))
-    for side, rows, classes in (("e", held_rows, held), ("t", train_rows, train)):
-        linked = with_members(linked, side, rows, classes)
-    return linked.select(F.least("e", "t").alias("row_id_a"), F.greatest("e", "t").alias("row_id_b"), "e", "t", (F.col("e_id") % 2 == 1).alias("by_t"), "overlap")
+    counts = share(bucket_counts(ours))
+    held = stored(ours.mapInArrow(held_keys(counts, similarity), KEYS).dropDuplicates(["hi", "key"]))
+    passing = share(bloom.fit_one(held.select("key")))
+    kind = F.floor(F.log(F.col("n")) / SIZE_STEP + 1e-9).cast("int")  # as size_class
+    alone = np.array([r[0] for r in held.where("short").select(kind).distinct().collect()], np.int64)  # some hundred at most
+    reach = int(np.ceil(-np.log(similarity) / SIZE_STEP)) + 1
+    sizes = np.unique((alone[:, None] + np.arange(-reach, reach + 1)).ravel())
+    train = theirs.mapInArrow(train_keys(counts, passing, sizes, similarity), KEYS)
+    rough = stored(near_pairs(held, train, similarity))
+    found, classes = {}, {}
+    for side, source in (("e", ours), ("t", theirs)):
+        found[side] = rows_of(source, stored(rough.select(F.col(f"{side}_hi").alias("hi")).distinct()))
+        grouped = found[side].groupBy(*KEY).agg(F.count("*").alias("size"), F.first("text", ignorenulls=True).alias("text"), F.first("fld").alias("fld"))
+        classes[side] = stored(grouped.select(*(F.col(c).alias(f"{side}_{c}") for c in grouped.columns)))
+    whole = rough.join(classes["e"], "e_hi").join(classes["t"], "t_hi")
+
+    @F.arrow_udf("struct<close: boolean, overlap: double>")
+    def check(a: pa.Array, b: pa.Array) -> pa.Array:
+        close, overlap = compared(a, b, similarity)
+        return pa.StructArray.from_arrays([pa.array(close), pa.array(overlap)], ["close", "overlap"])
+
+    checked = whole.withColumn("c", check("e_text", "t_text")).select("e_hi", "e_lo", "e_fld", "t_hi", "t_lo", "c.close", "c.overlap")
+    linked = stored(checked.where("close").drop("close"))
+    for side in found:
+        linked = with_members(linked, side, found[side], classes[side])
+    return linked.select(F.least("e", "t").alias("row_id_a"), F.greatest("e", "t").alias("row_id_b"), "e", "t", (F.col("e_fld") == "t").alias("by_t"), "overlap")
 
 
 def with_members(linked: DataFrame, side: str, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Puts for each class of the side its rows; a class of n rows is joined in n / HOT parts."""
-    used = stored(join_small(classes.select("id", *KEY, "size"), linked.select(F.col(f"{side}_id").alias("id")).distinct(), ["id"]))
-    salts = F.ceil(F.col("size") / HOT).cast("int")
-    members = join_small(rows.select(*KEY, "row_id"), used, KEY, size="size")
-    members = members.select(F.col("id").alias(f"{side}_id"), F.pmod(F.xxhash64("row_id"), salts).cast("int").alias("salt"), F.col("row_id").alias(side))
-    sized = used.select(F.col("id").alias(f"{side}_id"), F.sequence(F.lit(0), salts - 1).alias("salts"))
-    linked = linked.join(sized, f"{side}_id").withColumn("salt", F.explode("salts")).drop("salts")
-    return linked.join(members, [f"{side}_id", "salt"]).drop("salt")
+    """Puts for each class of the side its rows; a class is joined in parts of some HOT rows."""
+    own, size = [f"{side}_hi", f"{side}_lo"], f"{side}_size"
+    used = stored(classes.select(*own, size).join(linked.select(*own).distinct(), own))
+    members = rows.select(F.col("hi").alias(own[0]), F.col("lo").alias(own[1]), F.col("row_id").alias(side))
+    members = join_small(members, used, own, size=size)
+    members = members.select(*own, side, salt(salts(F.col(size)), side).alias("salt"))
+    cut = used.select(*own, F.explode(F.sequence(F.lit(0), salts(F.col(size)) - 1)).alias("salt"))
+    return linked.join(cut, own).join(members, [*own, "salt"]).drop("salt", *own)
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:

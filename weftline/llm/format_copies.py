@@ -1,10 +1,11 @@
 """Problem 6: duplicates hidden by formatting differences.
 
 Every record is reduced to a canonical digest (blanks, letter case and punctuation disregarded, the
-two texts in either order). One pass builds, in every partition, the bits of a Bloom filter that the
+two texts in either order). One pass finds, in every partition, the positions of a Bloom filter that the
 partition's digests set once and those set repeatedly; the partial filters are merged block by
-block (a bit is repeated if any part repeats it or two parts set it). The filter has a bounded size
-and is broadcast. Only records whose bit is repeated, i.e. all true copies and a small share of the
+block (a position is repeated if any part repeats it or two parts set it) and grow with the records. What
+is broadcast is a filter of the repeated positions, of bounded size: one, or one for each range of digests
+where there are too many. Only records that pass it, i.e. all true copies and a small share of the
 others, are shuffled for exact grouping on the 128-bit digest; all others are singletons by proof.
 
 Defined cases: a record of which a text is null, blank or `nan` is no record and never comes out; a
@@ -15,7 +16,7 @@ empty tables give empty results; columns other than those named are ignored.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,26 +52,44 @@ def keyed(records: DataFrame) -> DataFrame:
     return kept.select("tbl", "id", both.alias("k")).select("tbl", "id", F.xxhash64("k").alias("h"), F.unhex(F.md5("k")).alias("digest"))
 
 
-def copies(records: DataFrame, max_bits: int = bloom.MAX_BITS) -> DataFrame:
-    """(tbl, id, s, t) -> (tbl, id, keep_id, copies): for each record its kept record and group size.
+def flagged(keys: DataFrame, one: bloom.Filter) -> DataFrame:
+    """The rows of keys in the filter's range of hashes, with the column again: may there be a copy?"""
+    shared = keys.sparkSession.sparkContext.broadcast(one)
 
-    Singletons keep themselves and have 1 copy. The filter is sized by the number of records up to
-    max_bits; beyond that more records are shuffled, and the result stays the same.
-    """
-    spark = records.sparkSession
+    @F.arrow_udf("boolean")
+    def repeated(h: pa.Array) -> pa.Array:
+        return pa.array(shared.value.passes(h.to_numpy(zero_copy_only=False)))
+
+    block = F.shiftrightunsigned("h", 64 - one.width) if one.width else F.lit(0)
+    return keys.where((block >= one.first) & (block <= one.last)).select("tbl", "id", "digest", repeated("h").alias("again"))
+
+
+def split_repeats(records: DataFrame, max_bits: int = bloom.MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """(tbl, id, s, t) -> possible repeats (tbl, id, digest) and sure singletons (tbl, id)."""
     keys = stored(keyed(records))
-    shared = spark.sparkContext.broadcast(bloom.fit(keys.select("h"), max_bits, repeated=True))
+    again, alone = None, None
+    for one in bloom.fit(keys.select("h"), max_bits, repeated=True):
+        rows = flagged(keys, one)
+        maybe, sure = rows.where("again").select("tbl", "id", "digest"), rows.where("not again").select("tbl", "id")
+        again, alone = (maybe, sure) if again is None else (again.unionByName(maybe), alone.unionByName(sure))
+    return stored(again), alone
 
-    @F.pandas_udf("boolean")
-    def repeated(h: pd.Series) -> pd.Series:
-        return pd.Series(bloom.passes(shared.value, h.to_numpy()))
 
-    marked = stored(keys.select("tbl", "id", "digest", repeated("h").alias("again")), eager=False)
-    again = marked.where("again").select("tbl", "id", "digest")
-    groups = again.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies"))
-    real = join_groups(again, groups, ["digest"], "copies").select("tbl", "id", "keep_id", "copies")
-    alone = marked.where("not again").select("tbl", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("copies"))
-    return real.unionByName(alone)
+def repeats(again: DataFrame) -> DataFrame:
+    """(tbl, id, digest) -> (tbl, id, keep_id, copies), exact groups."""
+    groups = stored(again.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")))
+    return join_groups(again, groups, ["digest"], "copies").select("tbl", "id", "keep_id", "copies")
+
+
+def copies(records: DataFrame, max_bits: int = bloom.MAX_BITS) -> DataFrame:
+    """(tbl, id, s, t) -> (tbl, id, keep_id, copies): for each record its kept record and group size.
+
+    Singletons keep themselves and have 1 copy. max_bits bounds each filter that is broadcast; the result and
+    the share of records that are shuffled do not depend on it.
+    """
+    again, alone = split_repeats(records, max_bits)
+    single = alone.select("tbl", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("copies"))
+    return repeats(again).unionByName(single)
 
 
 def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +99,7 @@ def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = copies(all_records(spark, sf_dir)).where("id <> keep_id")
+    found = repeats(split_repeats(all_records(spark, sf_dir))[0]).where("id <> keep_id")
     return found.select("tbl", "keep_id", F.col("id").alias("dup_id"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import flat
-from weftline.llm.common import has_text, join_groups, salted_pairs, stored, table
+from weftline.llm.common import has_text, join_groups, stored, table, unlike_pairs
 
 #: Letters and digits of one shape, each line one class.
 SAME_SHAPE = """
@@ -301,9 +301,10 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     fitted = canonicaliser(texts.select("text"))
     keys = stored(texts.select("tbl", "id", "text").mapInArrow(digests(fitted), "tbl string, id long, look binary, chars binary"))
     groups = keys.groupBy("tbl", "look").agg(F.min("chars").alias("low"), F.max("chars").alias("high"), F.count("*").alias("n"))
-    mixed = groups.where("low <> high").select("tbl", "look", "n")
-    pairs = salted_pairs(join_groups(keys, mixed, ["tbl", "look"], "n"), ["tbl", "look"], "n")
-    return pairs.where("a_id < b_id and a_chars <> b_chars").select("tbl", F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"))
+    mixed = stored(groups.where("low <> high").select("tbl", "look", "n"))
+    rows = stored(join_groups(keys, mixed, ["tbl", "look"], "n").select("tbl", "look", "chars", "id"))
+    pairs = unlike_pairs(rows, ["tbl", "look"], "chars", "id").where("a_id <> b_id")
+    return pairs.select("tbl", F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
