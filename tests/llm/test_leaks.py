@@ -51,3 +51,35 @@ def test_coverage_finds_reordered(spark):
     t = spark.createDataFrame([("t", 1, "six seven eight nine ten and one two three four five")], "tbl string, rec_id long, text string")
     r = K.leaks(t, spark.createDataFrame(LINES[:1], "item_id long, line string")).first()
     assert r["coverage"] == 1.0 and r["longest"] == 5
+
+
+def is_case(line, text):
+    """Half of the words in one run, or the line in its place with two words replaced (one at least its own)."""
+    n, m = len(line), len(text)
+    if any(line[i : i + -(-n // 2)] == text[j : j + -(-n // 2)] for i in range(n) for j in range(m) if i + -(-n // 2) <= n):
+        return True
+    return any(sum(a == b for a, b in zip(line, text[j : j + n])) >= max(1, n - 2) for j in range(m - n + 1))
+
+
+def test_lines_of_any_length_against_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(60)]
+    lines = [(i, rng.choices(words, k=1 + i % 14)) for i in range(42)]
+    texts = []
+    for i in range(300):
+        text = rng.choices(words, k=rng.randrange(0, 30))
+        own = list(rng.choice(lines)[1])
+        for _ in range(rng.randrange(0, 4)):
+            own[rng.randrange(len(own))] = "other"
+        at = rng.randrange(len(text) + 1)
+        texts.append((i, text[:at] + own + text[at:] if i % 2 else text))
+    want = {(i, k) for i, t in texts for k, ln in lines if is_case(ln, t)}
+    rows = [("t", i, " ".join(t), 0, 0) for i, t in texts]
+    own = [(k, " ".join(ln)) for k, ln in lines]
+    assert len(want) > 200 and found(spark, rows, own) == want
+    index = K.LineIndex([k for k, _ in own], [x for _, x in own])
+    tokens, starts = K.words(K.pa.array([r[2] for r in rows], K.pa.large_string()))
+    whole = [x.tolist() for x in index.candidates(tokens, starts, None)]
+    monkeypatch.setattr(K, "HITS", 7)
+    monkeypatch.setattr(K, "CELLS", 11)
+    assert [x.tolist() for x in index.candidates(tokens, starts, None)] == whole

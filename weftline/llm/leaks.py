@@ -3,13 +3,14 @@
 The held-out lines are a stated query set; they are indexed in blocks of bounded size and each block
 is compared with all rows. Seeds are runs of words shared by a line and a text. A line of n words has
 seeds of min(SEED, n / 2, (n - 2) / 3) words, so that any text that holds half of the line in one run,
-or the whole line with two words replaced, shares a seed. Each (text, line) with a shared seed is
+or the whole line with two words replaced, shares a seed. The places of the seeds tell where a line may lie in a
+text; what stands at its own place there is counted for many at a time. Each (text, line) that can be a case is
 tiled greedily: the longest common run of words not yet marked is found by Karp-Rabin digests and
 marked in both, until none of MIN_TILE words is left. The tiles' share of the line is its coverage,
 which also finds passages in another order.
 
 Defined cases: letter case, punctuation, marks and kinds of blanks do not matter; null, blank and `nan`
-texts and lines hold nothing; a line of fewer than SHORT words counts only as a whole; a text that
+texts and lines hold nothing; of a line of one or two words one word is enough; a text that
 holds a line several times gives one row; repeated rows each give theirs; texts are taken whole, in
 memory one at a time if they are long; other columns are ignored; empty tables give empty results.
 """
@@ -27,10 +28,12 @@ from weftline.functions import flat
 from weftline.llm.common import has_text, table
 from weftline.llm.cross_split import fold_table
 
-SEED, SHORT, MIN_TILE = 8, 8, 3
+SEED, MIN_TILE = 8, 3
 #: Lines in a block of the query set; its index takes about 10 KB a line of 30 words in 64-bit digests.
 BLOCK_LINES = 20_000
 REPLACED = 2
+#: Places of seeds, and words beside them, that are compared at once.
+HITS, CELLS = 1 << 20, 1 << 22
 
 _words: np.ndarray | None = None
 
@@ -65,7 +68,7 @@ def words(part: pa.Array, fold: np.ndarray | None = None) -> tuple[np.ndarray, n
 
 def seed_length(n: int) -> int:
     """The longest run that any case of a line of n words must share with it, SEED at most."""
-    return min(SEED, n if n < SHORT else min(-(-n // 2), -(-(n - REPLACED) // (REPLACED + 1))))
+    return max(1, min(SEED, -(-n // 2), -(-(n - REPLACED) // (REPLACED + 1))))
 
 
 class LineIndex:
@@ -74,34 +77,95 @@ class LineIndex:
     def __init__(self, ids: list[int], lines: list[str | None]) -> None:
         self.words, self.starts = words(pa.array(lines, pa.large_string()))
         self.ids = np.array(ids, np.int64)
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         prefix = flat.prefix_hash(self.words)
         sizes = np.diff(self.starts)
-        needed = np.array([seed_length(int(n)) if n else 0 for n in sizes])
-        for k in sorted(set(needed.tolist()) - {0}):
-            own = np.flatnonzero(needed == k)
+        self.needed = np.array([seed_length(int(n)) if n else 0 for n in sizes], np.int64)
+        for k in sorted(set(self.needed.tolist()) - {0}):
+            own = np.flatnonzero(self.needed == k)
             begin = np.concatenate([np.arange(self.starts[i], self.starts[i + 1] - k + 1) for i in own])
             line = np.repeat(own, sizes[own] - k + 1)
             h = flat.span_hash(prefix, begin, begin + k)
             order = np.argsort(h, kind="stable")
-            self.seeds[k] = (h[order], line[order])
+            self.seeds[k] = (h[order], line[order], (begin - self.starts[line])[order])
 
-    def candidates(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(row, line) pairs that share a seed."""
-        prefix, out = flat.prefix_hash(tokens), [np.zeros((0, 2), np.int64)]
+    def places(self, tokens: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, line, shift) of the places, about HITS at a time, where a seed puts a line: shift words after the row's first."""
+        prefix = flat.prefix_hash(tokens)
         row = flat.row_ids(starts)
-        for k, (h, line) in self.seeds.items():
+        for k, (h, line, offset) in self.seeds.items():
             if len(tokens) < k:
                 continue
             begin = np.flatnonzero(np.arange(len(tokens)) + k <= starts[row + 1])
             mine = flat.span_hash(prefix, begin, begin + k)
             low = np.searchsorted(h, mine)
             found = np.flatnonzero(h[np.minimum(low, len(h) - 1)] == mine)
-            low, high = low[found], np.searchsorted(h, mine[found], "right")
-            n = high - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else low
-            out.append(np.column_stack([np.repeat(row[begin[found]], n), line[at]]))
-        return np.unique(np.concatenate(out), axis=0)
+            low, begin = low[found], begin[found]
+            n = np.searchsorted(h, mine[found], "right") - low
+            cut = np.flatnonzero(np.diff(np.cumsum(n) // HITS, prepend=0))
+            for a, b in zip(np.append(0, cut), np.append(cut, len(n))):
+                times = n[a:b]
+                at = np.repeat(low[a:b] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                where = np.repeat(begin[a:b], times)
+                yield row[where], line[at], where - starts[row[where]] - offset[at]
+
+    def lying(self, tokens: np.ndarray, starts: np.ndarray, row: np.ndarray, line: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each place: the words of the line that stand there, their longest run, and whether the whole line has room."""
+        size, length = np.diff(self.starts)[line], np.diff(starts)[row]
+        same, run = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // CELLS, prepend=0))
+        for a, b in zip(np.append(0, cut), np.append(cut, len(row))):
+            n = size[a:b]
+            first = np.cumsum(n) - n
+            inner = np.arange(n.sum()) - np.repeat(first, n)
+            at = inner + np.repeat(shift[a:b], n)
+            ok = (at >= 0) & (at < np.repeat(length[a:b], n))
+            place = np.where(ok, at + np.repeat(starts[row[a:b]], n), 0)
+            ok &= self.words[inner + np.repeat(self.starts[line[a:b]], n)] == tokens[place]
+            if len(n):
+                same[a:b] = np.add.reduceat(ok.astype(np.int64), first)
+                # words since the last that differs or the line's beginning
+                since = np.arange(len(ok)) - np.maximum.accumulate(np.where(~ok, np.arange(len(ok)), np.repeat(first, n) - 1))
+                run[a:b] = np.maximum.reduceat(np.where(ok, since, 0), first)
+        return same, run, (shift >= 0) & (shift + size <= length)
+
+    def candidates(self, tokens: np.ndarray, starts: np.ndarray, least_coverage: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, line, aligned) that can be cases: half of the line in a run, the line but for words replaced, or so much covered.
+
+        aligned: the most words of the line that stand at their own places in one stretch of the text.
+        """
+        bits = np.uint64(32)
+        pairs, wanted, most, sums = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row, line, shift in self.places(tokens, starts):
+            order = np.lexsort((shift, line, row))
+            row, line, shift = row[order], line[order], shift[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1]) | (shift[1:] != shift[:-1])
+            row, line, shift = row[new], line[new], shift[new]
+            if not len(row):
+                continue
+            same, run, room = self.lying(tokens, starts, row, line, shift)
+            size = np.diff(self.starts)[line]
+            aligned = np.where(room, same, 0)
+            key = (row.astype(np.uint64) << bits) | line.astype(np.uint64)
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            pairs.append(key[first])
+            wanted.append(np.logical_or.reduceat((2 * run >= size) | (aligned >= np.maximum(1, size - REPLACED)), first))
+            most.append(np.maximum.reduceat(aligned, first))
+            sums.append(np.add.reduceat(same, first))
+        key, wanted, most, sums = (np.concatenate(x) for x in (pairs, wanted, most, sums))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        if not len(first):
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        wanted, most, sums = np.logical_or.reduceat(wanted[order], first), np.maximum.reduceat(most[order], first), np.add.reduceat(sums[order], first)
+        row, line = (key[first] >> bits).astype(np.int64), (key[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        if least_coverage is not None:  # a tile is found at its seeds only where these are no longer than a tile
+            size = np.diff(self.starts)[line]
+            wanted |= (self.needed[line] > MIN_TILE) | (sums >= least_coverage * size)
+        return row[wanted], line[wanted], most[wanted]
 
 
 def _free_spans(prefix: np.ndarray, marked: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,20 +206,11 @@ def greedy_tiles(line: np.ndarray, text: np.ndarray, least: int = MIN_TILE) -> l
         tiles.append(best)
 
 
-def aligned_words(line: np.ndarray, text: np.ndarray, tiles: list[tuple[int, int, int]]) -> int:
-    """The most words of the line that stand at their own places in one stretch of the text."""
-    best = 0
-    for shift in {j - i for i, j, _ in tiles}:
-        if shift >= 0 and shift + len(line) <= len(text):
-            best = max(best, int((text[shift : shift + len(line)] == line).sum()))
-    return best
-
-
 FOUND = "tbl string, rec_id long, item_id long, words int, longest int, aligned int, coverage double"
 
 
-def compare(index) -> object:
-    """mapInArrow function: (tbl, rec_id, text) -> FOUND, a row for each text and line that share a seed."""
+def compare(index, least_coverage: float | None) -> object:
+    """mapInArrow function: (tbl, rec_id, text) -> FOUND, a row for each text and line that can be a case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: LineIndex = index.value
@@ -163,12 +218,12 @@ def compare(index) -> object:
             out: list[tuple] = []
             for first, part in flat.slices(batch.column(2)):
                 tokens, starts = words(part)
-                for row, line in lines.candidates(tokens, starts).tolist():
+                for row, line, aligned in zip(*(x.tolist() for x in lines.candidates(tokens, starts, least_coverage))):
                     own, text = lines.words[lines.starts[line] : lines.starts[line + 1]], tokens[starts[row] : starts[row + 1]]
-                    tiles = greedy_tiles(own, text, min(MIN_TILE, len(own)))
+                    tiles = greedy_tiles(own, text, min(MIN_TILE, -(-len(own) // 2)))
                     covered, longest = sum(t[2] for t in tiles), max((t[2] for t in tiles), default=0)
                     at = first + row
-                    out.append((batch.column(0)[at].as_py(), batch.column(1)[at].as_py(), int(lines.ids[line]), len(own), longest, aligned_words(own, text, tiles), covered / len(own)))
+                    out.append((batch.column(0)[at].as_py(), batch.column(1)[at].as_py(), int(lines.ids[line]), len(own), longest, aligned, covered / len(own)))
             cols = list(zip(*out)) if out else [()] * 7
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["tbl", "rec_id", "item_id", "words", "longest", "aligned", "coverage"])
@@ -176,8 +231,8 @@ def compare(index) -> object:
     return run
 
 
-def leaks(texts: DataFrame, lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """texts (tbl, rec_id, text) against lines (item_id, line) -> FOUND, the best of each record and item.
+def leaks(texts: DataFrame, lines: DataFrame, least_coverage: float | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """texts (tbl, rec_id, text) against lines (item_id, line) -> FOUND of the cases, the best of each record and item.
 
     The lines are read in blocks of about block_lines, each a pass over all texts, so that an index
     has a bounded size whatever their number.
@@ -189,20 +244,19 @@ def leaks(texts: DataFrame, lines: DataFrame, block_lines: int = BLOCK_LINES) ->
     for b in range(blocks):
         rows = lines.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
         index = spark.sparkContext.broadcast(LineIndex([r["item_id"] for r in rows], [r["line"] for r in rows]))
-        one = texts.select("tbl", "rec_id", "text").mapInArrow(compare(index), FOUND)
+        one = texts.select("tbl", "rec_id", "text").mapInArrow(compare(index, least_coverage), FOUND)
         found = one if found is None else found.unionByName(one)
     best = [F.max(c).alias(c) for c in ("words", "longest", "aligned", "coverage")]
-    return found.groupBy("tbl", "rec_id", "item_id").agg(*best)
+    return found.where(is_case(least_coverage)).groupBy("tbl", "rec_id", "item_id").agg(*best)
 
 
 def is_case(least_coverage: float | None = None) -> F.Column:
-    """Half of the line's words in one run, or the whole line with two words replaced; short lines whole.
+    """Half of the line's words in one run, or the whole line with two words replaced.
 
     With least_coverage also lines of which the tiles cover so much, in any order.
     """
-    whole = F.col("longest") >= F.col("words")
-    usual = (F.col("words") >= SHORT) & ((F.col("longest") * 2 >= F.col("words")) | (F.col("aligned") >= F.col("words") - REPLACED))
-    return whole | usual if least_coverage is None else whole | usual | (F.col("coverage") >= least_coverage)
+    case = (F.col("longest") * 2 >= F.col("words")) | (F.col("aligned") >= F.greatest(F.lit(1), F.col("words") - REPLACED))
+    return case if least_coverage is None else case | (F.col("coverage") >= least_coverage)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,12 +267,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(corpus(spark, sf_dir), table(spark, sf_dir, "dev_lines")).where(is_case()).select("tbl", "rec_id", "item_id")
+    return leaks(corpus(spark, sf_dir), table(spark, sf_dir, "dev_lines")).select("tbl", "rec_id", "item_id")
 
 
 def p3_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each held-out line that leaked: the records that hold it and its best coverage, reordered passages included."""
-    found = leaks(corpus(spark, sf_dir), table(spark, sf_dir, "dev_lines")).where(is_case(0.6))
+    found = leaks(corpus(spark, sf_dir), table(spark, sf_dir, "dev_lines"), 0.6)
     return found.groupBy("item_id").agg(F.count("*").alias("records"), F.max("longest").alias("longest"), F.round(F.max("coverage"), 6).alias("coverage"))
 
 
