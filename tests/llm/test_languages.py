@@ -63,3 +63,37 @@ def test_codewords_are_far_apart():
         c = L.code(n)
         least = min((c[i] != c[j]).sum() for i in range(n) for j in range(i))
         assert least >= (7 if n >= 5 else 1)
+
+
+def test_codewords_of_many_languages():
+    for n in (12, 15, 16, 20, 100):
+        c = L.code(n)
+        assert min((c[i] != c[j]).sum() for i in range(n) for j in range(i)) >= 7
+        assert len({tuple(c[:, k]) for k in range(c.shape[1])}) == c.shape[1]
+
+
+def test_twenty_languages(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(rng.choices(rng.sample(letters, 6), k=rng.randrange(3, 7))) for _ in range(40)] for k in range(20)}
+    text = lambda k: " ".join(rng.choices(words[k], k=9)) + "."
+    rows = [(i, k, text(k) + " " + text(k)) for i, k in enumerate(list(words) * 40)]
+    model = L.train(spark.createDataFrame(rows, "rec_id long, lang string, text string"))
+    assert model.languages == sorted(words)
+    texts = [(text(k), k) for k in words for _ in range(20)]
+    got = L.labelled(model, pa.array([t for t, _ in texts]))
+    assert sum([s[0] for s in g] == [k] for g, (_, k) in zip(got, texts)) / len(texts) > 0.98
+
+
+def test_scripts_without_blanks():
+    rng = random.Random(8)
+    made = {"one": "日本語文字列漢字仮名", "two": "กขคงจฉชซญฎ"}
+    texts = [("".join(rng.choices(made[k], k=60)), k) for k in made for _ in range(60)]
+    model = L.fit(*zip(*texts))
+    assert [[s[0] for s in g] for g in L.labelled(model, pa.array(["".join(rng.choices(made[k], k=80)) for k in made] + ["x" * 80]))] == [["one"], ["two"], []]
+
+
+def test_training_takes_the_sample_by_hash_in_one_scan(spark):
+    rows = [(i, f"l{i % 3}", f"text number {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "rec_id long, lang string, text string")
+    assert L.train(df, texts=20).languages == ["l0", "l1", "l2"]

@@ -1,8 +1,8 @@
 """Problem 2: missing or wrong document language labels.
 
 Error-correcting output codes: every language has a codeword; for each bit of it a binary classifier
-over hashed n-grams of characters (naive Bayes, one for all languages with the bit set against the
-others) votes with a margin. Loss-weighted decoding takes the codeword nearest to the margins, each
+over hashed n-grams of characters (naive Bayes, of all languages with the bit set, each with equal weight, against
+the others) votes with a margin. Loss-weighted decoding takes the codeword nearest to the margins, each
 bit weighted by how well its classifier did on the training texts of that language; the distance to the
 next codeword gives the confidence and flags ambiguity. Sentences (or windows of words, where a text
 has no sentence ends) are decoded, and a text's most likely sequence of languages is found with a
@@ -12,7 +12,7 @@ The classifiers are fitted on a bounded sample of labelled rows, TRAIN_TEXTS a l
 without the rows that they contradict. Everything else runs over whole texts of all rows.
 
 Defined cases: null, blank and `nan` texts have no language; nor have texts of codes, digits or runs of
-over LONG_WORD characters only, which give no row; a null or unknown label is wrong for any language;
+over LONG_WORD letters only (but in scripts written without blanks), which give no row; a null or unknown label is wrong for any language;
 ties go to the language first in the alphabet; repeated rows each give theirs; an empty table gives an
 empty result; with no labelled rows there is no model, and no rows come out.
 """
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import flat
@@ -43,8 +43,12 @@ LONG_SENTENCE, WINDOW = 40, 10
 CHANGE_WORDS = 2.5
 #: Below this confidence a text counts as ambiguous.
 AMBIGUOUS = 0.6
-#: Rows of a Hadamard matrix whose columns are all different; the codewords of up to 11 languages.
+#: Rows of the Hadamard matrix of 16 whose columns are all different: the codewords of up to 11 languages.
 CODE_ROWS = (1, 2, 4, 8, 7, 11, 13, 14, 3, 5, 9)
+#: Different labels from which on the column is taken for something else than languages, which is an error.
+MOST_LABELS = 1000
+#: Ranges of code points of scripts that are written without blanks.
+UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000))
 
 SKIP, BLANK, BREAK, LETTER, DIGIT, STOP, OTHER = range(7)
 _tables: tuple[np.ndarray, np.ndarray] | None = None
@@ -78,8 +82,13 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def code(n: int) -> np.ndarray:
-    """Codewords of n languages, -1 or 1: Hadamard rows without columns in which all agree."""
-    h = np.array([[1 - 2 * (bin(i & j).count("1") % 2) for j in range(1, 16)] for i in CODE_ROWS[:n]], np.float32)
+    """Codewords of n languages, -1 or 1: Hadamard rows without columns in which all agree.
+
+    Any two differ in half of the bits; there are 15 bits for up to 15 languages, and less than twice as many as languages for more.
+    """
+    size = max(16, 1 << n.bit_length())
+    rows = CODE_ROWS[:n] if n <= len(CODE_ROWS) else range(1, n + 1)
+    h = np.array([[1 - 2 * ((i & j).bit_count() % 2) for j in range(1, size)] for i in rows], np.float32)
     return h[:, np.abs(h.sum(0)) < n] if n > 1 else h
 
 
@@ -109,7 +118,11 @@ def units(part: pa.Array) -> Units:
     count = lambda flags: np.concatenate([[0], np.cumsum(flags)])
     letter, digit, line = count(kind == LETTER), count(kind == DIGIT), count(kind == BREAK)
     n_letters = letter[end] - letter[begin]
-    kept = (n_letters > 0) & (digit[end] == digit[begin]) & (n_letters <= LONG_WORD)
+    unspaced = np.zeros(n, bool)
+    for low, high in UNSPACED:
+        unspaced |= (cps >= low) & (cps < high)
+    dense = count(unspaced)
+    kept = (n_letters > 0) & (digit[end] == digit[begin]) & ((n_letters <= LONG_WORD) | (2 * (dense[end] - dense[begin]) > n_letters))
     # a sentence ends with a stop at the end of a word, perhaps before a closing sign, or at a line end
     last, last2 = kind[end - 1], kind[np.maximum(end - 2, begin)]
     stop = (last == STOP) | ((last == OTHER) & (last2 == STOP))
@@ -196,8 +209,8 @@ SHARP = 4.0
 def fit(texts: list[str], labels: list[str]) -> Model | None:
     """From labelled texts; texts that the first fit contradicts are left out of the second."""
     names = sorted(set(labels))
-    if not names or len(names) > len(CODE_ROWS):
-        return None if not names else fit(*zip(*((t, x) for t, x in zip(texts, labels) if x in names[: len(CODE_ROWS)])))
+    if not names:
+        return None
     u = units(pa.array(texts, pa.large_string()))
     y = np.array([names.index(x) for x in labels])
     row_words = u.unit[u.row]
@@ -319,18 +332,14 @@ def segmented(shared) -> object:
 
 
 def train(labels: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS) -> Model | None:
-    """(rec_id, lang, text): a model from at most `texts` rows a label, chosen by a hash of rec_id."""
-    spark = labels.sparkSession
+    """(rec_id, lang, text): a model from at most `texts` rows a label, chosen by a hash of rec_id, in one scan."""
     ok = labels.where(has_text("text") & F.col("lang").isNotNull() & (F.length("text") <= chars))
-    names = sorted(r["lang"] for r in ok.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(len(CODE_ROWS)).collect())
-    ids = [ok.where(F.col("lang") == x).select("rec_id", F.xxhash64("rec_id").alias("h")).orderBy("h", "rec_id").limit(texts) for x in names]
-    if not ids:
-        return None
-    chosen = ids[0]
-    for one in ids[1:]:
-        chosen = chosen.unionByName(one)
-    few = spark.createDataFrame(chosen.select("rec_id").distinct().toPandas(), "rec_id long")
-    rows = ok.join(F.broadcast(few), "rec_id").select("text", "lang").where(F.col("lang").isin(names)).collect()
+    order = Window.partitionBy("lang").orderBy("h", "rec_id")  # cut to `texts` rows a label before the shuffle
+    few = ok.select("lang", "text", "rec_id", F.xxhash64("rec_id").alias("h")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
+    rows = few.select("text", "lang").limit(MOST_LABELS * texts).collect()
+    names = {r["lang"] for r in rows}
+    if len(names) >= MOST_LABELS:
+        raise ValueError(f"{len(names)} labels or more are no languages")
     rows.sort()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
