@@ -4,8 +4,10 @@ Every source gets target_share of a total. The total, unless given, is the large
 source can fill its share without using a document more than max_repeat times. A source's budget is
 spent on whole epochs over all its documents first; the rest is an Efraimidis-Spirakis sample:
 documents in order of exponential keys divided by their quality, taken while the running sum of tokens
-is within the budget, then those that fit into the room left. The running sum is taken over ranges of keys, so a source that holds a third of
-all rows is no hot group. Keys come from a hash of doc_id and `seed`.
+is within the budget. Where the next document would overrun it, the order is gone on with over those that fit into the
+room left, until none fits; that room is less than one document's length. The running sum is taken over BINS bins of keys, and
+only the bin in which the budget ends is put in order, so a source that holds a third of all rows is no hot group. What is
+taken is told by a few numbers a source. Keys come from a hash of doc_id and `seed`.
 
 Defined cases: null, blank and `nan` texts have no tokens and are never used; sources without a target
 are left out; targets without documents are reported with no tokens, the other shares being scaled
@@ -29,11 +31,9 @@ from weftline.llm.languages import BREAK, LETTER, SKIP, tables
 from weftline.llm.tokens import tokenizer
 
 SEED = 0
-#: Ranges of keys for the running sums of a source.
-RANGES = 256
+#: Bins of keys for the running sums of a source.
+BINS = 1 << 14
 LEAST_QUALITY = 0.05
-#: Times at most that the order of keys is gone through for the room that is left.
-PASSES = 8
 
 
 def sized(path: str | None):
@@ -81,24 +81,42 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: float | None = None) ->
     return joined.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.lit(0.0), F.col("budget") - F.col("epochs") * F.col("have")))
 
 
-def running(rows: DataFrame) -> DataFrame:
-    """Adds before, the tokens of the source's documents with smaller keys; by ranges of keys, then within them."""
-    span = F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int")
-    ranged = rows.withColumn("range", F.least(span, F.lit(RANGES - 1)))
-    sums = ranged.groupBy("source", "range").agg(F.sum("tokens").alias("s"))
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("source", "range", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.coalesce(F.sum("tokens").over(inside), F.lit(0))
-    return ranged.withColumn("own", own).join(base, ["source", "range"]).withColumn("before", F.col("own") + F.col("base")).drop("own", "base", "range")
+CUTS = "source string, room double, cuts array<struct<room: double, key: double, doc_id: bigint, at: bigint>>"
+
+
+def place(prefix: str = "") -> F.Column:
+    """The place of a document in the order; equal rows differ in `at`."""
+    return F.struct(*(F.col(f"{prefix}{c}") for c in ("key", "doc_id", "at")))
+
+
+def is_taken() -> F.Column:
+    """Is the document among those of a cut: short enough for its room, and not after its last one?"""
+    cut = lambda c: (F.col("tokens") <= c["room"]) & (place() <= F.struct(c["key"].alias("key"), c["doc_id"].alias("doc_id"), c["at"].alias("at")))
+    return F.exists("cuts", cut)
+
+
+def next_cuts(rows: DataFrame, state: DataFrame) -> list:
+    """For each source with documents that fit into its room: the last one of them, in order, within it, and their tokens."""
+    fits = rows.join(F.broadcast(state), "source").where(F.col("tokens") <= F.col("room")).where(~is_taken())
+    fits = fits.withColumn("bin", F.floor(F.col("key") / (1 + F.col("key")) * BINS).cast("int"))
+    order = Window.partitionBy("source").orderBy("bin")
+    sums = fits.groupBy("source", "bin").agg(F.sum("tokens").alias("s"), F.max(place()).alias("last"), F.first("room").alias("room"))
+    sums = sums.withColumn("before", F.sum("s").over(order) - F.col("s"))  # at most BINS rows a source
+    ending = sums.where(F.col("before") + F.col("s") > F.col("room"))
+    whole = sums.where(F.col("before") + F.col("s") <= F.col("room")).groupBy("source").agg(F.max("last").alias("last"), F.sum("s").alias("got"))
+    one = stored(ending.groupBy("source").agg(F.min("bin").alias("bin"), F.min_by("before", "bin").alias("before")))
+    inside = fits.join(F.broadcast(one), ["source", "bin"])
+    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "doc_id", "at").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    some = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("room")).groupBy("source").agg(F.max(place()).alias("last"), F.sum("tokens").alias("got"))
+    return whole.unionByName(some).groupBy("source").agg(F.max("last").alias("last"), F.sum("got").alias("got")).collect()  # a row a target
 
 
 def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, source, tokens, quality) and (source, target_share, max_repeat) -> (doc_id, source, tokens, copies).
 
-    A document that would overrun the budget is passed over, and the order is gone through again for
-    the room left until no document fits; then the one that comes nearest may overrun it.
+    When no further document fits into a source's room, the one that comes nearest may overrun it.
     """
+    spark = sizes.sparkSession
     sizes = sizes.select("doc_id", "source", "tokens", "quality")
     plan = stored(budgets(sizes, targets, total)).select("source", "max_repeat", "epochs", "rest")  # a row a target
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -106,20 +124,17 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     full = rows.where("epochs > 0").select("doc_id", "source", "tokens", F.col("epochs").alias("copies"))
     open_rows = rows.where("epochs < max_repeat and rest > 0").withColumn("key", -F.log(u) / F.col("quality"))
     left = stored(open_rows.select("doc_id", "source", "tokens", "key", F.monotonically_increasing_id().alias("at")))
-    room, taken = plan.select("source", F.col("rest").alias("room")), []
-    for turn in range(PASSES):
-        fits = left.join(F.broadcast(room), "source").where("tokens <= room")
-        one = stored(running(fits).where("before + tokens <= room").select("at", "doc_id", "source", "tokens"))
-        got = one.groupBy("source").agg(F.sum("tokens").alias("got"))
-        if not one.limit(1).count():
-            break
-        taken.append(one)
-        room = stored(room.join(F.broadcast(got), "source", "left").select("source", (F.col("room") - F.coalesce("got", F.lit(0))).alias("room")))
-        left = stored(left.join(one, "at", "left_anti"))
-    near = left.join(F.broadcast(room), "source").withColumn("off", F.abs(F.col("tokens") - F.col("room"))).where("off < room")
+    state = {r["source"]: [float(r["rest"]), []] for r in plan.where("rest > 0").collect()}
+    table = lambda: spark.createDataFrame([(s, room, cuts) for s, (room, cuts) in state.items()], CUTS)
+    while found := next_cuts(left, table()):
+        for r in found:
+            own = state[r["source"]]
+            own[1].append((own[0], *r["last"]))
+            own[0] -= r["got"]
+    marked = left.join(F.broadcast(table()), "source").withColumn("taken", is_taken())
+    near = marked.where("not taken").withColumn("off", F.abs(F.col("tokens") - F.col("room"))).where("off < room")
     last = near.groupBy("source").agg(F.min_by(F.struct("doc_id", "tokens"), F.struct("off", "key", "at")).alias("d"))
-    taken.append(last.select(F.lit(None).cast("long").alias("at"), "d.doc_id", "source", "d.tokens"))
-    for one in taken:
+    for one in (marked.where("taken"), last.select("d.doc_id", "source", "d.tokens")):
         full = full.unionByName(one.select("doc_id", "source", "tokens", F.lit(1).cast("long").alias("copies")))
     return full.groupBy("doc_id", "source", "tokens").agg(F.sum("copies").alias("copies"))
 
@@ -145,4 +160,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(mix(sizes, targets), targets)
 
 
-QUERIES = {"p8_selection": p8_selection, "p8_shares": p8_shares}
+def p8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection for as many tokens as all documents have: whole epochs of sources that are small for their shares."""
+    sizes, targets = inputs(spark, sf_dir)
+    return mix(sizes, targets, total=float(sizes.agg(F.sum("tokens")).first()[0] or 0))
+
+
+def p8_whole_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the shares p8_whole reaches: a source gives at most max_repeat times what it has."""
+    return shares(p8_whole(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES = {"p8_selection": p8_selection, "p8_shares": p8_shares, "p8_whole": p8_whole, "p8_whole_shares": p8_whole_shares}
