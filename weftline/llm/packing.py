@@ -4,8 +4,8 @@ Only the histogram of lengths, at most `capacity` numbers, reaches the driver. P
 documents whose lengths sum to the capacity are enumerated, their repeat counts are fitted to the
 histogram by non-negative least squares and rounded down, and what is left is packed by patterns made
 greedily, longest first, best fit next. Documents then find their containers by their rank among
-those of the same length; ranks are counted in hash buckets, so a length that a third of all
-documents have is no hot group.
+those of the same length; ranks are counted in hash buckets of about RANKED items, as many as the most frequent
+length needs, so a length that a third of all documents have is no hot group.
 
 Defined cases: null, blank and `nan` texts have no tokens to pack and are left out; a text longer than
 the capacity is cut into parts of exactly the capacity and a rest, the only texts that are split;
@@ -27,7 +27,8 @@ CAPACITY = 2048
 #: Lengths that patterns of three and more combine with any other, taken at quantiles of the histogram.
 GRID = 12
 STEPS = 300
-RANK_BUCKETS = 64
+#: Items of one length that are ranked by one task, about.
+RANKED = 50_000
 
 
 def patterns(h: np.ndarray, capacity: int) -> np.ndarray:
@@ -132,9 +133,9 @@ def slots(containers: list[tuple[list[int], int]], capacity: int) -> tuple[np.nd
     return table[np.lexsort((table[:, 1], table[:, 0]))], given
 
 
-def ranked(items: DataFrame) -> DataFrame:
-    """Adds rank from 0 among the items of the same length, without bringing a length into one task."""
-    bucketed = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part"), F.lit(RANK_BUCKETS)).cast("int"))
+def ranked(items: DataFrame, buckets: int) -> DataFrame:
+    """Adds rank from 0 among the items of the same length, each length cut into so many buckets."""
+    bucketed = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part"), F.lit(buckets)).cast("int"))
     counts = bucketed.groupBy("tokens", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("tokens", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -167,7 +168,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         box = hit[:, 2] + (r - hit[:, 1]) // hit[:, 3]
         return pa.StructArray.from_arrays([pa.array(box), pa.array(hit[:, 4])], ["container_id", "filled"])
 
-    placed = ranked(items).withColumn("c", place("tokens", F.col("rank").cast("long")))
+    placed = ranked(items, -(-max(1, int(h.max())) // RANKED)).withColumn("c", place("tokens", F.col("rank").cast("long")))
     return placed.select("c.container_id", "doc_id", "part", "tokens", "c.filled")
 
 
