@@ -94,9 +94,16 @@ def test_models(spark):
 def test_settings_vectors_and_restoration(spark, tmp_path):
     writers.tuned({"length": 0.5}, str(tmp_path / "w.yaml"), "found by search")
     assert readers.settings(str(tmp_path / "w.yaml")) == {"w_length": 0.5}
-    (tmp_path / "n.yaml").write_text("a:\n  b: 1\n")
+    (tmp_path / "n.yaml").write_text("# how\na:\n  b: 1  # one\n  c:\n    d: x\nlist:\n  - 1\n  - 2.5\nflat: [a, 3, true]\nnone:\nurl: 'a:b'\n")
+    assert readers.settings(str(tmp_path / "n.yaml")) == {"a": {"b": 1, "c": {"d": "x"}}, "list": [1, 2.5], "flat": ["a", 3, True], "none": None, "url": "a:b"}
+    for bad in ("a: 1\na: 2\n", "a: 1\n  b: 2\n", "word\n", "a:b\n"):
+        (tmp_path / "n.yaml").write_text(bad)
+        with pytest.raises(ValueError):
+            readers.settings(str(tmp_path / "n.yaml"))
+    (tmp_path / "n.yaml").write_text("")
+    assert readers.settings(str(tmp_path / "n.yaml")) == {}
     with pytest.raises(ValueError):
-        readers.settings(str(tmp_path / "n.yaml"))
+        readers.prefix_candidates(spark.range(1), 2, files=2)
     df = spark.createDataFrame([("ab",), ("ab",), ("c",)], "text string")
     calls = []
 

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -71,8 +72,48 @@ def test_near_against_brute_force(spark):
         s, j = max(scored)
         if s >= 0.6:
             want.append((i, -j, round(s, 9)))
-    got = leakage.near(spark.createDataFrame(q, "row_id long, side string, text string"), spark.createDataFrame(d, "item_id long, side string, line string"), 0.6)
-    assert rows(got.select("row_id", "item_id", F.round("score", 9))) == sorted(want)
+    for small in (leakage.SMALL_GRAMS, 0):  # the lines broadcast, and joined
+        got = leakage.near(spark.createDataFrame(q, "row_id long, side string, text string"), spark.createDataFrame(d, "item_id long, side string, line string"), 0.6, small=small)
+        assert rows(got.select("row_id", "item_id", F.round("score", 9))) == sorted(want)
+    other = leakage.near(spark.createDataFrame(q, "row_id long, side string, text string"), spark.createDataFrame([(1, "t", base[0]), (2, None, base[0])], "item_id long, side string, line string"), 0.6)
+    assert other.count() == 0
+
+
+def test_held_out_joins(spark):
+    held = spark.createDataFrame([("a", "b"), ("c", "d"), ("a", "b")], "s string, t string")
+    df = spark.createDataFrame([(1, "a", "b"), (2, "c", "d"), (3, "e", "f")], "row_id long, s string, t string")
+    assert rows(leakage.drop_heldout(df, held, ["s", "t"], expect_all=True), "row_id") == [(3,)]
+    again = df.union(spark.createDataFrame([(4, "a", "b")], df.schema))  # one key, two rows
+    with pytest.raises(ValueError):
+        leakage.drop_heldout(again, held, ["s", "t"], expect_all=True)
+    with pytest.raises(ValueError):
+        leakage.drop_heldout(df.where("row_id > 1"), held, ["s", "t"], expect_all=True)
+    marked = spark.createDataFrame([("e", "\u0641\u0650"), ("x", "\u0641")], "s string, t string")
+    own = spark.createDataFrame([(1, "e", "\u0641"), (2, "y", "\u0641")], "row_id long, s string, t string")
+    assert rows(leakage.drop_by_derived_key(own, marked, "t", also=("s",)), "row_id") == [(2,)]
+    lines = spark.createDataFrame([(1, "eng_Latn", "one two three four"), (2, "kas_Arab", "\u06a9\u062a\u0627\u0628 \u0686\u06be")], "item_id long, side string, line string")
+    pairs = spark.createDataFrame([(1, "One, two three FOUR", "x"), (2, "y", "\u06a9\u062a\u0627\u0628 \u0686\u06be"), (3, "other", "z"), (4, "one two three fours", "x")], "row_id long, s string, t string")
+    assert leakage.leak_gate(leakage.side_rows(pairs, "s", "t"), lines, 0.8).first()["n"] == 3
+
+
+def test_scope_and_tags(spark):
+    df = spark.createDataFrame([("mined", 0.5), ("mined", None), ("human", 0.5), (None, 0.5), ("mined", 0.9)], "provenance string, labse double")
+    assert df.where(filters.score_ok("labse", 0.8)).count() == 2 and df.where(filters.score_ok("labse", 0.8, "mined")).count() == 4
+    with pytest.raises(ValueError):
+        filters.score_ok("labse", 0.8, "some")
+    tags = spark.createDataFrame([("a:x", "a")], "tag string, source string")
+    assert filters.tagged(tags, "a", expect=True).count() == 1
+    with pytest.raises(ValueError):
+        filters.tagged(tags, "b", expect=True)
+
+
+def test_waterfall_counts_agree_with_its_rows(spark):
+    rng = random.Random(3)
+    texts = ["\u06a9\u062a\u0627\u0628 \u0686\u06be", "\u06a9\u0650\u062a\u0627\u0628 \u0686\u06be", "latin words", "", None, "nan", "\u0915\u0915", "\u06a9" * 90]
+    df = spark.createDataFrame([(i, rng.choice(["some words", "other words", "", None]), rng.choice(texts)) for i in range(300)], "row_id long, src string, tgt string")
+    want = {r["reason"]: r["n"] for r in filters.waterfall(df).groupBy("reason").agg(F.count("*").alias("n")).collect()}
+    assert {r["reason"]: r["n"] for r in filters.reason_counts(df).collect()} == want and len(want) >= 4
+    assert rows(filters.count_report(filters.reason_counts(df))) == rows(filters.stage_report(filters.waterfall(df)))
 
 
 def test_apportionment_and_fill(spark):
@@ -159,13 +200,42 @@ def test_ngram_metrics():
     assert N.pairwise_chrf(["ab", "abc"])[0, 1] == pytest.approx(100 * 5 * p * r / (4 * p + r))
 
 
+def shared(a, b):
+    a, b = Counter(a), Counter(b)
+    return [sum(min(n, b[g]) for g, n in a.items()), sum(a.values()), sum(b.values())]
+
+
+def counted(hyp, ref):
+    """Match, hypothesis and reference of chrF++ for every order, by counting."""
+    out = []
+    for n in range(1, 7):
+        out += shared(*([x[i : i + n] for i in range(len(x) - n + 1)] for x in ("".join(t.split()) for t in (hyp, ref))))
+    for n in range(1, 3):
+        out += shared(*([tuple(x[i : i + n]) for i in range(len(x) - n + 1)] for x in map(N.metric_words, (hyp, ref))))
+    return out
+
+
+def test_pair_statistics_against_counting():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab c,.-1", k=rng.randrange(0, 40))) for _ in range(60)]
+    hyps, refs = texts[:30], texts[30:]
+    assert N.chrf_pairs(hyps, refs).tolist() == [counted(h, r) for h, r in zip(hyps, refs)]
+    for row, h, r in zip(N.bleu_pairs(hyps, refs).tolist(), hyps, refs):
+        a, b = N.tokenize_13a(h), N.tokenize_13a(r)
+        want = [len(a), len(b)]
+        for n in range(1, 5):
+            want += shared(*([tuple(x[i : i + n]) for i in range(len(x) - n + 1)] for x in (a, b)))[:2]
+        assert row == want
+    assert N.chrf_pairs([], []).shape == (0, 24) and N.bleu_pairs([], []).shape == (0, 10)
+
+
 def test_pools_against_counted_pairs():
     rng = random.Random(6)
     pools = [["".join(rng.choices("abc ,.é", k=rng.randrange(0, 30))) for _ in range(rng.randrange(1, 6))] for _ in range(40)]
     for texts, got in zip(pools, N.pools_chrf(pools)):
         for i, h in enumerate(texts):
             for j, r in enumerate(texts):
-                s = np.array(N.chrf_statistics(h, r)).reshape(-1, 3)
+                s = np.array(counted(h, r)).reshape(-1, 3)
                 assert got[i, j] == pytest.approx(float(N.f_score(s[:, 0], s[:, 1], s[:, 2])))
     assert N.pools_chrf([]) == []
 
@@ -183,8 +253,45 @@ def test_consensus_and_rerank(spark):
     assert rows(scoring.rerank(f, {"length": 1.0}), "pool", "j") == [(1, 1), (2, 0)]
     with pytest.raises(ValueError):
         scoring.rerank(f, {"marker": 1.0})
-    w, score = scoring.tune(f.selectExpr("*", "0D density", "0D lexcov", "0D marker"), spark.createDataFrame([(1, 0, 0.0), (1, 1, 1.0), (2, 0, 1.0), (2, 1, 0.0)], "pool long, j long, value double"), starts=2, rounds=1)
-    assert score == 1.0
+    f = spark.createDataFrame([(1, 0, "K A"), (1, 1, "k b"), (1, 2, "k b"), (1, 3, "?!")], "pool long, j int, text string")
+    by_key = scoring.mbr_select(scoring.pools(f, lambda c: F.lower(F.regexp_replace(c, "[?!]", "")))).first()
+    assert by_key["j"] == 1
+    keys = [x["key"] for x in scoring.pools(f, lambda c: F.regexp_replace(c, "[?!]", "")).first()["candidates"]]
+    assert keys == ["K A", "k b", "k b", "?!"]  # a key that is blank is the text
+
+
+def tuned(spark):
+    rng = random.Random(9)
+    refs, cands, feats = [], [], []
+    for p in range(40):
+        ref = " ".join(rng.choices(["ab", "cd", "ef", "gh", "ij", "kl"], k=8))
+        refs.append((p, ref))
+        for j in range(5):
+            words = [w if rng.random() > 0.15 * j else "zz" for w in ref.split()]
+            rng.shuffle(words) if j == 4 else None
+            cands.append((p, (j + 3) % 5, " ".join(words), "s"))
+            feats.append((p, (j + 3) % 5, rng.random(), rng.random(), rng.random(), -0.1 * j, rng.random()))
+    c = spark.createDataFrame(cands, "pool long, j int, text string, src string")
+    f = spark.createDataFrame(feats, "pool long, j long, " + ", ".join(f"{x} double" for x in scoring.FEATURES))
+    return c, spark.createDataFrame(refs, "pool long, ref string"), f
+
+
+def test_tuning(spark):
+    c, refs, f = tuned(spark)
+    stats = scoring.candidate_statistics(c, refs)
+    pools = scoring.Weighted(f, stats.select("pool", "j", "sums"))
+    ways = [{"length": 1.0}, {}, {"consensus": 1.0, "marker": -0.5}]
+    for w, geo in zip(ways, pools.geo(ways)):
+        won = scoring.rerank(f, dict.fromkeys(scoring.FEATURES, 0.0) | w)
+        pairs = won.join(c.select("pool", F.col("j").cast("long").alias("j"), "text"), ["pool", "j"]).join(refs, "pool")
+        assert geo == pytest.approx(scoring.corpus_scores(pairs, "text", "ref").first()["geo"], abs=1e-4)
+    weights, score, tried = scoring.tune(pools, draws=20, starts=2, passes=1)
+    assert score == pytest.approx(float(pools.geo([weights])[0])) and score >= pools.geo(ways).max() - 1e-9 and tried > 26
+    pools.release()
+    report_ = scoring.tuning_report(c, refs, f, F.col("pool") % 10 < 7, draws=10, starts=1, passes=1)
+    by = {r["name"]: r for r in report_}
+    assert by["only_length"]["all"] > by["first"]["all"] and by["best"]["all"] >= by["fit"]["all"] and by["fit"]["tuned"] >= by["only_length"]["tuned"]
+    assert by["without_length"]["weights"]["length"] == 0.0
 
 
 def test_corpus_scores(spark):
@@ -204,6 +311,7 @@ def test_spearman_and_marks(spark):
     pairs = spark.createDataFrame([("کِتَب", "کِتُب"), ("اَ", "ا"), ("x", "y")], "gold string, pred string")
     got = {r["mark"]: (r["gold"], r["pred"], r["hit"]) for r in scoring.mark_scores(pairs).collect()}
     assert got == {"kasra": (1, 1, 1), "fatha": (2, 0, 0), "damma": (0, 1, 0), "MICRO": (3, 2, 1)}
+    assert rows(scoring.unalignable(pairs)) == [("all", 3, 1)]
 
 
 def test_alignment(spark):

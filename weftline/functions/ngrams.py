@@ -7,7 +7,7 @@ need an explosion of rows; here a pool of candidates is scored in one pass of ve
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -30,14 +30,6 @@ def metric_words(text: str) -> list[str]:
     return out
 
 
-def gram_counts(text: str, chars: int = CHAR_ORDER, words: int = WORD_ORDER) -> list[Counter]:
-    """Counts of the character n-grams (blanks left out) of each order, then of the word n-grams."""
-    s = "".join(text.split())
-    w = metric_words(text)
-    out = [Counter(s[i : i + n] for i in range(len(s) - n + 1)) for n in range(1, chars + 1)]
-    return out + [Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for n in range(1, words + 1)]
-
-
 def f_score(match: np.ndarray, hyp: np.ndarray, ref: np.ndarray, beta: float = BETA) -> np.ndarray:
     """chrF from statistics whose last axis is the order: mean precision and recall of the orders both sides have."""
     have = (hyp > 0) & (ref > 0)
@@ -75,59 +67,107 @@ def _shared(gram: np.ndarray, text: np.ndarray, pool: np.ndarray, place: np.ndar
     return np.bincount(pool[text[mine]] + place[text[other]], np.minimum(count[mine], count[other]), pairs)
 
 
-def pools_chrf(pools: list[list[str]]) -> list[np.ndarray]:
-    """For each pool scores[h, r]: chrF++ of text h as a hypothesis for text r. Many pools in one pass."""
-    if sum(len(p) ** 2 for p in pools) > PAIRS and len(pools) > 1:
-        half = len(pools) // 2
-        return pools_chrf(pools[:half]) + pools_chrf(pools[half:])
+def hashed_matches(lengths: np.ndarray, first: np.ndarray, prefix: np.ndarray, n: int, text_salt: np.ndarray, row: np.ndarray, place: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shared n-grams of every pair of texts of a pool, and the number of each text's; symbols are given by prefix digests."""
+    count = np.maximum(lengths - n + 1, 0)
+    text = np.repeat(np.arange(len(lengths)), count)
+    begin = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[text]
+    gram = flat.span_hash(prefix, begin, begin + n)
+    return _shared(flat.mix(gram ^ text_salt[text]), text, row, place, pairs), count
+
+
+def pools_statistics(pools: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(match, total, base): by pair of texts of a pool and order the shared n-grams, by text the number of its own.
+
+    base: the first pair of each pool; its pairs follow row by row.
+    """
     sizes = np.array([len(p) for p in pools], np.int64)
     texts = [t for p in pools for t in p]
-    base = np.concatenate([[0], np.cumsum(sizes**2)])
-    owner = np.repeat(np.arange(len(pools)), sizes)
-    place = np.arange(len(texts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    row = base[owner] + place * sizes[owner]
-    salt = flat.mix(owner.astype(np.uint64) + np.uint64(1))
+    base, row, place, salt = _places(sizes)
     cps, starts = flat.of_strings(["".join(t.split()) for t in texts])
-    prefix, n_chars = flat.prefix_hash(cps), np.diff(starts)
-    ids: dict[str, int] = {}
-    words = [[ids.setdefault(w, len(ids)) for w in metric_words(t)] for t in texts]
-    n_words = np.array([len(w) for w in words], np.int64)
-    word = np.array([i for w in words for i in w], np.uint64)
-    word_at = np.concatenate([[0], np.cumsum(n_words)])
+    word, word_at = _numbered([metric_words(t) for t in texts])
     match, total = np.zeros((int(base[-1]), CHAR_ORDER + WORD_ORDER)), np.zeros((len(texts), CHAR_ORDER + WORD_ORDER), np.int64)
     for o in range(CHAR_ORDER + WORD_ORDER):
-        n = o + 1 if o < CHAR_ORDER else o + 1 - CHAR_ORDER
-        length, first = (n_chars, starts) if o < CHAR_ORDER else (n_words, word_at)
-        count = np.maximum(length - n + 1, 0)
-        text = np.repeat(np.arange(len(texts)), count)
-        begin = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[text]
-        if o < CHAR_ORDER:
-            gram = flat.span_hash(prefix, begin, begin + n)
-        else:
-            gram = word[begin] if n == 1 else word[begin] << np.uint64(32) | word[begin + 1]
-        total[:, o] = count
-        match[:, o] = _shared(flat.mix(gram ^ salt[text]), text, row, place, len(match))
-    out = []
-    for p, k in enumerate(sizes):
-        own = np.flatnonzero(owner == p) if len(pools) == 1 else np.arange(np.searchsorted(owner, p), np.searchsorted(owner, p, "right"))
-        out.append(f_score(match[base[p] : base[p + 1]].reshape(k, k, -1), total[own][:, None, :], total[own][None, :, :]))
+        n, (prefix, first) = (o + 1, (flat.prefix_hash(cps), starts)) if o < CHAR_ORDER else (o + 1 - CHAR_ORDER, (flat.prefix_hash(word), word_at))
+        match[:, o], total[:, o] = hashed_matches(np.diff(first), first, prefix, n, salt, row, place, len(match))
+    return match, total, base
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For pools of the sizes: the first pair of each; of each text the first pair of its row, its column, and its pool's salt."""
+    base = np.concatenate([[0], np.cumsum(sizes**2)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return base, base[owner] + place * sizes[owner], place, flat.mix(owner.astype(np.uint64) + np.uint64(1))
+
+
+def _numbered(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all lists as numbers, and the starts of the lists among them."""
+    ids: dict[str, int] = {}
+    word = np.array([ids.setdefault(w, len(ids)) for x in lists for w in x], np.uint64)
+    return word, np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+
+
+def pools_chrf(pools: list[list[str]]) -> list[np.ndarray]:
+    """For each pool scores[h, r]: chrF++ of text h as a hypothesis for text r. Many pools in one pass."""
+    if sum(len(p) ** 2 for p in pools) > PAIRS and len(pools) > 1:
+        half = len(pools) // 2
+        return pools_chrf(pools[:half]) + pools_chrf(pools[half:])
+    match, total, base = pools_statistics(pools)
+    out, at = [], 0
+    for p, k in enumerate(map(len, pools)):
+        own = total[at : at + k]
+        out.append(f_score(match[base[p] : base[p + 1]].reshape(k, k, -1), own[:, None, :], own[None, :, :]))
+        at += k
     return out
 
 
+def halves(hyps: list[str], most: int = 20_000) -> Iterator[slice]:
+    for k in range(0, len(hyps), most):
+        yield slice(k, k + most)
+
+
+def chrf_pairs(hyps: list[str], refs: list[str]) -> np.ndarray:
+    """By pair of texts match, hypothesis and reference for every order, one after another."""
+    out = [np.zeros((0, 3 * (CHAR_ORDER + WORD_ORDER)), np.int64)]
+    for part in halves(hyps):
+        match, total, base = pools_statistics([[h, r] for h, r in zip(hyps[part], refs[part])])
+        out.append(np.stack([match[base[:-1] + 1], total[0::2], total[1::2]], axis=2).reshape(len(base) - 1, -1).astype(np.int64))
+    return np.concatenate(out)
+
+
+def bleu_pairs(hyps: list[str], refs: list[str], order: int = 4) -> np.ndarray:
+    """By pair of texts the lengths of both, then match and total for each order."""
+    out = [np.zeros((0, 2 + 2 * order), np.int64)]
+    for part in halves(hyps):
+        word, at = _numbered([tokenize_13a(t) for pair in zip(hyps[part], refs[part]) for t in pair])
+        n = (len(at) - 1) // 2
+        base, row, place, salt = _places(np.full(n, 2))
+        prefix, size = flat.prefix_hash(word), np.diff(at)
+        columns = [size[0::2], size[1::2]]
+        for k in range(1, order + 1):
+            match, total = hashed_matches(size, at[:-1], prefix, k, salt, row, place, int(base[-1]))
+            columns += [match[base[:-1] + 1], total[0::2]]
+        out.append(np.column_stack(columns).astype(np.int64))
+    return np.concatenate(out)
+
+
+def bleu_score(sums: np.ndarray) -> np.ndarray:
+    """Corpus BLEU of sums as in bleu_pairs; the k-th order without a match counts 1 / (2^k total)."""
+    sums = np.asarray(sums, float)
+    match, total = sums[..., 2::2], sums[..., 3::2]
+    smooth = 2.0 ** np.cumsum(match == 0, axis=-1)
+    p = np.where(match == 0, 1 / (smooth * np.maximum(total, 1)), match / np.maximum(total, 1))
+    short = np.where(sums[..., 0] < sums[..., 1], np.exp(1 - sums[..., 1] / np.maximum(sums[..., 0], 1)), 1.0)
+    void = (total == 0).any(-1) | (sums[..., 0] == 0) | (match[..., 0] == 0)
+    return np.where(void, 0.0, 100 * short * np.exp(np.log(p).mean(-1)))
+
+
 def pairwise_chrf(texts: list[str]) -> np.ndarray:
     """pools_chrf of one pool."""
     return pools_chrf([texts])[0]
 
 
-def chrf_statistics(hyp: str, ref: str) -> list[int]:
-    """match, hyp, ref for every order, one after another."""
-    h, r = gram_counts(hyp), gram_counts(ref)
-    out: list[int] = []
-    for a, b in zip(h, r):
-        out += [sum(min(n, b[g]) for g, n in a.items() if g in b), sum(a.values()), sum(b.values())]
-    return out
-
-
 def tokenize_13a(text: str) -> list[str]:
     """The mteval-13a tokenisation."""
     t = text.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
@@ -139,14 +179,3 @@ def tokenize_13a(text: str) -> list[str]:
     t = re.sub(r"([\.,])([^0-9])", r" \1 \2", t)
     t = re.sub(r"([0-9])(-)", r"\1 \2 ", t)
     return t.split()
-
-
-def bleu_statistics(hyp: str, ref: str, order: int = 4) -> list[int]:
-    """Lengths of both, then match and total for each order."""
-    h, r = tokenize_13a(hyp), tokenize_13a(ref)
-    out = [len(h), len(r)]
-    for n in range(1, order + 1):
-        a = Counter(tuple(h[i : i + n]) for i in range(len(h) - n + 1))
-        b = Counter(tuple(r[i : i + n]) for i in range(len(r) - n + 1))
-        out += [sum(min(c, b[g]) for g, c in a.items() if g in b), sum(a.values())]
-    return out

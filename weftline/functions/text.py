@@ -70,8 +70,8 @@ def words(c: Column | str) -> Column:
 
 
 def n_words(c: Column | str) -> Column:
-    flat = flatten(c)
-    return (F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + (flat != "").cast("int")).cast("long")
+    """Runs of other characters than blanks; one search, nothing is flattened."""
+    return F.regexp_count(F.coalesce(col(c), F.lit("")), F.lit(f"[^{WS[1:-1]}]+")).cast("long")
 
 
 def count_of(c: Column | str, chars: str) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,18 +14,20 @@ from weftline.functions import text as T
 
 
 def drop_heldout(rows: DataFrame, held: DataFrame, keys: list[str], expect_all: bool = False) -> DataFrame:
-    """rows without those whose keys are held out. With expect_all it is an error if a held-out key has none."""
+    """rows without those whose keys are held out. With expect_all it is an error unless as many rows go as there are distinct keys."""
     own = held.select(*keys).distinct()
     if expect_all:
-        missing = own.join(rows.select(*keys).distinct(), keys, "left_anti").count()
-        if missing:
-            raise ValueError(f"{missing} held-out keys are not among the rows")
+        found = rows.select(*keys).join(own, keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("n"))
+        n, removed = own.count(), found.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+        if removed["rows"] != n:
+            raise ValueError(f"{n} keys are held out, {removed['rows']} rows of {removed['keys']} of them are there")
     return rows.join(own, keys, "left_anti")
 
 
-def drop_by_derived_key(rows: DataFrame, held: DataFrame, text: str, key=T.strip_key) -> DataFrame:
-    own = held.select(key(text).alias("_k")).distinct()
-    return rows.withColumn("_k", key(text)).join(own, "_k", "left_anti").drop("_k")
+def drop_by_derived_key(rows: DataFrame, held: DataFrame, text: str, key=T.strip_key, also: tuple[str, ...] = ()) -> DataFrame:
+    """rows without those whose key of the text, and whose columns `also`, are those of a held row."""
+    own = held.select(key(text).alias("_k"), *also).distinct()
+    return rows.withColumn("_k", key(text)).join(own, ["_k", *also], "left_anti").select(*rows.columns)
 
 
 def assert_disjoint(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
@@ -48,9 +49,12 @@ def by_key(rows: DataFrame, lines: DataFrame, key, kind: str) -> DataFrame:
     return keyed.join(own, ["side", "_k"]).select("row_id", "side", F.lit(kind).alias("kind"), F.lit(1.0).alias("score"), "item_id")
 
 
-#: Distinct grams of the lines up to which their counts are broadcast, 16 bytes each; more are joined.
+#: Grams of all lines together up to which their index is broadcast, 24 bytes each; more are joined.
 SMALL_GRAMS = 2_000_000
+#: Grams of rows compared with lines at once.
+CELLS = 1 << 22
 SETS = "id long, side string, n int, g array<long>"
+NEAR = "row_id long, side string, score double, item_id long"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -86,66 +90,114 @@ def _keyed(df: DataFrame, id_: str, text: str) -> DataFrame:
     return df.select(F.col(id_).alias("id"), "side", F.replace(T.loose_key(text), F.lit(" "), F.lit("")).alias("k"))
 
 
-def _prefixed(df: DataFrame, id_: str, text: str, n: int, least: float, ranks) -> DataFrame:
-    """SETS with p, the rarest grams: as many as any match of the similarity must share one of; rows without are dropped.
-
-    ranks: broadcast (sorted grams, their counts) of the lines. Grams that no line has are rarest of all;
-    they take their places in the count, but cannot match.
-    """
+def _needed(size: np.ndarray, least: float) -> np.ndarray:
+    """Rarest grams of a set of the size of which any set of the similarity has one."""
+    return size - np.ceil(size * least - 1e-9).astype(np.int64) + 1
+
+
+class GramIndex:
+    """The gram sets of the lines of one side: by line, and for each gram the lines that have it."""
+
+    def __init__(self, ids: np.ndarray, line: np.ndarray, gram: np.ndarray) -> None:
+        self.ids, self.size = ids, np.bincount(line, minlength=len(ids))
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.line = gram[order], line[order]
+        self.member = np.sort(flat.mix(gram) + line.astype(np.uint64) * np.uint64(flat.BASE))
+
+    def best(self, row: np.ndarray, gram: np.ndarray, at: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, score, item_id) of the most similar line of each row that has one of the similarity."""
+        low = np.searchsorted(self.gram, gram)
+        df = np.searchsorted(self.gram, gram, "right") - low
+        order = np.lexsort((gram, df, row))
+        size = np.diff(at)
+        first = order[(np.arange(len(row)) - at[row] < _needed(size, least)[row]) & (df[order] > 0)]
+        times = df[first]
+        line = self.line[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low[first], times)]
+        pair = np.repeat(row[first], times) * len(self.ids) + line
+        pair = np.sort(pair)
+        pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+        r, k = pair // len(self.ids), pair % len(self.ids)
+        fits = (self.size[k] >= np.ceil(size[r] * least - 1e-9)) & (size[r] >= np.ceil(self.size[k] * least - 1e-9))
+        r, k = r[fits], k[fits]
+        shared = np.zeros(len(r), np.int64)
+        cut = np.append(np.flatnonzero(np.diff(np.cumsum(size[r]) // CELLS, prepend=0)), len(r))
+        for a, b in zip(np.append(0, cut), cut):
+            n = size[r[a:b]]
+            own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[r[a:b]], n)
+            key = flat.mix(gram[own]) + np.repeat(k[a:b], n).astype(np.uint64) * np.uint64(flat.BASE)
+            hit = self.member[np.minimum(np.searchsorted(self.member, key), len(self.member) - 1)] == key
+            shared[a:b] = np.bincount(np.repeat(np.arange(b - a), n), hit, b - a)
+        score = shared / np.maximum(size[r] + self.size[k] - shared, 1)
+        ok = score >= least - 1e-12
+        r, k, score = r[ok], k[ok], score[ok]
+        order = np.lexsort((self.ids[k], -score, r))
+        top = order[np.append(True, np.diff(r[order]) > 0)] if len(order) else order
+        return r[top], score[top], self.ids[k[top]]
+
+
+def _near_small(rows: DataFrame, lines: DataFrame, least: float, n: int) -> DataFrame:
+    """NEAR for lines whose index is broadcast: rows stay where they are."""
+    sets = lines.toArrow()
+    index = {}
+    ids, side, sizes = sets.column("id").to_numpy(), np.array(sets.column("side").to_pylist(), object), sets.column("n").to_numpy()
+    gram = sets.column("g").combine_chunks().flatten().to_numpy().view(np.uint64) if len(sets) else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    for name in sorted({x for x in side if x is not None}):
+        own = np.flatnonzero(side == name)
+        hit = np.isin(owner, own)
+        index[name] = GramIndex(ids[own], np.searchsorted(own, owner[hit]), gram[hit])
+    shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = ranks.value
-        for rows, row, gram, at in _sets(batches, n):
-            slot = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
-            df_ = np.where(known[slot] == gram, counts[slot], 0) if len(known) else np.zeros(len(gram), np.int64)
-            order = np.lexsort((gram, df_, row))
-            size = np.diff(at)
-            need = size - np.ceil(size * least - 1e-9).astype(np.int64) + 1
-            place = np.arange(len(row)) - at[row]
-            keep = (place < need[row]) & (df_[order] > 0)
-            prefix, starts = flat.compact(gram[order], at, keep)
-            out = pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(size.astype(np.int32)), flat.list_array(flat.i64(gram), at), flat.list_array(flat.i64(prefix), starts)],
-                ["id", "side", "n", "g", "p"],
-            )
-            yield out.filter(pa.array(np.diff(starts) > 0))
-
-    return _keyed(df, id_, text).mapInArrow(run, SETS + ", p array<long>")
-
-
-def _prefix_joined(sets: DataFrame, rank: DataFrame, least: float) -> DataFrame:
-    """As _prefixed, for counts too many to broadcast."""
-    one = sets.select("id", "side", F.explode_outer("g").alias("gram")).join(rank, "gram")
-    packed = one.groupBy("id", "side").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("c"))
+        for part, row, gram, at in _sets(batches, n):
+            of = np.array(part.column(1).to_pylist(), object)
+            for name, lines in shared.value.items():
+                mine = of == name
+                keep = mine[row]
+                own = np.concatenate([[0], np.cumsum(np.where(mine, np.diff(at), 0))])
+                r, score, item = lines.best(row[keep], gram[keep], own, least)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r)), pa.array(score, pa.float64()), pa.array(item, pa.int64())], [x.split()[0] for x in NEAR.split(", ")])
+
+    return _keyed(rows, "row_id", "text").mapInArrow(run, NEAR)
+
+
+def _prefixed(sets: DataFrame, rank: DataFrame, least: float) -> DataFrame:
+    """(id, side, n, gram): the rarest grams, by the counts of the lines, as many as any match must share one of.
+
+    Grams that no line has are rarest of all; they take their places in the count, but cannot match.
+    """
+    one = sets.select("id", "side", "n", F.explode("g").alias("gram")).join(rank, "gram")
+    packed = one.groupBy("id", "side").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("c"))
     k = (F.size("c") + 1 - F.ceil(F.col("n") * F.lit(least) - 1e-9)).cast("int")
-    rows = sets.join(packed, ["id", "side"]).withColumn("k", k).where("k > 0")
-    return rows.select("id", "side", "n", "g", F.transform(F.slice("c", F.lit(1), F.col("k")), lambda x: x["gram"]).alias("p"))
+    rows = packed.withColumn("k", k).where("k > 0")
+    return rows.select("id", "side", "n", F.explode(F.transform(F.slice("c", F.lit(1), F.col("k")), lambda x: x["gram"])).alias("gram"))
+
+
+def _near_joined(rows: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """NEAR by joins: pairs by their rarest grams first, each once, then the sets of the pairs."""
+    rank = lines.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    a, b = (_prefixed(s, rank, least).select(F.col("id").alias(i), "side", F.col("n").alias(c), "gram") for s, i, c in ((rows, "row_id", "nq"), (lines, "item_id", "nd")))
+    sized = (F.col("nd") >= F.ceil(F.col("nq") * least - 1e-9)) & (F.col("nq") >= F.ceil(F.col("nd") * least - 1e-9))
+    pairs = a.join(b, ["side", "gram"]).where(sized).select("row_id", "item_id", "side").distinct()
+    both = pairs.join(rows.select(F.col("id").alias("row_id"), "side", "g"), ["row_id", "side"]).join(lines.select(F.col("id").alias("item_id"), "side", F.col("g").alias("h")), ["item_id", "side"])
+    shared = F.size(F.array_intersect("g", "h"))
+    scored = both.select("row_id", "side", "item_id", (shared / (F.size("g") + F.size("h") - shared)).alias("score")).where(F.col("score") >= least - 1e-12)
+    best = F.max_by(F.struct("item_id", "score"), F.struct("score", -F.col("item_id"))).alias("m")
+    return scored.groupBy("row_id", "side").agg(best).select("row_id", "side", "m.score", "m.item_id")
 
 
 def near(rows: DataFrame, lines: DataFrame, least: float = 0.8, n: int = 5, small: int = SMALL_GRAMS) -> DataFrame:
     """The most similar line of the same side by Jaccard similarity of runs of n, if at least `least`.
 
-    Sets are joined by their rarest grams only, a superset of all pairs of the similarity, and the pairs
-    are scored on the full sets. Ties go to the lower item_id.
+    Sets meet by their rarest grams only, which gives all pairs of the similarity and more, and the pairs
+    are scored on the full sets. Ties go to the lower item_id. Up to `small` grams the lines are broadcast.
     """
-    rank = gram_sets(lines, "item_id", "line", n).select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    if rank.limit(small + 1).count() <= small:
-        table = rank.toArrow()
-        gram, df = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
-        order = np.argsort(gram)
-        ranks = rows.sparkSession.sparkContext.broadcast((gram[order], df[order]))
-        q, d = (_prefixed(x, i, t, n, least, ranks) for x, i, t in ((rows, "row_id", "text"), (lines, "item_id", "line")))
+    sets = gram_sets(lines, "item_id", "line", n)
+    if (sets.agg(F.sum("n")).first()[0] or 0) <= small:
+        found = _near_small(rows, sets, least, n)
     else:
-        q, d = (_prefix_joined(gram_sets(x, i, t, n), rank, least) for x, i, t in ((rows, "row_id", "text"), (lines, "item_id", "line")))
-    a = q.select(F.col("id").alias("row_id"), "side", F.col("n").alias("nq"), "g", F.explode("p").alias("gram"))
-    b = d.select(F.col("id").alias("item_id"), "side", F.col("n").alias("nd"), F.col("g").alias("h"), F.explode("p").alias("gram"))
-    sized = (F.col("nd") >= F.ceil(F.col("nq") * least - 1e-9)) & (F.col("nq") >= F.ceil(F.col("nd") * least - 1e-9))
-    pairs = a.join(b, ["side", "gram"]).where(sized)
-    shared = F.size(F.array_intersect("g", "h"))
-    score = shared / (F.col("nq") + F.col("nd") - shared)
-    scored = pairs.select("row_id", "side", "item_id", score.alias("score")).where(F.col("score") >= least - 1e-12)
-    best = F.max_by(F.struct("item_id", "score"), F.struct("score", -F.col("item_id"))).alias("m")
-    return scored.groupBy("row_id", "side").agg(best).select("row_id", "side", F.lit("near").alias("kind"), "m.score", "m.item_id")
+        found = _near_joined(gram_sets(rows, "row_id", "text", n), sets, least)
+    return found.select("row_id", "side", F.lit("near").alias("kind"), "score", "item_id")
 
 
 def leak_reasons(rows: DataFrame, lines: DataFrame, least: float = 0.8) -> DataFrame:
@@ -172,9 +224,9 @@ def split_leaked(rows: DataFrame, reasons: DataFrame) -> tuple[DataFrame, DataFr
     return rows.join(packed, "row_id", "left_anti"), rows.join(packed, "row_id")
 
 
-def least_shared(n: int, least: float) -> int:
-    """Grams of a set of n that a set of the similarity must share with it."""
-    return math.ceil(n * least - 1e-9)
+def leak_gate(rows: DataFrame, lines: DataFrame, least: float = 0.8) -> DataFrame:
+    """(n): rows of side_rows of which a side leaks in any way: equal, equal but for marks and signs, or near."""
+    return leak_reasons(rows, lines, least).select("row_id").distinct().agg(F.count("*").alias("n"))
 
 
 def side_rows(df: DataFrame, src: str, tgt: str) -> DataFrame:

@@ -55,12 +55,6 @@ class Lexicon:
     both: DataFrame | None = None
     left: DataFrame | None = None
     right: DataFrame | None = None
-    counts: DataFrame | None = None  # what the tables are made of, kept for all of them
-
-    def release(self) -> None:
-        """Frees the counts once the tables are written or no longer needed."""
-        if self.counts is not None:
-            self.counts.unpersist()
 
 
 def pruned(context: DataFrame, unigram: DataFrame) -> DataFrame:
@@ -71,29 +65,36 @@ def pruned(context: DataFrame, unigram: DataFrame) -> DataFrame:
 
 def build(texts: DataFrame, least: int = 3, dominance: float = 0.0, context_least: int = 2, context: tuple[str, ...] = (), prune: bool = True) -> Lexicon:
     """context: any of both, left, right. With a single one it is pruned, with several kept whole."""
-    # one pass over the words: coarser counts are sums of the finest ones, kept in memory or on disk for all tables
+    # one pass over the words: coarser counts are sums of the finest ones, whose shuffle all tables read
     counts = form_counts(word_rows(texts), ["prev", "key", "next"] if context else ["key"])
-    counts = counts.persist() if context else counts
     uni = majority_of(counts, ["key"], least, dominance, drop_same=True)
     keys = {"both": ["prev", "key", "next"], "left": ["prev", "key"], "right": ["key", "next"]}
     tables = {}
     for name in context:
         t = majority_of(counts, keys[name], context_least)
         tables[name] = pruned(t, uni) if prune and len(context) == 1 else t
-    return Lexicon(uni, **tables, counts=counts if context else None)
+    return Lexicon(uni, **tables)
+
+
+#: The tables in the order in which they are asked.
+LEVELS = (("both", ["prev", "key", "next"]), ("left", ["prev", "key"]), ("right", ["key", "next"]), ("unigram", ["key"]))
 
 
 def looked_up(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """word_rows with form taken from the first table that knows the word, null if none; level says which."""
-    out, levels = rows, []
-    for name, keys in (("both", ["prev", "key", "next"]), ("left", ["prev", "key"]), ("right", ["key", "next"]), ("unigram", ["key"])):
-        t = getattr(lexicon, name)
-        if t is not None:
-            out = out.join(t.select(*keys, F.col("form").alias(f"_{name}")), keys, "left")
-            levels.append(name)
-    form = F.coalesce(*(F.col(f"_{x}") for x in levels))
-    level = F.coalesce(*(F.when(F.col(f"_{x}").isNotNull(), F.lit(x)) for x in levels))
-    return out.withColumn("found", form).withColumn("level", level).drop(*(f"_{x}" for x in levels))
+    """word_rows with form taken from the first table that knows the word, null if none; level says which.
+
+    The distinct words with their neighbours are looked up, each once, so a frequent word is no hot key of the tables;
+    the rows are joined once, with what was found.
+    """
+    tables = [(name, keys, getattr(lexicon, name)) for name, keys in LEVELS if getattr(lexicon, name) is not None]
+    finest = [c for c in LEVELS[0][1] if any(c in keys for _, keys, _ in tables)]
+    out = rows.select(*finest).distinct()
+    for name, keys, t in tables:
+        out = out.join(t.select(*keys, F.col("form").alias(f"_{name}")), keys, "left")
+    form = F.coalesce(*(F.col(f"_{x}") for x, _, _ in tables))
+    level = F.coalesce(*(F.when(F.col(f"_{x}").isNotNull(), F.lit(x)) for x, _, _ in tables))
+    known = out.select(*finest, form.alias("found"), level.alias("level")).where("found is not null")
+    return rows.join(known, finest, "left").select(*rows.columns, "found", "level")
 
 
 def restored(texts: DataFrame, lexicon: Lexicon, text: str = "text", id_: str = "row_id") -> DataFrame:

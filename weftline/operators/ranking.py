@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one task ranks, about.
+RANGE_ROWS = 100_000
+
+
 def ranked(df: DataFrame, order: list[Column | str], bucket: Column, by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Adds the rank from 0 over all rows, or those with the same `by`; bucket must rise with the order."""
     by = by or []
@@ -31,9 +35,13 @@ def hash_order(seed: str, column: str) -> Column:
 
 
 def ranked_by_hash(df: DataFrame, seed: str, column: str = "row_id", by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Rank in hash order; ranges are the first two hex digits."""
+    """Rank in hash order; ranges are by the first hex digits, as many as the rows need for RANGE_ROWS a range."""
+    digits = 1
+    rows = df.count()
+    while 16**digits * RANGE_ROWS < rows:
+        digits += 1
     keyed = df.withColumn("_h", hash_order(seed, column))
-    return ranked(keyed, ["_h", column], F.substring("_h", 1, 2), by, name).drop("_h")
+    return ranked(keyed, ["_h", column], F.substring("_h", 1, digits), by, name).drop("_h")
 
 
 def quantiles(df: DataFrame, column: str, qs: list[float], ranges: int = 64) -> DataFrame:

@@ -73,8 +73,15 @@ def verdict(ref_density: Column, hyp_density: Column, ref_punct: Column, hyp_pun
     return F.struct(F.round(ratio, 6).alias("ratio"), marks.alias("marks"), (F.abs(ref_punct - hyp_punct) > 15).alias("map_punctuation"))
 
 
-def validate(source: DataFrame, given: DataFrame, least_density: float = 1.0, text: str = "text", id_: str = "row_id") -> DataFrame:
-    """(check, severity, n, pass) of a submission (id, pos, text) against its source (id, pos)."""
+def validate(source: DataFrame, given: DataFrame, least_density: float = 1.0, text: str = "text", id_: str = "row_id", columns: list[str] | None = None) -> DataFrame:
+    """(check, severity, n, pass) of a submission (id, pos, text) against its source (id, pos).
+
+    columns: those that the submission should have, in order; the check columns counts places that differ.
+    """
+    wanted = given.columns if columns is None else columns
+    wrong = sum(a != b for a, b in zip(given.columns, wanted)) + abs(len(given.columns) - len(wanted))
+    if text not in given.columns or id_ not in given.columns:  # all other checks need them
+        return given.sparkSession.createDataFrame([("columns", "error", wrong, False)], "check string, severity string, n long, pass boolean")
     from weftline.operators.align import reordered_outer
 
     c = F.coalesce(F.col(text), F.lit(""))
@@ -82,7 +89,7 @@ def validate(source: DataFrame, given: DataFrame, least_density: float = 1.0, te
     sums = given.agg(
         F.count("*").alias("rows"), F.sum((T.clean(c) == "").cast("long")).alias("empty"), F.sum(T.is_nan_like(c).cast("long")).alias("nan_like"),
         F.sum(F.length(c)).alias("chars"), F.sum(T.count_of(c, T.DEVANAGARI)).alias("devanagari"), F.sum(T.count_of(c, T.ARABIC_BASIC)).alias("arabic"),
-        F.sum(T.count_of(c, "A-Za-z")).alias("latin"), F.sum(T.mark_count(c, True)).alias("marks"),
+        F.sum(T.count_of(c, "A-Za-z")).alias("latin"), F.sum(T.mark_count(c, True)).alias("marks"), F.sum((~T.is_nfc(c)).cast("long")).alias("not_nfc"),
     )
     distinct = given.select(c.alias("t")).groupBy("t").agg(F.lit(1).alias("one")).agg(F.count("*").alias("texts"))
     n_source = source.agg(F.count("*").alias("n_source"))
@@ -90,6 +97,7 @@ def validate(source: DataFrame, given: DataFrame, least_density: float = 1.0, te
     one = sums.crossJoin(distinct).crossJoin(n_source).crossJoin(moved)  # one row each
     share = lambda x: F.col(x) / F.greatest(F.col("chars"), F.lit(1))
     checks = [
+        ("columns", "error", F.lit(wrong), F.lit(wrong == 0)), ("not_nfc", "warning", F.col("not_nfc"), F.col("not_nfc") == 0),
         ("row_count", "error", F.abs(F.col("rows") - F.col("n_source")), F.col("rows") == F.col("n_source")),
         ("missing_ids", "error", F.col("missing"), F.col("missing") == 0), ("extra_ids", "error", F.col("extra"), F.col("extra") == 0),
         ("order", "error", F.col("moved"), F.col("moved") == 0), ("empty", "error", F.col("empty"), F.col("empty") == 0),
@@ -124,6 +132,14 @@ def vocabulary(df: DataFrame, text: str, least: int = 5) -> DataFrame:
     return chars.groupBy("char").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def examples(df: DataFrame, n: int, order: str, descending: bool = True) -> DataFrame:
-    """The n rows first by the column."""
-    return df.orderBy(F.col(order).desc() if descending else F.col(order)).limit(n)
+def examples(df: DataFrame, n: int, order: str, descending: bool = True, then: str | None = None) -> DataFrame:
+    """The n rows first by the column, ties by the column `then`."""
+    return df.orderBy(F.col(order).desc() if descending else F.col(order), *([then] if then else [])).limit(n)
+
+
+def compositions(df: DataFrame, text: str, by: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(by, letter, composed, sequence): how often letters stand as one character and as a sequence, by group."""
+    counted = df.where(F.length(T.clean(text)) > 0).select(F.coalesce(F.col(by), F.lit("(none)")).alias(by), T.composition_counts(text, pairs).alias("c"))
+    letters = [F.struct(F.lit(f"{ord(a):04x}").alias("letter"), F.col(f"c.pre_{ord(a):04x}").alias("a"), F.col(f"c.seq_{ord(a):04x}").alias("b")) for a, _ in pairs]
+    rows = counted.select(by, F.explode(F.array(*letters)).alias("x")).groupBy(by, F.col("x.letter").alias("letter"))
+    return rows.agg(F.sum("x.a").alias("composed"), F.sum("x.b").alias("sequence"))

@@ -21,10 +21,14 @@ FEATURES = ["consensus", "density", "lexcov", "length", "marker"]
 # candidates ------------------------------------------------------------------------------------
 
 
-def pools(candidates: DataFrame) -> DataFrame:
-    """(pool, j, text[, src]) long -> (pool, candidates array<struct<j, text>>), empty ones dropped."""
+def pools(candidates: DataFrame, key=None) -> DataFrame:
+    """(pool, j, text[, src]) long -> (pool, candidates array<struct<j, text, key>>), empty ones dropped.
+
+    key: a column function that makes what is compared of the text; where that is blank the text itself is compared.
+    """
     kept = candidates.where(T.not_blank("text"))
-    return kept.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct(F.col("j").cast("long").alias("j"), "text"))).alias("candidates"))
+    own = F.col("text") if key is None else F.when(T.not_blank(key("text")), key("text")).otherwise(F.col("text"))
+    return kept.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct(F.col("j").cast("long").alias("j"), "text", own.alias("key")))).alias("candidates"))
 
 
 def long_pools(wide: DataFrame) -> DataFrame:
@@ -48,7 +52,7 @@ def pair_scores(pooled: DataFrame) -> DataFrame:
         for batch in batches:
             pool, h, r, s = [], [], [], []
             lists = batch.column(1).to_pylist()
-            for p, c, m in zip(batch.column(0).to_pylist(), lists, N.pools_chrf([[x["text"] for x in c] for c in lists])):
+            for p, c, m in zip(batch.column(0).to_pylist(), lists, N.pools_chrf([[x["key"] for x in c] for c in lists])):
                 js = [x["j"] for x in c]
                 for a in range(len(c)):
                     for b in range(len(c)):
@@ -62,8 +66,8 @@ def pair_scores(pooled: DataFrame) -> DataFrame:
     return pooled.select("pool", "candidates").mapInArrow(run, "pool long, h long, r long, chrf double")
 
 
-def consensus(pooled: DataFrame, key: str | None = None) -> DataFrame:
-    """pools() -> (pool, j, utility, multiplicity): expected chrF++ against the other candidates.
+def consensus(pooled: DataFrame) -> DataFrame:
+    """pools() -> (pool, j, utility, multiplicity): expected chrF++ of the keys against the other candidates'.
 
     Equal candidates are scored once and weigh by their number; an equal other counts 100.
     """
@@ -72,9 +76,9 @@ def consensus(pooled: DataFrame, key: str | None = None) -> DataFrame:
         for batch in batches:
             pool, j, u, n = [], [], [], []
             lists = batch.column(1).to_pylist()
-            every = [list(dict.fromkeys(x["text"] for x in c)) for c in lists]
+            every = [list(dict.fromkeys(x["key"] for x in c)) for c in lists]
             for p, c, distinct, m in zip(batch.column(0).to_pylist(), lists, every, N.pools_chrf(every)):
-                texts = [x["text"] for x in c]
+                texts = [x["key"] for x in c]
                 where = {t: i for i, t in enumerate(distinct)}
                 at = [where[t] for t in texts]
                 count = np.bincount(at, minlength=len(distinct)).astype(float)
@@ -131,36 +135,137 @@ def rerank(featured: DataFrame, weights: dict[str, float]) -> DataFrame:
     return best_by(scored, "pool", [F.col("score"), -F.col("j")], ["j", "score"])
 
 
-def tune(featured: DataFrame, truth: DataFrame, starts: int = 8, rounds: int = 2, seed: int = 0) -> tuple[dict[str, float], float]:
-    """Weights by random starts and coordinate search for the greatest mean truth (pool, j, value) of the winners.
+#: Sums of a corpus: match, hypothesis and reference for each order of chrF++; lengths, match and total of BLEU.
+CHRF_SUMS, BLEU_SUMS = 3 * (N.CHAR_ORDER + N.WORD_ORDER), 10
+
+
+def candidate_statistics(candidates: DataFrame, refs: DataFrame) -> DataFrame:
+    """(pool, j, text) and (pool, ref) -> (pool, j, chrf, sums): each candidate against its pool's reference.
 
-    The loop runs on the driver; every evaluation is one aggregate over the stored features.
+    chrf is that of the candidate alone, sums what it adds to the statistics of a corpus.
     """
-    rows = featured.join(truth, ["pool", "j"]).persist()
-    rng = np.random.default_rng(seed)
 
-    def value(w: dict[str, float]) -> float:
-        won = rerank(rows, w).join(rows.select("pool", "j", "value"), ["pool", "j"])
-        return won.agg(F.avg("value")).first()[0] or 0.0
+    @F.arrow_udf("struct<chrf: double, sums: array<long>>")
+    def run(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+        h, r = ([x or "" for x in c.to_pylist()] for c in (hyp, ref))
+        c, b = N.chrf_pairs(h, r), N.bleu_pairs(h, r)
+        sums = np.concatenate([c, b], axis=1)
+        one = N.f_score(c[:, 0::3], c[:, 1::3], c[:, 2::3])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+        return pa.StructArray.from_arrays([pa.array(one), lists], ["chrf", "sums"])
 
-    try:
-        tried = [{f: float(x) for f, x in zip(FEATURES, rng.uniform(0, 1, len(FEATURES)))} for _ in range(starts)] + [{f: float(f == "consensus") for f in FEATURES}]
-        best = max(((value(w), i) for i, w in enumerate(tried)), key=lambda x: (x[0], -x[1]))
-        score, weights = best[0], tried[best[1]]
-        for _ in range(rounds):
-            for f in FEATURES:
-                for x in (0.0, weights[f] / 2, weights[f] * 2 + 0.05):
-                    if (s := value(weights | {f: x})) > score:
-                        score, weights = s, weights | {f: x}
-        return weights, score
-    finally:
-        rows.unpersist()
+    joined = candidates.where(T.not_blank("text")).join(refs.select("pool", "ref"), "pool").withColumn("x", run("text", "ref"))
+    return joined.select("pool", F.col("j").cast("long").alias("j"), F.round("x.chrf", 9).alias("chrf"), "x.sums")
+
+
+def corpus_geo(sums: np.ndarray) -> np.ndarray:
+    """Geometric mean of BLEU and chrF++ of corpora, from the sums of their lines in the last axis."""
+    c, b = sums[..., :CHRF_SUMS].astype(float), sums[..., CHRF_SUMS:].astype(float)
+    chrf = N.f_score(c[..., 0::3], c[..., 1::3], c[..., 2::3])
+    return np.sqrt(np.maximum(chrf * N.bleu_score(b), 0))
+
+
+class Weighted:
+    """Pools with features and statistics, kept; scores of many weightings in one pass over them."""
+
+    def __init__(self, featured: DataFrame, statistics: DataFrame, names: list[str] = FEATURES) -> None:
+        self.names = names
+        columns = F.struct("j", F.array(*(F.col(c).cast("double") for c in names)).alias("x"), "sums")
+        self.pools = featured.join(statistics, ["pool", "j"]).groupBy("pool").agg(F.array_sort(F.collect_list(columns)).alias("c")).persist()
+
+    def geo(self, weights: list[dict[str, float]], where: Column | None = None) -> np.ndarray:
+        """The corpus score of the winners of each weighting; ties go to the lowest j. where: of some pools only."""
+        w = np.array([[one.get(f, 0.0) for f in self.names] for one in weights])
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(w), CHRF_SUMS + BLEU_SUMS), np.int64)
+            for batch in batches:
+                for c in batch.column(0).to_pylist():
+                    won = np.round(np.array([x["x"] for x in c]) @ w.T, 9).argmax(0)
+                    total += np.array([x["sums"] for x in c], np.int64)[won]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(w))), pa.array(total.tolist(), pa.list_(pa.int64()))], ["k", "sums"])
 
-def ablations(featured: DataFrame, truth: DataFrame, **options) -> dict[str, float]:
-    """Score of a fit without each feature in turn."""
-    zero = lambda f: featured.withColumn(f, F.lit(0.0))
-    return {f: tune(zero(f), truth, **options)[1] for f in FEATURES}
+        rows = self.pools if where is None else self.pools.where(where)
+        out = np.zeros((len(w), CHRF_SUMS + BLEU_SUMS), np.int64)
+        for r in rows.select("c").mapInArrow(run, "k long, sums array<long>").collect():  # a row a task and weighting
+            out[r["k"]] += np.array(r["sums"], np.int64)
+        return corpus_geo(out)
+
+    def release(self) -> None:
+        self.pools.unpersist()
+
+
+def tune(pools: Weighted, free: list[str] = FEATURES, where: Column | None = None, draws: int = 300, starts: int = 5, passes: int = 4, span: float = 4.0, grid: int = 17, seed: int = 0) -> tuple[dict[str, float], float, int]:
+    """(weights, corpus score, weightings tried): a search from several starts, one coordinate at a time.
+
+    Starts are none, each feature alone, and draws between -span and span. From the best `starts` each weight in turn goes
+    over a grid, then over halves and quarters of its step, until a pass helps none. All weightings of a step
+    are scored in one pass over the data.
+    """
+    rng = np.random.default_rng(seed)
+    tried = 0
+
+    def scored(ways: list[dict[str, float]]) -> np.ndarray:
+        nonlocal tried
+        tried += len(ways)
+        return pools.geo(ways, where)
+
+    none = dict.fromkeys(FEATURES, 0.0)
+    first = [none, *(none | {f: 1.0} for f in free)]
+    first += [none | {f: round(float(x), 3) for f, x in zip(free, row)} for row in rng.uniform(-span, span, (draws, len(free)))]
+    value = scored(first)
+    order = np.argsort(-value, kind="stable")[:starts]
+    now, best, open_ = [first[k] for k in order], value[order].copy(), np.ones(len(order), bool)
+    step = 2 * span / (grid - 1)
+    for _ in range(passes):
+        helped = np.zeros(len(now), bool)
+        for moves in ([round(-span + k * step, 4) for k in range(grid)], None):
+            for f in free:
+                ways, owner = [], []
+                for k in np.flatnonzero(open_):
+                    to = moves if moves is not None else [round(now[k][f] + d * step, 4) for d in (-0.5, 0.5, -0.25, 0.25)]
+                    ways += [now[k] | {f: x} for x in to if x != now[k][f]]
+                    owner += [k] * (len(ways) - len(owner))
+                if not ways:
+                    continue
+                got = scored(ways)
+                for k in set(owner):
+                    mine = [i for i, o in enumerate(owner) if o == k]
+                    top = max(mine, key=lambda i: got[i])
+                    if got[top] > best[k] + 1e-9:
+                        best[k], now[k], helped[k] = got[top], ways[top], True
+        open_ &= helped
+        if not open_.any():
+            break
+    top = int(np.argmax(best))
+    return now[top], float(best[top]), tried
+
+
+def tuning_report(candidates: DataFrame, refs: DataFrame, featured: DataFrame, tuned: Column, **options) -> list[dict]:
+    """Corpus scores of the first candidates, of consensus, each feature alone, the best possible, a fit, and fits without each feature.
+
+    tuned: a condition on pool; the fit sees only these pools, held is the score of the others. The fast sums must agree
+    with corpus_scores within 0.01 on the first candidates.
+    """
+    stats = candidate_statistics(candidates, refs)
+    pools = Weighted(featured.join(stats.select("pool", "j", F.col("chrf").alias("truth")), ["pool", "j"]), stats.select("pool", "j", "sums"), [*FEATURES, "truth"])
+    try:
+        none = dict.fromkeys(FEATURES, 0.0)
+        first = best_by(candidates.where(T.not_blank("text")).withColumn("j", F.col("j").cast("long")), "pool", [-F.col("j")], ["text"]).join(refs, "pool")
+        slow = corpus_scores(first, "text", "ref").first()["geo"] or 0.0
+        fast = float(pools.geo([none])[0])
+        if abs(fast - slow) > 0.01:
+            raise AssertionError(f"scores of the first candidates differ: {fast} and {slow}")
+        fit, _, tried = tune(pools, where=tuned, **options)
+        rows = [("first", none, 1), ("consensus", none | {"consensus": 1.0}, 1), ("best", none | {"truth": 1.0}, 1), *((f"only_{f}", none | {f: 1.0}, 1) for f in FEATURES), ("fit", fit, tried)]
+        for f in FEATURES:
+            w, _, n = tune(pools, [x for x in FEATURES if x != f], tuned, **options)
+            rows.append((f"without_{f}", w, n))
+        ways = [w for _, w, _ in rows]
+        parts = {"tuned": pools.geo(ways, tuned), "held": pools.geo(ways, ~tuned), "all": pools.geo(ways)}
+        return [{"name": name, "weights": w, "tried": n} | {k: round(float(v[i]), 6) for k, v in parts.items()} for i, (name, w, n) in enumerate(rows)]
+    finally:
+        pools.release()
 
 
 def mean_spearman(rows: DataFrame, group: str, xs: list[str], y: str) -> DataFrame:
@@ -182,14 +287,13 @@ def mean_spearman(rows: DataFrame, group: str, xs: list[str], y: str) -> DataFra
 
 
 def _statistics(kind: str):
-    size = 3 * (N.CHAR_ORDER + N.WORD_ORDER) if kind == "chrf" else 10
-
     @F.arrow_udf("array<long>")
     def run(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-        of = N.chrf_statistics if kind == "chrf" else N.bleu_statistics
-        return pa.array([of(h or "", r or "") for h, r in zip(hyp.to_pylist(), ref.to_pylist())], pa.list_(pa.int64()))
+        h, r = ([x or "" for x in c.to_pylist()] for c in (hyp, ref))
+        sums = N.chrf_pairs(h, r) if kind == "chrf" else N.bleu_pairs(h, r)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
 
-    return run, size
+    return run, CHRF_SUMS if kind == "chrf" else BLEU_SUMS
 
 
 def corpus_scores(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
@@ -238,7 +342,7 @@ def mark_scores(pairs: DataFrame, gold: str = "gold", pred: str = "pred", side:
 
     side: a column over the rows, such as whether a word is known to a lexicon.
     """
-    same = pairs.where(T.strip_key(gold) == T.strip_key(pred)).select((side if side is not None else F.lit("all")).alias("side"), F.arrays_zip(labels(gold).alias("g"), labels(pred).alias("p")).alias("z"))
+    same = pairs.where(alignable(gold, pred)).select((side if side is not None else F.lit("all")).alias("side"), F.arrays_zip(labels(gold).alias("g"), labels(pred).alias("p")).alias("z"))
     marks = same.select("side", F.explode("z").alias("z")).select("side", "z.g", "z.p").where("g > 0 or p > 0")
     names = ["none", *T.MARK_NAMES]
     long = marks.select("side", F.explode(F.array_distinct(F.array("g", "p"))).alias("m"), "g", "p").where("m > 0")
@@ -249,6 +353,17 @@ def mark_scores(pairs: DataFrame, gold: str = "gold", pred: str = "pred", side:
     return _prf(named.select("side", "mark", "gold", "pred", "hit").unionByName(micro), ["side", "mark"])
 
 
+def alignable(gold: str = "gold", pred: str = "pred") -> Column:
+    """Do the texts differ in restorable marks only?"""
+    return F.coalesce(T.strip_key(gold) == T.strip_key(pred), F.lit(False))
+
+
+def unalignable(pairs: DataFrame, gold: str = "gold", pred: str = "pred", side: Column | None = None) -> DataFrame:
+    """(side, pairs, left_out): the pairs of mark_scores, and those that it leaves out as their bases differ."""
+    rows = pairs.select((side if side is not None else F.lit("all")).alias("side"), alignable(gold, pred).alias("same"))
+    return rows.groupBy("side").agg(F.count("*").alias("pairs"), F.sum((~F.col("same")).cast("long")).alias("left_out"))
+
+
 def line_accuracy(pairs: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     return pairs.agg(F.round(F.avg((F.col(gold) == F.col(pred)).cast("double")), 6).alias("accuracy"))
 

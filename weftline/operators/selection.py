@@ -18,9 +18,11 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64) if n else np.zeros((0, 1))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", block: int = QUERY_BLOCK, other: bool = False) -> DataFrame:
     """(id, embedding) against all queries -> (id, score, query_id): mean of the top k cosines, and the nearest.
 
+    other: a vector that is a query itself is compared with the other queries only.
+
     The queries are a stated set and are compared in blocks of bounded size; the top k of the blocks are
     merged. Cosines are rounded to 9 digits, ties go to the lower query id.
     """
@@ -36,6 +38,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_
             names, m = shared.value
             for batch in batches:
                 s = np.round(_matrix(batch.column(1)) @ m.T, 9) if len(names) else np.zeros((len(batch), 0))
+                if other:
+                    s[batch.column(0).to_numpy(zero_copy_only=False)[:, None] == names[None, :]] = -np.inf
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 n = np.full(len(batch), top.shape[1])
                 at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
@@ -47,7 +51,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_
     if total > block:
         found = found.groupBy("id").agg(F.flatten(F.collect_list("top")).alias("top"))
     ordered = F.slice(F.array_sort("top", lambda a, b: F.when(a["cos"] > b["cos"], -1).when(a["cos"] < b["cos"], 1).when(a["query_id"] < b["query_id"], -1).otherwise(1)), 1, k)
-    top = found.withColumn("top", ordered)
+    top = found.withColumn("top", F.filter(ordered, lambda x: x["cos"] > float("-inf")))
     mean = F.aggregate("top", F.lit(0.0), lambda s, x: s + x["cos"]) / F.size("top")
     return top.select(F.col("id").alias(id_), F.round(mean, 6).alias("score"), F.element_at("top", 1)["query_id"].alias("query_id"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import labels as L
 from weftline.functions import text as T
 from weftline.operators import align, dedup, filters, leakage, lexicon, ranking, report, sampling, scoring, selection
+from weftline.plans.file_queries import FILE_QUERIES
 from weftline.sources import readers
 
 
@@ -40,7 +41,7 @@ def q01(spark, d):
 
 def q02(spark, d):
     df = filters.nonempty(raw(spark, d).select("row_id", "src", "tgt"), "src", "tgt")
-    return dedup.exact_pairs(df, copies="copies").select("row_id", "copies")
+    return dedup.exact_pairs(df, copies="copies", columns=["row_id"])
 
 
 def q03(spark, d):
@@ -59,7 +60,7 @@ def q05(spark, d):
 
 
 def q06(spark, d):
-    return filters.stage_report(filters.waterfall(raw(spark, d).select("row_id", "src", "tgt")))
+    return filters.count_report(filters.reason_counts(raw(spark, d).select("src", "tgt")))
 
 
 def q07(spark, d):
@@ -87,14 +88,14 @@ def q11(spark, d):
 
 def q12(spark, d):
     df = filters.nonempty(pool(spark, d).select("row_id", "s", "t"), "s", "t")
-    return dedup.stripped_targets(df, copies="copies").select("row_id", "copies")
+    return dedup.stripped_targets(df, copies="copies", columns=["row_id"])
 
 
 def q13(spark, d):
     lines = t(spark, d, "dev_lines").select(F.col("item_id").alias("row_id"), T.clean("line").alias("text"), F.lit("held").alias("source"))
     first = raw(spark, d).select("row_id", T.clean("tgt").alias("text"), F.lit("raw").alias("source"))
     second = pool(spark, d).select("row_id", T.clean("t").alias("text"), F.lit("pool").alias("source"))
-    return dedup.across_sources([lines, first, second]).select("source", "row_id")
+    return dedup.across_sources([lines, first, second], columns=["source", "row_id"])
 
 
 def q14(spark, d):
@@ -161,6 +162,7 @@ def q53(spark, d):
 
 # sampling ---------------------------------------------------------------------------------------
 
+# fixed values: the configurations in their order of preference
 CONFIGS = ["bpcc-seed-v1", "bpcc-seed-v2", "nllb-seed", "daily"]
 PREFERRED, TOTAL = "bpcc-seed-latest", 300
 
@@ -193,7 +195,8 @@ def q22(spark, d):
 def q23(spark, d):
     rows = filters.nonempty(pool(spark, d).select("row_id", "split_name", "s", "t"), "s", "t")
     held = rows.where("split_name <> 'train'")
-    return leakage.drop_heldout(rows, held, ["s", "t"], expect_all=True).groupBy("split_name").agg(F.count("*").alias("n"))
+    first = dedup.exact_pairs(rows, "s", "t")  # else a pair that stands several times would go several times
+    return leakage.drop_heldout(first, held, ["s", "t"], expect_all=True).groupBy("split_name").agg(F.count("*").alias("n"))
 
 
 def q54(spark, d):
@@ -207,8 +210,9 @@ def q54(spark, d):
 
 
 def _knn(spark, d):
+    """All vectors against the query set, the vectors with an id divisible by 100."""
     e = t(spark, d, "embeddings")
-    return selection.nearest(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"))
+    return selection.nearest(e, e.where("vec_id % 100 = 0"), other=True)
 
 
 def q24(spark, d):
@@ -228,8 +232,7 @@ def q26(spark, d):
 
 
 def q27(spark, d):
-    e = t(spark, d, "embeddings").where("vec_id % 5 <> 0").select("vec_id")
-    return sampling.sample(e, 100, "control", "vec_id")
+    return sampling.sample(t(spark, d, "embeddings").select("vec_id"), 100, "control", "vec_id")
 
 
 # lexicons ---------------------------------------------------------------------------------------
@@ -415,10 +418,12 @@ def q43(spark, d):
 
 
 def q44(spark, d):
+    """The whole pool as a submission, with ids that are moved, missing and unknown."""
     p = pool(spark, d)
-    source = p.where("split_name = 'eval'").select("row_id", F.col("row_id").alias("pos"))
-    given = p.where("split_name = 'eval' or row_id % 997 = 0").select("row_id", F.when(F.col("row_id") % 10 == 3, F.col("row_id") + 1).otherwise(F.col("row_id")).alias("pos"), F.col("t").alias("text"))
-    return report.validate(source, given)
+    source = p.select("row_id", F.col("row_id").alias("pos"))
+    i = F.col("row_id")
+    given = p.select(F.when(i % 997 == 0, -i).otherwise(i).alias("row_id"), F.when(i % 10 == 3, i + 1).otherwise(i).alias("pos"), F.col("t").alias("text"))
+    return report.validate(source, given, columns=["row_id", "pos", "text"])
 
 
 def q56(spark, d):
@@ -434,6 +439,82 @@ def q56(spark, d):
     return out.withColumn("equal", F.col("s_lines") == F.col("t_lines"))
 
 
+# reports and rules beside the above -----------------------------------------------------------
+
+
+def q69(spark, d):
+    """Pairs of the train split that no held-out row has, the target compared without restorable marks."""
+    p = pool(spark, d)
+    kept = leakage.drop_by_derived_key(p.where("split_name = 'train'"), p.where("split_name <> 'train'"), "t", also=("s",))
+    return report.group_counts(kept, "config")
+
+
+def q70(spark, d):
+    return leakage.leak_gate(*_leaks(spark, d), least=0.6)
+
+
+def q71(spark, d):
+    """Rows that the score lets pass, where all rows are scored and where only mined ones are."""
+    rows = raw(spark, d).groupBy(F.coalesce("provenance", F.lit("(none)")).alias("provenance"))
+    passed = lambda scope: F.sum(filters.score_ok("labse", 0.8, scope).cast("long")).alias(f"passed_{scope}")
+    return rows.agg(F.count("*").alias("n"), passed("all"), passed("mined"))
+
+
+def q72(spark, d):
+    text = T.normalize("tgt", unicode_form="NFC", strip_joiner=True, punctuation=True)
+    return raw(spark, d).select("row_id", F.md5(text).alias("text_md5"))
+
+
+#: Letters with a sign above that stand as one character or as two: code points and their decompositions in Unicode.
+COMPOSED = [("\u0622", "\u0627\u0653"), ("\u0624", "\u0648\u0654"), ("\u0626", "\u064a\u0654")]
+
+
+def q73(spark, d):
+    return report.compositions(pool(spark, d), "t", "t_lang", COMPOSED)
+
+
+def q74(spark, d):
+    """Consensus on texts without restorable marks; what comes out are the texts as they were."""
+    return scoring.mbr_select(scoring.pools(_candidates(spark, d), T.strip_key)).select("pool", "j", F.round("utility", 6).alias("utility"))
+
+
+def q75(spark, d):
+    return ranking.ranked_by_hash(pool(spark, d).select("row_id"), "shuffle", name="place")
+
+
+def q76(spark, d):
+    return scoring.line_accuracy(_restored_pairs(spark, d))
+
+
+def q77(spark, d):
+    sources = F.array(F.concat(F.coalesce("config", F.lit("none")), F.lit(":"), F.coalesce("provenance", F.lit("unknown"))), F.coalesce("source_file", F.lit("none")))
+    rows = report.share_alike(raw(spark, d).withColumn("sources", sources), "sources", ["daily", "nllb-seed"])
+    return rows.groupBy("share_alike").agg(F.count("*").alias("n"))
+
+
+def q78(spark, d):
+    """Words whose restored form differs from the given one in more than restorable marks, known to the lexicon or not."""
+    words = lexicon.looked_up(lexicon.word_rows(_unseen(spark, d)), _lexicon(spark, d))
+    pairs = words.select(F.col("form").alias("gold"), F.coalesce("found", "key").alias("pred"), "found")
+    return scoring.unalignable(pairs, side=F.when(F.col("found").isNotNull(), "known").otherwise("tail"))
+
+
+def q79(spark, d):
+    return report.examples(raw(spark, d).where("labse is not null"), 50, "labse", then="row_id").select("row_id", "labse")
+
+
+def q80(spark, d):
+    return scoring.winner_counts(scoring.mbr_select(scoring.pools(_candidates(spark, d))))
+
+
+def q81(spark, d):
+    """Weights fitted to corpus scores against each pool's longest member, with baselines and a fit without each feature."""
+    c = _candidates(spark, d)
+    refs = c.groupBy("pool").agg(F.max_by("text", F.struct(F.length("text"), -F.col("j"))).alias("ref"))
+    found = scoring.tuning_report(c, refs, _features(spark, d), F.pmod(F.xxhash64("pool"), F.lit(10)) < 7, draws=40, starts=2, passes=1, grid=9)
+    return spark.createDataFrame([(r["name"], r["tuned"], r["held"], r["all"], r["tried"]) for r in found], "name string, tuned double, held double, whole double, tried long")
+
+
 # functions --------------------------------------------------------------------------------------
 
 
@@ -477,7 +558,9 @@ NAMES = {
     "q43_rolling_majority": q43, "q44_validator": q44, "q45_neighbour_context": q45, "q46_loose_key_exact": q46, "q46_loose_key": q46_sql,
     "q47_encode_decode": q47, "q48_chunk": q48, "q49_decide_rules": q49, "q50_arabic_shares": q50, "q51_score_filter": q51,
     "q52_text_reasons": q52, "q53_overlap_count": q53, "q54_upweight_pairs": q54, "q55_restoration_strategies": q55, "q56_twin_files": q56,
-    "q57_vocabulary": q57, "q58_winner_report": q58, "q59_oracle_select": q59, "q60_mean_ratio": q60,
+    "q57_vocabulary": q57, "q58_winner_report": q58, "q59_oracle_select": q59, "q60_mean_ratio": q60, **FILE_QUERIES,
+    "q69_cross_corpus": q69, "q70_leak_gate": q70, "q71_score_scope": q71, "q72_normalize": q72, "q73_compositions": q73, "q74_mbr_by_key": q74,
+    "q75_shuffle": q75, "q76_line_accuracy": q76, "q77_share_alike": q77, "q78_left_out": q78, "q79_top_scores": q79, "q80_winner_places": q80, "q81_tuning": q81,
 }
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.functions import text as T
-from weftline.plans.catalogue import CONFIGS, PREFERRED, TOTAL, WEIGHTS
+from weftline.plans.catalogue import COMPOSED, CONFIGS, PREFERRED, TOTAL, WEIGHTS
 
 M = T.ALL_MARKS
 
@@ -148,12 +148,12 @@ SQL["q19_apportion"] = f"WITH {_STRATA} SELECT n, need FROM needs"
 SQL["q20_stratified_fill"] = f"WITH {_FILLED} SELECT row_id, n, config, CAST(phase AS BIGINT) AS phase FROM filled"
 SQL["q21_deal"] = f"WITH {_FILLED} SELECT row_id, n, CASE WHEN (row_number() OVER (PARTITION BY n ORDER BY h, row_id) - 1) % 2 = 0 THEN 'A' ELSE 'B' END AS hand FROM filled"
 SQL["q22_split_hash"] = f"SELECT row_id, CAST(CASE WHEN row_number() OVER (ORDER BY {order('7')}, row_id) - 1 < floor(count(*) OVER () * 0.8) THEN 1 ELSE 2 END AS BIGINT) AS part FROM pool_pairs"
-SQL["q23_heldout_antijoin"] = f"WITH {POOLED} SELECT split_name, count(*) AS n FROM pooled p WHERE NOT EXISTS (SELECT 1 FROM pooled h WHERE h.split_name <> 'train' AND h.s = p.s AND h.t = p.t) GROUP BY 1"
+SQL["q23_heldout_antijoin"] = f"WITH {POOLED} SELECT split_name, count(*) AS n FROM (SELECT * FROM pooled QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY row_id) = 1) p WHERE NOT EXISTS (SELECT 1 FROM pooled h WHERE h.split_name <> 'train' AND h.s = p.s AND h.t = p.t) GROUP BY 1"
 SQL["q54_upweight_pairs"] = """WITH c AS (SELECT count(*) FILTER (split_name = 'train') AS rest, count(*) FILTER (split_name IS DISTINCT FROM 'train') AS sel FROM pool_pairs),
 f AS (SELECT rest, sel, greatest(1, least(7, round_even(0.3 * rest / (0.7 * sel), 0))) AS times FROM c)
 SELECT 'rest' AS k, rest AS n FROM f UNION ALL SELECT 'selected', CAST(sel * times AS BIGINT) FROM f"""
 
-_KNN = """cosines AS (SELECT a.vec_id, q.vec_id AS query_id, round(list_inner_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS c FROM embeddings a, embeddings q WHERE a.vec_id % 5 <> 0 AND q.vec_id % 5 = 0),
+_KNN = """cosines AS (SELECT a.vec_id, q.vec_id AS query_id, round(list_inner_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS c FROM embeddings a, embeddings q WHERE a.vec_id <> q.vec_id AND q.vec_id % 100 = 0),
 tops AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, query_id) AS k FROM cosines),
 knn AS (SELECT vec_id, round(avg(c) FILTER (k <= 5), 6) AS score, max(CASE WHEN k = 1 THEN query_id END) AS query_id FROM tops GROUP BY 1),
 chosen AS (SELECT vec_id, score, query_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM knn) WHERE k <= 3 ORDER BY score DESC, vec_id LIMIT 100)"""
@@ -161,7 +161,7 @@ SQL["q24_knn_score"] = f"WITH {_KNN} SELECT vec_id, score, query_id FROM knn"
 SQL["q25_knn_capped"] = f"WITH {_KNN} SELECT vec_id, score, query_id FROM chosen"
 SQL["q26_upweight"] = f"""WITH {_KNN}, f AS (SELECT greatest(1, least(7, round_even(0.6 * (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM chosen)) / (0.4 * (SELECT count(*) FROM chosen)), 0))) AS times)
 SELECT vec_id, CAST(CASE WHEN vec_id IN (SELECT vec_id FROM chosen) THEN (SELECT times FROM f) ELSE 1 END AS BIGINT) AS copies FROM embeddings"""
-SQL["q27_random_control"] = f"SELECT vec_id FROM embeddings WHERE vec_id % 5 <> 0 ORDER BY {order('control', 'vec_id')}, vec_id LIMIT 100"
+SQL["q27_random_control"] = f"SELECT vec_id FROM embeddings ORDER BY {order('control', 'vec_id')}, vec_id LIMIT 100"
 
 
 def _word_rows(name: str, texts: str) -> str:
@@ -199,7 +199,8 @@ _CAND = f"""cand AS (SELECT * FROM (SELECT CAST(floor((row_id - 1) / 8) AS BIGIN
 SQL["q34_char_ngrams"] = f"""WITH {_CAND}, x AS (SELECT pool, j, replace(text, ' ', '') AS s, unnest([1, 2, 3, 4, 5, 6]) AS o FROM cand)
 SELECT pool, j, CAST(o AS BIGINT) AS ord, CAST(greatest(length(s) - o + 1, 0) AS BIGINT) AS total, CAST(len(list_distinct(list_transform(range(1, greatest(length(s) - o + 1, 0) + 1), lambda i: substr(s, i, o)))) AS BIGINT) AS distinct_grams FROM x"""
 _PUNCT = r"[!-/:-@\[-`{-~]"
-_CHRF = f"""{_CAND}, tok AS (SELECT pool, j, replace(text, ' ', '') AS s, flatten(list_transform(string_split(text, ' '), lambda w: CASE WHEN length(w) > 1 AND regexp_matches(w, '{_PUNCT}$') THEN [left(w, length(w) - 1), right(w, 1)]
+def _chrf(cand: str) -> str:
+    return f"""{cand}, tok AS (SELECT pool, j, replace(text, ' ', '') AS s, flatten(list_transform(string_split(text, ' '), lambda w: CASE WHEN length(w) > 1 AND regexp_matches(w, '{_PUNCT}$') THEN [left(w, length(w) - 1), right(w, 1)]
     WHEN length(w) > 1 AND regexp_matches(w, '^{_PUNCT}') THEN [left(w, 1), substr(w, 2)] ELSE [w] END)) AS w FROM cand),
 grams AS ({" UNION ALL ".join(f"SELECT pool, j, {n} AS o, unnest(list_transform(range(1, length(s) - {n} + 2), lambda i: substr(s, i, {n}))) AS g FROM tok" for n in range(1, 7))}
     UNION ALL SELECT pool, j, 7, unnest(w) FROM tok UNION ALL SELECT pool, j, 8, unnest(list_transform(range(1, len(w)), lambda i: w[i] || chr(9) || w[i + 1])) FROM tok),
@@ -209,6 +210,9 @@ ord AS (SELECT a.pool, a.j AS h, b.j AS r, coalesce(m, 0) / a.n AS p, coalesce(m
     LEFT JOIN hit ON hit.pool = a.pool AND hit.h = a.j AND hit.r = b.j AND hit.o = a.o),
 chrf AS (SELECT pool, h, r, CASE WHEN avg(p) + avg(q) > 0 THEN 500 * avg(p) * avg(q) / (4 * avg(p) + avg(q)) ELSE 0 END AS s FROM ord GROUP BY ALL),
 util AS (SELECT c.pool, c.j, c.text, coalesce(round(avg(s), 9), 0.0) AS u, count(*) OVER (PARTITION BY c.pool, c.text) AS n FROM cand c LEFT JOIN chrf ON chrf.pool = c.pool AND chrf.h = c.j GROUP BY c.pool, c.j, c.text)"""
+
+
+_CHRF = _chrf(_CAND)
 SQL["q35_chrf_pairs"] = f"WITH {_CHRF} SELECT pool, h, r, round(s, 6) AS chrf FROM chrf"
 SQL["q36_mbr_select"] = f"WITH {_CHRF} SELECT pool, j, round(u, 6) AS utility FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY u DESC, n DESC, j) AS k FROM util) WHERE k = 1"
 SQL["q58_winner_report"] = f"WITH {_CHRF}, w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY u DESC, n DESC, j) AS k FROM util) WHERE k = 1) SELECT count(*) AS pools, round(avg(CASE WHEN j = 0 THEN 1.0 ELSE 0.0 END), 6) AS agreement, round(avg(j), 6) AS mean_place FROM w"
@@ -267,16 +271,17 @@ w AS (SELECT *, {", ".join(f"count(*) FILTER (offset_ = {s}) OVER (ORDER BY vec_
 g AS (SELECT *, CASE WHEN n0 >= n1 AND n0 >= n2 THEN -1 WHEN n1 >= n2 THEN 0 ELSE 1 END AS regime FROM w), h AS (SELECT *, CASE regime WHEN -1 THEN cos_0 WHEN 0 THEN cos_1 ELSE cos_2 END AS chosen FROM g)
 SELECT vec_id, CAST(offset_ AS BIGINT) AS "offset", CAST(regime AS BIGINT) AS regime, chosen, chosen >= 0.15 AND round(best - chosen, 9) <= 0.05 AS keep FROM h"""
 _CHECKS = [
+    ("columns", "error", "0", "true"), ("not_nfc", "warning", "not_nfc", "not_nfc = 0"),
     ("row_count", "error", "abs(rows_ - n_source)", "rows_ = n_source"), ("missing_ids", "error", "missing", "missing = 0"), ("extra_ids", "error", "extra", "extra = 0"),
     ("order", "error", "moved", "moved = 0"), ("empty", "error", "empty", "empty = 0"), ("nan_like", "error", "nan_like", "nan_like = 0"), ("devanagari", "error", "devanagari", "devanagari = 0"),
     ("arabic_share", "error", "arabic", "arabic * 1.0 / chars >= 0.5"), ("latin_share", "warning", "latin", "latin * 1.0 / chars <= 0.02"), ("density", "warning", "marks", "marks * 1.0 / chars * 100 >= 1.0"),
     ("duplicates", "warning", "rows_ - texts", "rows_ - texts <= rows_ * 0.05"),
 ]
-SQL["q44_validator"] = f"""WITH src AS (SELECT row_id, row_id AS pos FROM pool_pairs WHERE split_name = 'eval'),
-giv AS (SELECT row_id, CASE WHEN row_id % 10 = 3 THEN row_id + 1 ELSE row_id END AS pos, coalesce(t, '') AS x FROM pool_pairs WHERE split_name = 'eval' OR row_id % 997 = 0),
+SQL["q44_validator"] = f"""WITH src AS (SELECT row_id, row_id AS pos FROM pool_pairs),
+giv AS (SELECT CASE WHEN row_id % 997 = 0 THEN -row_id ELSE row_id END AS row_id, CASE WHEN row_id % 10 = 3 THEN row_id + 1 ELSE row_id END AS pos, coalesce(t, '') AS x FROM pool_pairs),
 d AS (SELECT count(*) FILTER (g.row_id IS NULL) AS missing, count(*) FILTER (s.row_id IS NULL) AS extra, count(*) FILTER (s.pos <> g.pos) AS moved FROM src s FULL JOIN giv g ON s.row_id = g.row_id),
 a AS (SELECT count(*) AS rows_, count(DISTINCT x) AS texts, count(*) FILTER ({clean('x')} = '') AS empty, count(*) FILTER (lower({flat('x')}) IN ('', 'nan', 'none', 'null')) AS nan_like, sum(length(x)) AS chars,
-    sum({count('x', T.DEVANAGARI)}) AS devanagari, sum({count('x', T.ARABIC_BASIC)}) AS arabic, sum({count('x', 'A-Za-z')}) AS latin, sum({count('x', MN)}) AS marks FROM giv),
+    sum({count('x', T.DEVANAGARI)}) AS devanagari, sum({count('x', T.ARABIC_BASIC)}) AS arabic, sum({count('x', 'A-Za-z')}) AS latin, sum({count('x', MN)}) AS marks, count(*) FILTER (nfc_normalize(x) <> x) AS not_nfc FROM giv),
 e AS (SELECT * FROM a, d, (SELECT count(*) AS n_source FROM src))
 {" UNION ALL ".join(f'SELECT {chr(39)}{k}{chr(39)} AS "check", {chr(39)}{s}{chr(39)} AS severity, CAST({n} AS BIGINT) AS n, {p} AS pass FROM e' for k, s, n, p in _CHECKS)}"""
 SQL["q46_loose_key"] = f"SELECT row_id, md5({loose('tgt')}) AS key_md5 FROM raw_pairs"
@@ -296,3 +301,66 @@ SQL["q52_text_reasons"] = f"""SELECT CASE WHEN length(text) < 80 THEN 'short' WH
 SQL["q56_twin_files"] = """WITH n AS (SELECT file_id, count(*) FILTER (side = 'eng_Latn') AS s_lines, count(*) FILTER (side = 'kas_Arab') AS t_lines FROM twin_lines GROUP BY 1),
 p AS (SELECT file_id, count(*) AS paired FROM (SELECT file_id, line_no FROM twin_lines WHERE side = 'eng_Latn') JOIN (SELECT file_id, line_no FROM twin_lines WHERE side = 'kas_Arab') USING (file_id, line_no) GROUP BY 1)
 SELECT file_id, s_lines, t_lines, coalesce(paired, 0) AS paired, s_lines = t_lines AS "equal" FROM n LEFT JOIN p USING (file_id)"""
+
+SQL["q61_jsonl"] = "SELECT coalesce(config, '(none)') AS config, count(*) AS n, count(src) AS n_src, count(tgt) AS n_tgt, CAST(coalesce(sum(length(src)), 0) AS BIGINT) AS chars_src, CAST(coalesce(sum(length(tgt)), 0) AS BIGINT) AS chars_tgt FROM raw_pairs GROUP BY 1"
+SQL["q62_tsv"] = f"WITH {PAIRS} SELECT src_lang, tgt_lang, count(*) AS n, CAST(sum(length(src)) AS BIGINT) AS chars_src, CAST(sum(length(tgt)) AS BIGINT) AS chars_tgt FROM pairs WHERE src_lang IS NOT NULL AND tgt_lang IS NOT NULL GROUP BY 1, 2"
+SQL["q63_twin_zip"] = f"WITH {POOLED} SELECT row_number() OVER (ORDER BY row_id) AS row_id, md5(s) AS s_md5, md5(t) AS t_md5 FROM pooled"
+SQL["q64_submission_csv"] = f"SELECT CAST(row_id AS VARCHAR) AS \"ID\", md5({flat('t')}) AS text_md5 FROM pool_pairs"
+SQL["q65_lexicon_json"] = f"""WITH {_LEX} SELECT '*' AS prev, key, '*' AS next, form FROM uni UNION ALL SELECT prev, key, next, form FROM both_
+UNION ALL SELECT prev, key, '*', form FROM left_ UNION ALL SELECT '*', key, next, form FROM right_"""
+SQL["q66_pool_files"] = f"""WITH {_CAND} SELECT pool, CAST(2 * count(*) AS BIGINT) AS n, md5(arg_min(src, j)) AS src_md5,
+    md5(string_agg(text, '|' ORDER BY j) || '|' || string_agg(text, '|' ORDER BY j)) AS candidates_md5 FROM cand GROUP BY 1"""
+SQL["q67_score_cache"] = "SELECT row_id, round(length(t) * 1.0 / greatest(length(s), 1), 6) AS score FROM pool_pairs WHERE s IS NOT NULL AND t IS NOT NULL"
+SQL["q68_same_files"] = "SELECT sha256('lines ' || n || chr(10)) AS sha256, count(*) AS files, CAST(1 AS BIGINT) AS firsts FROM (SELECT line_no, count(line) AS n FROM twin_lines WHERE side = 'kas_Arab' GROUP BY 1) GROUP BY n"
+SQL["q69_cross_corpus"] = f"""SELECT coalesce(config, '(none)') AS config, count(*) AS n FROM pool_pairs p WHERE split_name = 'train'
+    AND NOT EXISTS (SELECT 1 FROM pool_pairs h WHERE h.split_name <> 'train' AND h.s = p.s AND {strip('h.t')} = {strip('p.t')}) GROUP BY 1"""
+SQL["q70_leak_gate"] = f"WITH {_CHEAP}, {_LEFT2}, {_near('near_', 'rest2', 0.6)} SELECT count(*) AS n FROM (SELECT row_id FROM exact UNION SELECT row_id FROM loose_ UNION SELECT row_id FROM near_)"
+SQL["q71_score_scope"] = """SELECT coalesce(provenance, '(none)') AS provenance, count(*) AS n, count(*) FILTER (labse IS NULL OR labse >= 0.8) AS passed_all,
+    count(*) FILTER (labse IS NULL OR labse >= 0.8 OR provenance IS DISTINCT FROM 'mined') AS passed_mined FROM raw_pairs GROUP BY 1"""
+SQL["q72_normalize"] = f"""SELECT row_id, md5(regexp_replace(regexp_replace(translate(replace(nfc_normalize(CASE WHEN tgt IS NULL OR lower(tgt) = 'nan' THEN '' ELSE tgt END), chr(8205), ''), '{T.PUNCT_FROM}', '{T.PUNCT_TO}'),
+    '[ \t]{{2,}}', ' ', 'g'), '^{T.WS}+|{T.WS}+$', '', 'g')) AS text_md5 FROM raw_pairs"""
+_OF = lambda s: f"CAST(sum((length(t) - length(replace(t, '{s}', ''))) // {len(s)}) AS BIGINT)"
+SQL["q73_compositions"] = " UNION ALL ".join(
+    f"SELECT coalesce(t_lang, '(none)') AS t_lang, '{ord(a):04x}' AS letter, {_OF(a)} AS composed, {_OF(b)} AS sequence FROM pool_pairs WHERE {clean('t')} <> '' GROUP BY 1" for a, b in COMPOSED
+)
+_BY_KEY = f"cand AS (SELECT pool, j, CASE WHEN {flat(strip('text'))} = '' THEN text ELSE {strip('text')} END AS text, src FROM (WITH {_CAND} SELECT * FROM cand))"
+SQL["q74_mbr_by_key"] = f"WITH {_chrf(_BY_KEY)} SELECT pool, j, round(u, 6) AS utility FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY u DESC, n DESC, j) AS k FROM util) WHERE k = 1"
+SQL["q75_shuffle"] = f"SELECT row_id, row_number() OVER (ORDER BY {order('shuffle')}, row_id) - 1 AS place FROM pool_pairs"
+SQL["q76_line_accuracy"] = f"WITH {_FOUND} SELECT round(avg(CASE WHEN u.text = r.text THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_UNSEEN_TEXT}) u JOIN restored r USING (row_id)"
+SQL["q77_share_alike"] = """SELECT coalesce(config, 'none') IN ('daily', 'nllb-seed') OR string_split(coalesce(source_file, 'none'), ':')[1] IN ('daily', 'nllb-seed') AS share_alike, count(*) AS n FROM raw_pairs GROUP BY 1"""
+SQL["q78_left_out"] = f"""WITH {_FOUND} SELECT CASE WHEN found IS NOT NULL THEN 'known' ELSE 'tail' END AS side, count(*) AS pairs,
+    count(*) FILTER ({strip('form')} IS DISTINCT FROM {strip('coalesce(found, key)')}) AS left_out FROM found GROUP BY 1"""
+SQL["q79_top_scores"] = "SELECT row_id, labse FROM raw_pairs WHERE labse IS NOT NULL ORDER BY labse DESC, row_id LIMIT 50"
+SQL["q80_winner_places"] = f"WITH {_CHRF} SELECT j, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY u DESC, n DESC, j) AS k FROM util) WHERE k = 1 GROUP BY 1"
+
+
+def _corpus(pairs: str) -> str:
+    """Corpus BLEU (13a) and chrF++ of a select of h and r."""
+    signs = r"([{{-~\[-` -&(-+:-@/])".replace("{{", "{")
+    cut = lambda c: f"regexp_replace({c}, '{signs}', ' \\1 ', 'g')"
+    for a, b in (("([^0-9])([.,])", r"\1 \2 "), ("([.,])([^0-9])", r" \1 \2"), ("([0-9])(-)", r"\1 \2 ")):
+        cut = lambda c, cut=cut, a=a, b=b: f"regexp_replace({cut(c)}, '{a}', '{b}', 'g')"
+    plain = "replace(replace(replace(replace(replace(replace(replace(x, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
+    tok = lambda c: f"list_filter(string_split({c}, ' '), lambda w: w <> '')"
+    word = f"""flatten(list_transform({tok('x')}, lambda w: CASE WHEN length(w) > 1 AND regexp_matches(w, '{_PUNCT}$') THEN [left(w, length(w) - 1), right(w, 1)]
+    WHEN length(w) > 1 AND regexp_matches(w, '^{_PUNCT}') THEN [left(w, 1), substr(w, 2)] ELSE [w] END))"""
+    run = lambda c, n: f"unnest(list_transform(range(1, len({c}) - {n} + 2), lambda i: array_to_string({c}[i:i + {n} - 1], chr(9))))"
+    parts = [f"SELECT i, side, {n} AS o, unnest(list_transform(range(1, length(s) - {n} + 2), lambda i: substr(s, i, {n}))) AS g FROM lines" for n in range(1, 7)]
+    parts += [f"SELECT i, side, {6 + n}, {run('w', n)} FROM lines" for n in (1, 2)] + [f"SELECT i, side, {10 + n}, {run('b', n)} FROM lines" for n in range(1, 5)]
+    return f"""hr AS (SELECT row_number() OVER () AS i, h, r FROM ({pairs})), sides AS (SELECT i, 'h' AS side, h AS x FROM hr UNION ALL SELECT i, 'r', r FROM hr),
+lines AS (SELECT i, side, replace(x, ' ', '') AS s, {word} AS w, {tok(cut("' ' || " + plain + " || ' '"))} AS b FROM sides),
+grams AS ({" UNION ALL ".join(parts)}), gc AS (SELECT i, side, o, g, count(*) AS c FROM grams GROUP BY ALL),
+tot AS (SELECT o, coalesce(sum(c) FILTER (side = 'h'), 0) AS nh, coalesce(sum(c) FILTER (side = 'r'), 0) AS nr FROM gc GROUP BY 1),
+hit AS (SELECT a.o, sum(least(a.c, b.c)) AS m FROM gc a JOIN gc b ON a.i = b.i AND a.o = b.o AND a.g = b.g AND a.side = 'h' AND b.side = 'r' GROUP BY 1),
+st AS (SELECT o, nh, nr, coalesce(m, 0) AS m FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 13, 14]) AS o) LEFT JOIN tot USING (o) LEFT JOIN hit USING (o)),
+c AS (SELECT coalesce(avg(m / nh), 0) AS p, coalesce(avg(m / nr), 0) AS q FROM st WHERE o <= 8 AND nh > 0 AND nr > 0),
+k AS (SELECT *, CAST(sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (ORDER BY o) AS INT) AS z FROM st WHERE o > 10),
+l AS (SELECT sum(len(b)) FILTER (side = 'h') AS h, sum(len(b)) FILTER (side = 'r') AS r FROM lines),
+bl AS (SELECT CASE WHEN min(coalesce(nh, 0)) = 0 OR min(CASE WHEN o = 11 THEN m END) = 0 THEN 0.0
+    ELSE 100 * exp(avg(ln(CASE WHEN m = 0 THEN 1.0 / (power(2, z) * nh) ELSE m * 1.0 / nh END))) * (SELECT CASE WHEN h < r THEN exp(1 - r * 1.0 / h) ELSE 1.0 END FROM l) END AS bleu FROM k),
+two AS (SELECT bleu, CASE WHEN p + q > 0 THEN 500 * p * q / (4 * p + q) ELSE 0.0 END AS chrf FROM bl, c)
+SELECT (SELECT count(*) FROM hr) AS lines, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, round(sqrt(bleu * chrf), 6) AS geo, (SELECT round(avg(length(h)), 6) FROM hr) AS mean_chars,
+    (SELECT round(sum(length(h)) * 1.0 / sum(length(r)), 6) FROM hr) AS ratio FROM two"""
+
+
+SQL["q40_corpus_scores"] = f"WITH {_FOUND}, {_corpus(f'SELECT res.text AS h, u.text AS r FROM ({_UNSEEN_TEXT}) u JOIN restored res USING (row_id)')}"

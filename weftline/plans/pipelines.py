@@ -41,6 +41,7 @@ def without_leaks(pairs: DataFrame, lines: DataFrame, least: float = 0.8) -> tup
 class HoldOutConfig:
     total: int = 2000
     longest: int = 60
+    # fixed values: the configurations in their order of preference
     preferred: str = "bpcc-seed-latest"
     others: tuple[str, ...] = ("bpcc-seed-v1", "bpcc-seed-v2", "nllb-seed", "daily")
     share: float = 0.4

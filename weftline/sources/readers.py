@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -17,10 +19,13 @@ def strings(*columns: str) -> t.StructType:
 
 
 def numbered(df: DataFrame, name: str = "row_id", start: int = 1) -> DataFrame:
-    """Adds consecutive numbers in the order of the rows; two passes, no single-task sort."""
-    columns = df.columns
-    pairs = df.rdd.zipWithIndex().map(lambda x: (x[1] + start, *x[0]))
-    return df.sparkSession.createDataFrame(pairs, t.StructType([t.StructField(name, t.LongType(), False), *df.schema.fields])).select(name, *columns)
+    """Adds consecutive numbers in the order of the rows: each split is counted, then moved by the splits before it."""
+    columns, split = df.columns, F.shiftright("_m", 33)
+    marked = df.withColumn("_m", F.monotonically_increasing_id())
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    base = marked.groupBy(split.alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.col("_base") + F.col("_m").bitwiseAND((1 << 33) - 1) + start
+    return marked.withColumn("_p", split).join(F.broadcast(base), "_p").select(own.alias(name), *columns)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,8 +71,7 @@ def tsv(spark: SparkSession, path: str, columns: tuple[str, ...] = ("src_lang",
         df = spark.read.schema(strings(*names, "_bad")).options(**options, **extra).csv(path)
         return df.where(F.col("_bad").isNull() & F.col(names[-1]).isNotNull())
 
-    best = max((read(q).cache() for q in (True, False)), key=lambda df: df.count())
-    return best.select(*columns)
+    return max((read(q) for q in (True, False)), key=lambda df: df.count()).select(*columns)
 
 
 def csv_text(spark: SparkSession, path: str, text: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
@@ -121,7 +125,10 @@ def pools(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def prefix_candidates(pooled: DataFrame, n: int) -> DataFrame:
+def prefix_candidates(pooled: DataFrame, n: int, files: int = 1) -> DataFrame:
+    """The first n candidates of each pool; of pools put together from several files there is no first, which is an error."""
+    if files > 1:
+        raise ValueError("a prefix of candidates needs a single file of pools")
     return pooled.withColumn("candidates", F.slice("candidates", 1, n))
 
 
@@ -148,21 +155,48 @@ def given(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts, 1)), "row_id long, text string")
 
 
+def scalar(text: str):
+    """A YAML scalar, or a list of them in brackets, as a number, boolean, None, string or list."""
+    text = text.strip()
+    if text[:1] == "[" and text[-1:] == "]":
+        return [scalar(x) for x in text[1:-1].split(",") if x.strip()]
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return {"true": True, "false": False, "null": None, "~": None, "": None}.get(text.lower(), text.strip("'\""))
+
+
 def settings(path: str) -> dict:
-    """A flat YAML file of `name: value` lines as a dict of numbers, booleans and strings; nested ones are an error."""
-    out: dict = {}
+    """A YAML file of `name: value` lines as a dict; indented names make dicts, lines of `- value` lists.
+
+    A name given twice, a line of another form or an indentation that fits no name is an error.
+    """
     with open(path, encoding="utf-8") as f:
-        for line in f:
-            body = line.split("#", 1)[0].rstrip()
-            if not body.strip():
-                continue
-            if body[0].isspace() or ":" not in body:
-                raise ValueError(f"not a flat setting: {line.strip()}")
-            name, value = (x.strip() for x in body.split(":", 1))
-            for kind in (int, float):
-                try:
-                    out[name] = kind(value)
-                    break
-                except ValueError:
-                    out[name] = {"true": True, "false": False, "null": None, "": None}.get(value.lower(), value.strip("'\""))
+        lines = [x for x in (re.sub(r"(^|\s)#.*$", "", line.rstrip("\n")).rstrip() for line in f) if x]
+    depth = lambda x: len(x) - len(x.lstrip(" "))
+
+    def block(at: int, indent: int):
+        if lines[at].lstrip().startswith("- "):
+            out: list = []
+            while at < len(lines) and depth(lines[at]) == indent and lines[at].lstrip().startswith("- "):
+                out.append(scalar(lines[at].lstrip()[2:]))
+                at += 1
+            return out, at
+        found: dict = {}
+        while at < len(lines) and depth(lines[at]) == indent:
+            name, colon, value = lines[at].strip().partition(":")
+            if not colon or name in found or value[:1] not in ("", " "):
+                raise ValueError(f"not a setting: {lines[at].strip()}")
+            at += 1
+            if value.strip() or at == len(lines) or depth(lines[at]) <= indent:
+                found[name] = scalar(value)
+            else:
+                found[name], at = block(at, depth(lines[at]))
+        return found, at
+
+    out, at = block(0, 0) if lines else ({}, 0)
+    if at < len(lines):
+        raise ValueError(f"not a setting: {lines[at].strip()}")
     return out

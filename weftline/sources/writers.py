@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.lexicon import Lexicon
@@ -16,27 +18,32 @@ def jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def _stream(df: DataFrame, path: Path, line) -> str:
-    """Writes rows to one file in their order, a partition at a time on the driver; returns the SHA-256."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    digest = hashlib.sha256()
-    with path.open("wb") as out:
+def tsv(df: DataFrame, path: str) -> None:
+    """Tab-separated parts, each with a header; texts with quotes, tabs or line ends are quoted, quotes in them doubled."""
+    df.write.mode("overwrite").options(sep="\t", header="true", quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+
+
+def _stream(df: DataFrame, *files: tuple[Path, Callable[[Row], str]]) -> tuple[int, list[str]]:
+    """Writes the rows to files in their order, in one pass, a partition at a time; returns the rows and the SHA-256 of each file."""
+    digests, n = [hashlib.sha256() for _ in files], 0
+    with contextlib.ExitStack() as stack:
+        for path, _ in files:
+            path.parent.mkdir(parents=True, exist_ok=True)
+        out = [stack.enter_context(path.open("wb")) for path, _ in files]
         for row in df.toLocalIterator(prefetchPartitions=True):
-            data = line(row).encode()
-            out.write(data)
-            digest.update(data)
-    return digest.hexdigest()
+            n += 1
+            for file, digest, (_, line) in zip(out, digests, files):
+                data = line(row).encode()
+                file.write(data)
+                digest.update(data)
+    return n, [d.hexdigest() for d in digests]
 
 
 def twins(df: DataFrame, folder: str, split: str, left: str = "eng_Latn", right: str = "kas_Arab", order: str = "row_id") -> dict:
     """Writes <split>.<left> and <split>.<right> line by line in order; returns pairs, files and hashes."""
-    rows = df.orderBy(order).select("s", "t")
-    out: dict = {"pairs": rows.count(), "files": [], "sha256": {}}
-    for column, side in (("s", left), ("t", right)):
-        name = f"{split}.{side}"
-        out["sha256"][name] = _stream(rows.select(column), Path(folder, name), lambda r: r[0] + "\n")
-        out["files"].append(name)
-    return out
+    names = [f"{split}.{side}" for side in (left, right)]
+    n, digests = _stream(df.orderBy(order).select("s", "t"), *((Path(folder, name), lambda r, k=k: r[k] + "\n") for k, name in enumerate(names)))
+    return {"pairs": n, "files": names, "sha256": dict(zip(names, digests))}
 
 
 def submission(df: DataFrame, path: str, order: str = "pos", columns: tuple[str, str] = ("ID", "kashmiri_text")) -> str:
@@ -52,7 +59,7 @@ def submission(df: DataFrame, path: str, order: str = "pos", columns: tuple[str,
         start = head.pop() if head else ""
         return start + f"{cell(r[0])},{cell(r[1])}\n"
 
-    return _stream(df.orderBy(order).select(*columns), Path(path), line)
+    return _stream(df.orderBy(order).select(*columns), (Path(path), line))[1][0]
 
 
 def manifest(facts: dict, path: str) -> None:
