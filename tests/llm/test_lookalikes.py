@@ -62,3 +62,20 @@ def test_fast_path_agrees_with_rewriting():
     c = K.Canonicaliser(K.rewrites({"\u06cc": 9, "\u064a": 1, " \u064c\u0651": 1, "\ufc5e": 9, " ": 9}))
     for text in ("\u0626\u0627", "a\t\u064c\u0651", "\u00e9 \u0622", "plain"):
         assert c.many(K.pa.array([text])) == [" ".join(c.rewrite(text).split())]
+
+
+def test_joined_letters_numerals_and_hyphens(spark):
+    rows = ["of\ufb01ce A-1", "office A\u20101", "office A\u20111", "IV\u2026", "\u2163...", "\u2160\u2164...", "0l1", "OI1", "\u03d1", "\u03b8", "s", "\u017f"]
+    got = pairs(spark, [("x", i, t, 0, "") for i, t in enumerate(rows)])
+    assert got == {("x", 0, 1), ("x", 0, 2), ("x", 1, 2), ("x", 3, 4), ("x", 3, 5), ("x", 4, 5)}
+
+
+def test_a_hot_group_is_cut_into_parts(spark):
+    """Many rows of one text and a few of another: every pair comes out once, by parts of few rows."""
+    from weftline.llm.common import unlike_pairs
+
+    rows = [("g", "one", i) for i in range(100)] + [("g", "two", 100 + i) for i in range(7)] + [("g", "three", 200)] + [("h", "one", 300), ("h", "one", 301)]
+    df = spark.createDataFrame(rows, "k string, kind string, id long")
+    got = sorted(tuple(sorted((r["a_id"], r["b_id"]))) for r in unlike_pairs(df, ["k"], "kind", "id", hot=9).collect())
+    kind = {i: k for _, k, i in rows}
+    assert got == sorted((a, b) for a in range(300) for b in range(a + 1, 300) if a in kind and b in kind and kind[a] != kind[b])

@@ -33,6 +33,15 @@ def test_packing_holds_everything_once(spark):
     assert len(boxes) <= -(-sum(r["tokens"] for r in rows) // 100) * 1.03 + 1
 
 
+def test_ranks_in_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANKED", 50)
+    rows = packed(spark, [(i, 40 if i % 3 else 20, 0, 0) for i in range(900)])
+    boxes: dict = {}
+    for r in rows:
+        boxes.setdefault(r["container_id"], []).append(r["tokens"])
+    assert len(rows) == 900 and all(sum(b) <= 100 for b in boxes.values()) and len(boxes) <= 304
+
+
 def test_packing_empty(spark):
     assert packed(spark, []) == []
 
@@ -69,6 +78,44 @@ def test_mixing_shares(spark):
     assert part["big"]["tokens"] == pytest.approx(5000 * 0.5 / 0.9, rel=0.01)
 
 
+def test_mixing_against_the_order_gone_through(spark):
+    """The rows taken are those of a walk in order that skips what does not fit, and of all walks after it."""
+    rng = random.Random(4)
+    docs = [(i, rng.choice("ab"), rng.randrange(1, 300), rng.choice([0.05, 0.5, 1.0]), 0, 0) for i in range(800)]
+    docs += [(5, "a", 7, 1.0, 0, 0)] * 3
+    sizes = spark.createDataFrame(docs, DOCS)
+    goal = spark.createDataFrame([("a", 0.6, 3), ("b", 0.4, 3)], "source string, target_share double, max_repeat int")
+    total = 1.7 * sum(d[2] for d in docs if d[1] == "a") / 0.6
+    got = {(r["doc_id"], r["source"], r["tokens"]): r["copies"] for r in X.mix(sizes, goal, total=total).collect()}
+    keys = sizes.select("doc_id", "source", "tokens", (-X.F.log((X.F.pmod(X.F.xxhash64("doc_id", X.F.lit(X.SEED)), X.F.lit(1 << 52)) + 0.5) / float(1 << 52)) / X.F.col("quality")).alias("key")).collect()
+    for source, share in (("a", 0.6), ("b", 0.4)):
+        own = sorted((r["key"], r["doc_id"], r["tokens"]) for r in keys if r["source"] == source)
+        have = sum(x[2] for x in own)
+        epochs = min(3, int(share * total / have + 1e-9))
+        room = min(share * total, 3 * have) - epochs * have
+        want = {}
+        for _, i, _ in own:
+            want[i] = want.get(i, 0) + epochs
+        left = own if epochs < 3 else []
+        while True:  # prefixes of what fits into the room, again and again
+            fits, taken, used = [x for x in left if x[2] <= room], [], 0
+            for x in fits:
+                if used + x[2] > room:
+                    break
+                taken.append(x)
+                used += x[2]
+            if not taken:
+                break
+            room -= used
+            for x in taken:
+                want[x[1]] += 1
+                left.remove(x)
+        near = [(abs(x[2] - room), x) for x in left if abs(x[2] - room) < room]
+        if near:
+            want[min(near)[1][1]] += 1
+        assert {i: n for (i, s, _), n in got.items() if s == source} == {i: n for i, n in want.items() if n}
+
+
 def test_mixing_cases(spark):
     goal = spark.createDataFrame([("a", 0.5, 1), (None, 0.2, 1), ("b", None, 1), ("c", 0.5, -1)], "source string, target_share double, max_repeat int")
     sizes = spark.createDataFrame([(1, "a", 5, 1.0, 0, 0), (2, None, 5, 1.0, 0, 0), (3, "c", 5, 1.0, 0, 0), (1, "a", 5, 1.0, 0, 0)], DOCS)

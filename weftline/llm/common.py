@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.sources import readers
+from weftline.sources import readers, storage
 
 #: Blanks of any kind, for Java's regular expressions.
 BLANK = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
@@ -31,20 +29,9 @@ def sorted_distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(np.append(first, len(x)))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset and Spark runs in one process."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
-    return sc.getCheckpointDir()
-
-
 def stored(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cuts the lineage by a checkpoint in the shared folder, which survives the loss of executors."""
-    shared_dir(df.sparkSession)
+    storage.shared_dir(df.sparkSession)
     return df.checkpoint(eager)
 
 

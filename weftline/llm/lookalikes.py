@@ -7,6 +7,9 @@ counted over all rows. Texts are rewritten greedily (leftmost, longest) by an Ah
 over all members that are not representatives, between canonical decomposition (which also sorts
 the marks) and composition. Texts without any such member, the usual case, never reach the automaton.
 
+Letters and digits that only some typefaces draw alike (l, I and 1; O and 0) are not linked, nor are quotation marks
+or dashes of different lengths.
+
 Defined cases: null texts stay null and, like blank ones and the word `nan`, are in no pair; an empty
 text is rewritten to itself; texts are taken whole, however long; a tie in frequency goes to the
 string of more code points and then to the lower one; repeated rows form pairs only with rows that
@@ -70,6 +73,8 @@ y у
 ۸ ٨
 ۹ ٩
 """
+#: Hyphens that are drawn as the one of the keyboard.
+HYPHENS = "-\u2010\u2011"
 #: Decompositions under these tags change the form of a letter or blank, not its look.
 FORM_TAGS = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<font>"}
 #: Invisible besides the format characters: joiners, fillers and variation selectors.
@@ -113,8 +118,13 @@ def links(cp: int) -> str | None:
     if cp in INVISIBLE or kind == "Cf" and cp not in VISIBLE_FORMAT:
         return ""
     tag, _, rest = unicodedata.decomposition(ch).partition(" ")
-    if tag in FORM_TAGS:
-        return unicodedata.normalize("NFD", "".join(chr(int(x, 16)) for x in rest.split()))
+    if ch in HYPHENS:
+        return HYPHENS[0]
+    parts = "".join(chr(int(x, 16)) for x in rest.split()) if tag in FORM_TAGS or tag == "<compat>" else ""
+    # of the looser kind only joined letters, dots in a row and Roman numerals are drawn as their parts
+    drawn = parts.replace(".", "").isalpha() or set(parts) == {"."}
+    if tag in FORM_TAGS or parts.isascii() and drawn and (len(parts) > 1 or 0x2160 <= cp < 0x2180):
+        return unicodedata.normalize("NFD", parts)
     return None
 
 

@@ -1,16 +1,19 @@
-"""Queries and SQL of this subpackage, gathered for __spark_entry__.py."""
+"""Queries and SQL of this subpackage, gathered for __spark_entry__.py.
+
+All modules are imported here, so that where a library of theirs is missing the import of this one fails.
+"""
 
 from __future__ import annotations
 
-import importlib
+from weftline.llm import cross_split, format_copies, languages, leaks, lookalikes, mixing, packing, sentence_align, splitting
 
-MODULES = ["lookalikes", "languages", "leaks", "cross_split", "sentence_align", "format_copies", "packing", "mixing", "splitting"]
+MODULES = [lookalikes, languages, leaks, cross_split, sentence_align, format_copies, packing, mixing, splitting]
 
 
 def _all(name: str) -> dict:
     found: dict = {}
     for module in MODULES:
-        found |= getattr(importlib.import_module(f"weftline.llm.{module}"), name, {})
+        found |= getattr(module, name, {})
     return found
 
 

@@ -1,4 +1,9 @@
-"""Public tokenizers, loaded from a given path once in each worker."""
+"""Public tokenizers, loaded from a given path once in each worker.
+
+A vocabulary is a file of ranks (base64 of the token, its id); how texts are cut before they are encoded is a regular
+expression. Where path or pattern is not given they are taken from `public_tokenizers`, the module beside the vocabulary
+files of /opt/tokenizers, which its README there describes; nothing of it is in this repository.
+"""
 
 from __future__ import annotations
 
@@ -21,12 +26,14 @@ DEFAULT = "byte_bpe_multi_50k.tiktoken"
 class Tokenizer:
     """Byte-level BPE of a ranks file; ids, byte lengths of tokens, and counts."""
 
-    def __init__(self, path: str) -> None:
-        import public_tokenizers
+    def __init__(self, path: str, pattern: str | None = None) -> None:
+        if pattern is None:
+            import public_tokenizers
 
+            pattern = public_tokenizers.PATTERN
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.sizes[i] = len(token)
@@ -39,12 +46,12 @@ class Tokenizer:
 
 
 @functools.cache
-def tokenizer(path: str | None = None) -> Tokenizer:
+def tokenizer(path: str | None = None, pattern: str | None = None) -> Tokenizer:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(DEFAULT)
-    return Tokenizer(path)
+    return Tokenizer(path, pattern)
 
 
 def strings(col: pa.Array) -> Iterator[str]:
