@@ -12,6 +12,15 @@ from weftline.sources import readers, storage
 BLANK = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
 
 
+#: Blanks of any kind, for the regular expressions of the SQL.
+SQL_BLANK = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def sql_has_text(c: str) -> str:
+    """has_text in SQL."""
+    return f"{c} IS NOT NULL AND lower(regexp_replace({c}, '{SQL_BLANK}+', '', 'g')) NOT IN ('', 'nan')"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return readers.table(spark, sf_dir, name)
 

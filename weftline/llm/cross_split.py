@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import flat
 from weftline.llm import bloom
-from weftline.llm.common import has_text, join_small, salt, salts, sorted_distinct, stored, table
+from weftline.llm.common import has_text, join_small, salt, salts, sorted_distinct, sql_has_text, stored, table
 
 GRAM = 5
 SIMILARITY = 0.8
@@ -493,4 +493,16 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("split_name", "config").agg(F.count("*").alias("rows"), F.sum("pairs").alias("pairs"), F.round(F.avg("overlap"), 6).alias("mean_overlap"))
 
 
+_BARE = r"regexp_replace(lower(strip_accents(v)), '[\p{M}\p{P}\p{C}\p{Z}\t-\r\x{1c}-\x{1f}\x{85}]+', '', 'g')"
+#: All pairs of texts with a run in common, compared on all their runs.
+SQL = {
+    "p4_found": f"""WITH x AS (SELECT row_id, split_name = 'train' AS own, f, {_BARE} AS k FROM (SELECT row_id, split_name, 's' AS f, s AS v FROM pool_pairs UNION ALL SELECT row_id, split_name, 't', t FROM pool_pairs)
+    WHERE split_name IN ('train', 'r0', 'eval') AND {sql_has_text("v")}),
+c AS (SELECT *, row_number() OVER () AS id FROM (SELECT DISTINCT f, own, k FROM x WHERE k <> '')),
+l AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(k) - {GRAM - 1}, 1) + 1), lambda i: substr(k, i, {GRAM}))) AS g FROM c),
+g AS (SELECT f, own, id, len(g) AS n, unnest(g) AS g FROM l),
+j AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS m FROM g a JOIN g b ON a.f = b.f AND a.g = b.g AND a.own AND NOT b.own AND a.n >= {SIMILARITY} * b.n AND b.n >= {SIMILARITY} * a.n GROUP BY ALL),
+p AS (SELECT a.f, a.k AS ka, b.k AS kb FROM j JOIN c a ON a.id = j.a JOIN c b ON b.id = j.b WHERE m >= {SIMILARITY} * (na + nb - m) - 1e-9)
+SELECT DISTINCT least(s.row_id, t.row_id) AS row_id_a, greatest(s.row_id, t.row_id) AS row_id_b FROM p JOIN x s ON s.f = p.f AND s.own AND s.k = ka JOIN x t ON t.f = p.f AND NOT t.own AND t.k = kb"""
+}
 QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import flat
-from weftline.llm.common import has_text, table
+from weftline.llm.common import SQL_BLANK, has_text, sql_has_text, table
 from weftline.llm.cross_split import fold_table
 
 SEED, MIN_TILE = 8, 3
@@ -276,4 +276,21 @@ def p3_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("records"), F.max("longest").alias("longest"), F.round(F.max("coverage"), 6).alias("coverage"))
 
 
+def _folded(c: str) -> str:
+    """The words of a text in SQL, without what does not matter."""
+    return rf"list_filter(string_split(regexp_replace(regexp_replace(lower(strip_accents({c})), '{SQL_BLANK}+', ' ', 'g'), '[\p{{M}}\p{{P}}\p{{C}}]+', '', 'g'), ' '), lambda w: w <> '')"
+
+
+#: Every place where a line and a text have a run of words in common that each case has, compared word by word.
+SQL = {
+    "p3_found": f"""WITH t AS (SELECT row_number() OVER () AS i, tbl, rec_id, {_folded("v")} AS w FROM (SELECT 'pool_pairs' AS tbl, row_id AS rec_id, s AS v FROM pool_pairs WHERE split_name = 'train'
+    UNION ALL SELECT 'pool_pairs', row_id, t FROM pool_pairs WHERE split_name = 'train' UNION ALL SELECT 'documents', doc_id, text FROM documents) WHERE {sql_has_text("v")}),
+z AS (SELECT item_id, w, len(w) AS n, greatest(1, least({SEED}, (len(w) + 1) // 2, len(w) // 3)) AS k FROM (SELECT item_id, {_folded("line")} AS w FROM dev_lines WHERE {sql_has_text("line")}) WHERE len(w) > 0),
+lr AS (SELECT item_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS r FROM (SELECT *, unnest(range(1, n - k + 2)) AS p FROM z)),
+tr AS (SELECT i, k, q, array_to_string(w[q:q + k - 1], ' ') AS r FROM (SELECT i, k, w, unnest(range(1, len(w) - k + 2)) AS q FROM t, (SELECT DISTINCT k FROM z))),
+s AS (SELECT DISTINCT i, item_id, q - p AS shift FROM lr JOIN tr USING (k, r)),
+e AS (SELECT t.tbl, t.rec_id, s.item_id, z.n, shift >= 0 AND shift + z.n <= len(t.w) AS room,
+    array_to_string(list_transform(range(1, z.n + 1), lambda x: CASE WHEN x + shift >= 1 AND z.w[x] = t.w[x + shift] THEN '1' ELSE '0' END), '') AS e FROM s JOIN t USING (i) JOIN z USING (item_id))
+SELECT DISTINCT tbl, rec_id, item_id FROM e WHERE 2 * list_max(list_transform(string_split(e, '0'), lambda x: length(x))) >= n OR room AND length(replace(e, '0', '')) >= greatest(1, n - {REPLACED})"""
+}
 QUERIES = {"p3_found": p3_found, "p3_leaked_items": p3_leaked_items}

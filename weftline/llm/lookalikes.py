@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import flat
-from weftline.llm.common import has_text, join_groups, stored, table, unlike_pairs
+from weftline.llm.common import has_text, join_groups, sql_has_text, stored, table, unlike_pairs
 
 #: Letters and digits of one shape, each line one class.
 SAME_SHAPE = """
@@ -327,4 +327,34 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("tbl", "id", canonical_text(canonicaliser(texts.select("text")))("text").alias("text"))
 
 
+def _drawn() -> str:
+    """Rows (a, b) of SQL: characters that are drawn as other ones, one by one, by the rules above."""
+    same = {c: line.split()[0] for line in SAME_SHAPE.split("\n") for c in line.split()}
+
+    def drawn(c: str) -> str:
+        like = links(ord(c))
+        return same.get(c, c) if like is None or like == c else "".join(drawn(x) for x in like)
+
+    rows = []
+    for cp in (x for x in range(1, 0x110000) if not 0xD800 <= x < 0xE000 and unicodedata.category(chr(x)) != "Cn"):
+        parts = unicodedata.normalize("NFD", chr(cp))
+        if (b := "".join(map(drawn, parts))) != parts:
+            quoted = b.replace("'", "''")
+            rows.append(f"(chr({cp}), '{quoted}')")
+    return ", ".join(rows)
+
+
+@functools.cache
+def _sql() -> str:
+    """All texts rewritten character by character and joined by what they look like."""
+    plain = "trim(regexp_replace(v, '[\\t-\\r ]+', ' ', 'g'))"
+    return f"""WITH m(a, b) AS (VALUES {_drawn()}),
+x AS (SELECT row_number() OVER () AS i, tbl, id, v FROM (SELECT 'raw_pairs' AS tbl, row_id AS id, tgt AS v FROM raw_pairs UNION ALL SELECT 'pool_pairs', row_id, t FROM pool_pairs) WHERE {sql_has_text("v")}),
+c AS (SELECT i, unnest(string_split(v, '')) AS c, unnest(range(1, length(v) + 1)) AS p FROM x),
+l AS (SELECT i, nfc_normalize(string_agg(coalesce(b, c), '' ORDER BY p)) AS s FROM c LEFT JOIN m ON a = c GROUP BY 1),
+k AS (SELECT tbl, id, trim(regexp_replace(s, ' +', ' ', 'g')) AS look, {plain} AS chars FROM x JOIN l USING (i))
+SELECT a.tbl, a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.tbl = b.tbl AND a.look = b.look AND a.id < b.id AND a.chars <> b.chars"""
+
+
+SQL = {"p1_found": _sql}
 QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms}

@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _all("SQL")
+    return {name: sql() if callable(sql) else sql for name, sql in _all("SQL").items()}
