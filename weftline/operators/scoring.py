@@ -113,16 +113,17 @@ def features(candidates: DataFrame, known_words: DataFrame, target_density: floa
     """
     kept = candidates.where(T.not_blank("text"))
     shared = consensus(pools(kept)).select("pool", "j", (F.col("utility") / 100).alias("consensus"))
-    w = kept.select("pool", F.col("j").cast("long").alias("j"), F.explode(F.transform(T.words("text"), T.strip_key)).alias("key"))
-    hit = known_words.select("key", F.lit(1).alias("hit"))
-    cover = w.join(hit, "key", "left").groupBy("pool", "j").agg((F.count("hit") / F.count("*")).alias("lexcov"))
     own = kept.select(
         "pool", F.col("j").cast("long").alias("j"),
         minus_relative_distance(T.density("text"), target_density).alias("density"),
         minus_relative_distance(F.length("text") / F.greatest(F.length("src"), F.lit(1)), target_ratio).alias("length"),
-        (-T.marker_fraction("text")).alias("marker"),
+        (-T.marker_fraction("text")).alias("marker"), F.transform(T.words("text"), T.strip_key).alias("keys"),
     )
-    rows = own.join(shared, ["pool", "j"]).join(cover, ["pool", "j"], "left").na.fill(0.0, ["lexcov"])
+    # the features of a text travel with its words, so that only the consensus is joined
+    words = own.select("pool", "j", "density", "length", "marker", F.explode("keys").alias("key"))
+    hit = known_words.select("key", F.lit(1).alias("hit"))
+    cover = words.join(hit, "key", "left").groupBy("pool", "j").agg((F.count("hit") / F.count("*")).alias("lexcov"), *(F.first(c).alias(c) for c in ("density", "length", "marker")))
+    rows = cover.join(shared, ["pool", "j"])
     return rows.select("pool", "j", *(F.round(F.col(c), 6).alias(c) for c in FEATURES))
 
 
