@@ -46,7 +46,7 @@ def test_cases(spark):
     rows = [
         (1, "train", same, None), (2, "eval", same.upper() + "!", None), (2, "eval", same, None), (3, "r0", None, same), (4, None, same, None), (5, "train", "nan", "nan"), (6, "eval", "nan", ""),
         (7, "train", "...", None), (8, "eval", "...", None), (9, "train", "ab", None), (10, "eval", "AB", None), (11, "train", "x" * 100_000, None), (12, "eval", "x" * 99_000, None),
-        (13, "other", same, None),
+        (13, "other", same, None), (None, "train", same, None), (None, "eval", same, None),
     ]
     assert found(spark, rows) == {(1, 2), (9, 10), (11, 12)}
 

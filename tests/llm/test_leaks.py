@@ -24,6 +24,11 @@ def test_cases(spark):
     assert got == found(spark, [("t", i, t, 0, 0) for i, t in enumerate(texts)], block_lines=2)
 
 
+def test_null_ids(spark):
+    got = found(spark, [(None, 1, "short line", 0, 0), ("t", None, "short line", 0, 0)], LINES + [(None, "short line")])
+    assert got == {(1, 3), (None, 3)}
+
+
 def test_empty(spark):
     assert found(spark, []) == set()
     assert found(spark, [("t", 1, "one two three", 0, 0)], lines=[(4, None)]) == set()

@@ -20,8 +20,8 @@ word said twice, or runs that the other text has elsewhere. So spans that hold a
 texts of few different characters, and short texts are taken to differ by FEW_COST runs a place.
 
 Defined cases: null, blank and `nan` texts, and texts without a letter or digit, match nothing;
-texts under five characters have themselves as their only run; records with an unknown or null split
-are ignored; repeated rows each give their pairs; a row never pairs with itself; other columns are
+texts under five characters have themselves as their only run; records with an unknown or null split,
+or without a row_id, are ignored; repeated rows each give their pairs; a row never pairs with itself; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -433,7 +433,7 @@ def cross_pairs(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     overlap is the share of the held-out record e made up of chunks shared with the train record t.
     """
     fields = F.explode(F.array(*(F.struct(F.lit(f).alias("fld"), F.col(f).alias("text")) for f in ("s", "t")))).alias("f")
-    texts = records.select("row_id", "split_name", fields).select("row_id", "split_name", "f.*").where(has_text("text"))
+    texts = records.select("row_id", "split_name", fields).select("row_id", "split_name", "f.*").where(has_text("text") & F.col("row_id").isNotNull())
     columns = ["row_id", "fld", "text"]
     ours, theirs = texts.where(F.col("split_name").isin("r0", "eval")).select(columns), texts.where("split_name = 'train'").select(columns)
     share = records.sparkSession.sparkContext.broadcast

@@ -10,7 +10,7 @@ marked in both, until none of MIN_TILE words is left. The tiles' share of the li
 which also finds passages in another order.
 
 Defined cases: letter case, punctuation, marks and kinds of blanks do not matter; null, blank and `nan`
-texts and lines hold nothing; of a line of one or two words one word is enough; a text that
+texts and lines hold nothing, nor do lines without an item_id; of a line of one or two words one word is enough; a text that
 holds a line several times gives one row; repeated rows each give theirs; texts are taken whole, in
 memory one at a time if they are long; other columns are ignored; empty tables give empty results.
 """
@@ -238,7 +238,7 @@ def leaks(texts: DataFrame, lines: DataFrame, least_coverage: float | None = Non
     has a bounded size whatever their number.
     """
     spark = texts.sparkSession
-    lines = lines.where(has_text("line")).select("item_id", "line")
+    lines = lines.where(has_text("line") & F.col("item_id").isNotNull()).select("item_id", "line")
     blocks = max(1, -(-lines.count() // block_lines))
     found = None
     for b in range(blocks):

@@ -94,32 +94,34 @@ def pieces(text: str, own: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP
     whole = byte[np.minimum(char, len(cps))] == offset
     strength = np.where(whole, boundary_strength(text)[np.minimum(char, len(cps))], 0)
     least = -(-(n - overlap) // (limit - overlap))
-    best: tuple[int, list[tuple[int, int, int, int]]] | None = None
-    m = least
-    while True:
-        ends = plan(strength, whole, n, m, limit, overlap)
-        if ends is not None:
-            out, begin, natural = [], 0, 0
-            for k, end in enumerate(ends):
-                start = begin if k == 0 else begin - overlap
-                while start > 0 and not whole[start]:
-                    start -= 1
-                a, b = int(char[start]), int(char[end])
-                size = own.count(text[a:b])
-                if size > limit:
-                    break
-                out.append((a, b, int(char[begin]), size))
-                natural += end == n or strength[end] >= SENTENCE
-                begin = end
-            else:
-                weak = len(ends) - natural
-                if best is None or weak < best[0]:
-                    best = (weak, out)
-        if best is not None and (best[0] == 0 or m >= least + EXTRA):
-            return best[1]
-        m += 1
-        if m > n:
-            raise ValueError(f"no pieces of {limit} tokens with an overlap of {overlap} can be made")
+
+    def weak(ends: list[int]) -> int:
+        return len(ends) - sum(end == n or strength[end] >= SENTENCE for end in ends)
+
+    def made(ends: list[int]) -> list[tuple[int, int, int, int]] | None:
+        """The pieces, or None if one of them, tokenised by itself, breaks the limit."""
+        out, begin = [], 0
+        for k, end in enumerate(ends):
+            start = begin if k == 0 else begin - overlap
+            while start > 0 and not whole[start]:
+                start -= 1
+            a, b = int(char[start]), int(char[end])
+            size = own.count(text[a:b])
+            if size > limit:
+                return None
+            out.append((a, b, int(char[begin]), size))
+            begin = end
+        return out
+
+    # plans of up to EXTRA pieces more, those with the fewest cuts at no natural end first; then of ever more pieces
+    plans = [x for m in range(least, least + EXTRA + 1) if m <= n and (x := plan(strength, whole, n, m, limit, overlap)) is not None]
+    for ends in sorted(plans, key=weak):
+        if (out := made(ends)) is not None:
+            return out
+    for m in range(least + EXTRA + 1, n + 1):
+        if (ends := plan(strength, whole, n, m, limit, overlap)) is not None and (out := made(ends)) is not None:
+            return out
+    raise ValueError(f"no pieces of {limit} tokens with an overlap of {overlap} can be made")
 
 
 PIECES = "doc_id long, piece_no int, pieces int, n_tokens int, start_char long, new_from long, end_char long, text string"
