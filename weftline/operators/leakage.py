@@ -36,6 +36,11 @@ def assert_disjoint(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
         raise AssertionError("the two sets share " + ", ".join(keys))
 
 
+def shared_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(n): distinct keys that both have; assert_disjoint is for where there must be none."""
+    return a.select(*keys).join(b.select(*keys), keys, "left_semi").distinct().agg(F.count("*").alias("n"))
+
+
 def overlap_count(rows: DataFrame, held: DataFrame, text: str, other: str) -> DataFrame:
     """(n): rows whose text, case and blanks disregarded, is among the others."""
     key = lambda c: F.lower(T.flatten(c)).alias("_k")

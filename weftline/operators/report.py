@@ -110,6 +110,16 @@ def validate(source: DataFrame, given: DataFrame, least_density: float = 1.0, te
     return one.select(rows.alias("x")).select("x.*")
 
 
+def gates(before: DataFrame, after: DataFrame, text: str = "text", most_drift: float = 2.0) -> DataFrame:
+    """(gate, before, after, pass) of a restoration: the density of marks must rise, the length may drift so many percent."""
+    sums = lambda df, p: df.agg(F.sum(T.mark_count(text)).alias(f"m{p}"), F.sum(F.length(T.strip_key(text))).alias(f"b{p}"), F.sum(F.length(text)).alias(f"c{p}"))
+    one = sums(before, 0).crossJoin(sums(after, 1))  # one row each
+    density = lambda p: F.round(F.col(f"m{p}") * 100.0 / F.greatest(F.col(f"c{p}"), F.lit(1)), 6)
+    drift = F.abs(F.col("b1") - F.col("b0")) * 100.0 / F.greatest(F.col("b0"), F.lit(1))
+    rows = [("density", density(0), density(1), density(1) > density(0)), ("base_length", F.col("b0").cast("double"), F.col("b1").cast("double"), drift <= most_drift)]
+    return one.select(F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), a.alias("before"), b.alias("after"), p.alias("pass")) for g, a, b, p in rows))).alias("x")).select("x.*")
+
+
 def gate(value: float, limit: float, what: str) -> None:
     if value > limit:
         raise AssertionError(f"{what}: {value} is above {limit}")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import labels as L
 from weftline.functions import text as T
-from weftline.operators import align, dedup, filters, leakage, lexicon, ranking, report, sampling, scoring, selection
+from weftline.operators import align, dedup, filters, leakage, lexicon, models, ranking, report, sampling, scoring, selection
+from weftline.plans import pipelines
 from weftline.plans.file_queries import FILE_QUERIES
 from weftline.sources import readers
 
@@ -515,6 +516,40 @@ def q81(spark, d):
     return spark.createDataFrame([(r["name"], r["tuned"], r["held"], r["all"], r["tried"]) for r in found], "name string, tuned double, held double, whole double, tried long")
 
 
+def q85(spark, d):
+    """Pairs of the train split that a held-out row has as well."""
+    p = filters.nonempty(pool(spark, d).select("split_name", "s", "t"), "s", "t")
+    return leakage.shared_keys(p.where("split_name = 'train'"), p.where("split_name <> 'train'"), ["s", "t"])
+
+
+def q86(spark, d):
+    """Gates of a restoration, from the texts without marks to the restored ones."""
+    unseen = _unseen(spark, d).where("text <> ''")
+    return report.gates(unseen.select(T.strip_key("text").alias("text")), lexicon.restored(unseen, _lexicon(spark, d)).select("text"))
+
+
+def _by_code(texts):
+    """A stand-in for a tagger: the label of a character is its code point modulo 4."""
+    return [[[float(ord(c) % 4 == k) for k in range(4)] for c in t] for t in texts]
+
+
+def q87(spark, d):
+    """Marks put in by a tagger against the given ones, with and without a bias against marks."""
+    found = pipelines.evaluate_restoration(_unseen(spark, d).where("text <> ''"), lambda: _by_code, [0.0, 2.0])
+    return found.select("bias", "mark", "gold", "pred", "hit", "p", "r", "f1")
+
+
+def q88(spark, d):
+    """Encoder, translator and sampler in their places, with stand-ins for the models."""
+    rows = pool(spark, d).where("s is not null").select("row_id", F.col("s").alias("text"))
+    sizes = lambda: lambda xs: [[float(len(x)), float(x.count(" "))] for x in xs]
+    out = models.embed(rows, sizes)
+    out = models.translate(out, lambda: lambda xs: [x.replace(" ", "_") for x in xs])
+    out = models.sample_candidates(out, lambda: lambda xs: [[x, x + x] for x in xs])
+    size = [F.element_at("embedding", k).cast("long").alias(f"v{k}") for k in (1, 2)]
+    return out.select("row_id", *size, F.md5("translation").alias("translation_md5"), F.aggregate("candidates", F.lit(0), lambda n, x: n + F.length(x)).cast("long").alias("chars"))
+
+
 # functions --------------------------------------------------------------------------------------
 
 
@@ -561,6 +596,7 @@ NAMES = {
     "q57_vocabulary": q57, "q58_winner_report": q58, "q59_oracle_select": q59, "q60_mean_ratio": q60, **FILE_QUERIES,
     "q69_cross_corpus": q69, "q70_leak_gate": q70, "q71_score_scope": q71, "q72_normalize": q72, "q73_compositions": q73, "q74_mbr_by_key": q74,
     "q75_shuffle": q75, "q76_line_accuracy": q76, "q77_share_alike": q77, "q78_left_out": q78, "q79_top_scores": q79, "q80_winner_places": q80, "q81_tuning": q81,
+    "q85_shared_keys": q85, "q86_gates": q86, "q87_tagger": q87, "q88_models": q88,
 }
 
 

@@ -96,6 +96,36 @@ def q68(spark: SparkSession, d: str) -> DataFrame:
     return files.groupBy("sha256").agg(F.count("*").alias("files"), F.countDistinct("first").alias("firsts"))
 
 
+def q82(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with their source and tag from JSON lines and from plain lines."""
+    folder = storage.work_dir(spark)
+    rows = filters.nonempty(readers.table(spark, d, "raw_pairs"), "src", "tgt")
+    writers.jsonl(rows.select("src", "tgt", "config", "provenance", "source_file"), folder + "/a.jsonl")
+    _pool(spark, d).select(F.col("t").alias("value")).write.text(folder + "/b.txt")
+    both = readers.any_text(spark, folder + "/a.jsonl", "pairs").unionByName(readers.any_text(spark, folder + "/b.txt", "lines"))
+    return both.groupBy("source", F.coalesce("tag", F.lit("(none)")).alias("tag")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def q83(spark: SparkSession, d: str) -> DataFrame:
+    """Tuned weights as a settings file, read again."""
+    from weftline.plans.catalogue import WEIGHTS
+
+    path = storage.work_dir(spark) + "/weights.yaml"
+    writers.tuned(WEIGHTS, path, "given by hand")
+    return spark.createDataFrame([(k, float(v)) for k, v in readers.settings(path).items()], "name string, value double")
+
+
+def q84(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors kept by the text: equal texts are embedded once."""
+    path = storage.work_dir(spark) + "/vectors"
+    rows = readers.table(spark, d, "pool_pairs").where("s is not null").select("row_id", F.col("s").alias("text"))
+    sizes = F.array(F.length("text"), F.length(F.replace("text", F.lit(" "), F.lit(""))))
+    embed = lambda new: new.select("key", sizes.cast("array<float>").alias("embedding"))
+    found = writers.cached_vectors(spark, rows, embed, path)
+    return found.select("row_id", *(F.element_at("embedding", k).cast("long").alias(f"v{k}") for k in (1, 2)))
+
+
 FILE_QUERIES = {
     "q61_jsonl": q61, "q62_tsv": q62, "q63_twin_zip": q63, "q64_submission_csv": q64, "q65_lexicon_json": q65, "q66_pool_files": q66, "q67_score_cache": q67, "q68_same_files": q68,
+    "q82_any_text": q82, "q83_settings": q83, "q84_vector_cache": q84,
 }

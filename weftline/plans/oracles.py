@@ -364,3 +364,28 @@ SELECT (SELECT count(*) FROM hr) AS lines, round(bleu, 6) AS bleu, round(chrf, 6
 
 
 SQL["q40_corpus_scores"] = f"WITH {_FOUND}, {_corpus(f'SELECT res.text AS h, u.text AS r FROM ({_UNSEEN_TEXT}) u JOIN restored res USING (row_id)')}"
+SQL["q82_any_text"] = f"""WITH {PAIRS}, {POOLED} SELECT 'pairs' AS source, coalesce('pairs:' || config, '(none)') AS tag, count(*) AS n, CAST(sum(length(tgt)) AS BIGINT) AS chars FROM pairs GROUP BY 1, 2
+UNION ALL SELECT 'lines', 'lines', count(*), CAST(sum(length(t)) AS BIGINT) FROM pooled"""
+SQL["q83_settings"] = " UNION ALL ".join(f"SELECT 'w_{k}' AS name, CAST({v} AS DOUBLE) AS value" for k, v in WEIGHTS.items())
+SQL["q84_vector_cache"] = "SELECT row_id, length(s) AS v1, length(replace(s, ' ', '')) AS v2 FROM pool_pairs WHERE s IS NOT NULL"
+SQL["q85_shared_keys"] = f"WITH {POOLED} SELECT count(*) AS n FROM (SELECT s, t FROM pooled WHERE split_name = 'train' INTERSECT SELECT s, t FROM pooled WHERE split_name <> 'train')"
+_SUMS = lambda p: f"SELECT sum({count(p, M)}) AS m, sum(length({strip(p)})) AS b, sum(length({p})) AS c"
+SQL["q86_gates"] = f"""WITH {_FOUND}, u AS (SELECT {strip('text')} AS text FROM ({_UNSEEN_TEXT}) WHERE text <> ''), x AS ({_SUMS('text')} FROM u), y AS ({_SUMS('text')} FROM restored),
+d AS (SELECT round(x.m * 100.0 / greatest(x.c, 1), 6) AS a, round(y.m * 100.0 / greatest(y.c, 1), 6) AS b, CAST(x.b AS DOUBLE) AS e, CAST(y.b AS DOUBLE) AS f FROM x, y)
+SELECT 'density' AS gate, a AS before, b AS after, b > a AS pass FROM d UNION ALL SELECT 'base_length', e, f, abs(f - e) * 100.0 / greatest(e, 1) <= 2 FROM d"""
+
+
+def _tagged(bias: float) -> str:
+    """Marks by code points, as _prf counts them; the bias is put on no mark."""
+    label = f"(CASE WHEN regexp_matches(left(x, 1), '{T.WS}') OR 1.0 <= {bias} THEN 0 ELSE unicode(left(x, 1)) % 4 END)"
+    p, r = "CASE WHEN pred > 0 THEN hit * 100.0 / pred ELSE 0.0 END", "CASE WHEN gold > 0 THEN hit * 100.0 / gold ELSE 0.0 END"
+    names = "".join(f" WHEN {i} THEN '{n}'" for i, n in enumerate(T.MARK_NAMES, 1))
+    return f"""SELECT {bias} AS bias, mark, gold, pred, hit, round_even(round(p, 9), 2) AS p, round_even(round(r, 9), 2) AS r, round_even(round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 9), 2) AS f1 FROM (
+WITH z AS (SELECT {_label('x')} AS g, {label} AS p FROM (SELECT unnest(regexp_extract_all(text, '(?s)[^{M}][{M}]?')) AS x FROM ({_UNSEEN_TEXT}) WHERE text <> '')),
+c AS (SELECT m, count(*) FILTER (g = m) AS gold, count(*) FILTER (p = m) AS pred, count(*) FILTER (g = m AND p = m) AS hit FROM z, (SELECT unnest([1, 2, 3]) AS m) WHERE g = m OR p = m GROUP BY 1),
+n AS (SELECT CASE m{names} END AS mark, gold, pred, hit FROM c UNION ALL SELECT 'MICRO', CAST(sum(gold) AS BIGINT), CAST(sum(pred) AS BIGINT), CAST(sum(hit) AS BIGINT) FROM c)
+SELECT *, {p} AS p, {r} AS r FROM n)"""
+
+
+SQL["q87_tagger"] = f"{_tagged(0.0)} UNION ALL {_tagged(2.0)}"
+SQL["q88_models"] = "SELECT row_id, length(s) AS v1, length(s) - length(replace(s, ' ', '')) AS v2, md5(replace(s, ' ', '_')) AS translation_md5, 3 * length(s) AS chars FROM pool_pairs WHERE s IS NOT NULL"
