@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +48,19 @@ def stored(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+@contextlib.contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows as a table in the shared folder, which is removed at the end of the block; words that occur often take little of it."""
+    spark = df.sparkSession
+    path = f"{storage.shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: A key with at least so many rows is hot; and the most keys taken as hot, so many rows of a few bytes are broadcast.
 HOT, MOST_HOT = 20_000, 50_000
 
