@@ -97,3 +97,8 @@ def test_training_takes_the_sample_by_hash_in_one_scan(spark):
     rows = [(i, f"l{i % 3}", f"text number {i}") for i in range(900)]
     df = spark.createDataFrame(rows, "rec_id long, lang string, text string")
     assert L.train(df, texts=20).languages == ["l0", "l1", "l2"]
+    rows = df.selectExpr("lang", "xxhash64(rec_id) h", "rec_id", "text").coalesce(1)
+    for n in (1, 7, 400):
+        got = sorted(tuple(r) for r in rows.mapInArrow(L.least_of_each(n), rows.schema).collect())
+        every = sorted(tuple(r) for r in rows.collect())
+        assert got == [r for i, r in enumerate(every) if sum(q[0] == r[0] for q in every[:i]) < n]

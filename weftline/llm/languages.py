@@ -331,12 +331,43 @@ def segmented(shared) -> object:
     return run
 
 
+def least_of_each(n: int):
+    """mapInArrow: (lang, h, rec_id, text) -> the n rows of the least h, then rec_id, of each label of the partition.
+
+    Some n rows a label are held at most; texts that cannot be among them are not looked at.
+    """
+
+    def cut(kept: list[pa.RecordBatch]) -> tuple[pa.Table, dict[str, int]]:
+        rows = pa.Table.from_batches(kept).sort_by([("lang", "ascending"), ("h", "ascending"), ("rec_id", "ascending")])
+        label = rows.column("lang").combine_chunks().dictionary_encode().indices.to_numpy()
+        place = np.arange(len(label)) - np.searchsorted(label, label)
+        rows, last = rows.filter(pa.array(place < n)), rows.filter(pa.array(place == n - 1))
+        return rows, dict(zip(last.column("lang").to_pylist(), last.column("h").to_pylist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        most: dict[str, int] = {}
+        for batch in batches:
+            label = batch.column(0).dictionary_encode()
+            limit = np.array([most.get(x, np.iinfo(np.int64).max) for x in label.dictionary.to_pylist()], np.int64)
+            rows = batch.filter(pa.array(batch.column(1).to_numpy() <= limit[label.indices.to_numpy()]))
+            if len(rows):
+                kept.append(rows)
+            if sum(map(len, kept)) > 4 * n * max(1, len(most)):
+                rows, most = cut(kept)
+                kept = rows.combine_chunks().to_batches()
+        if kept:
+            yield from cut(kept)[0].to_batches()
+
+    return run
+
+
 def train(labels: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS) -> Model | None:
     """(rec_id, lang, text): a model from at most `texts` rows a label, chosen by a hash of rec_id, in one scan."""
     ok = labels.where(has_text("text") & F.col("lang").isNotNull() & (F.length("text") <= chars))
-    order = Window.partitionBy("lang").orderBy("h", "rec_id")  # cut to `texts` rows a label before the shuffle
-    few = ok.select("lang", "text", "rec_id", F.xxhash64("rec_id").alias("h")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
-    rows = few.select("text", "lang").limit(MOST_LABELS * texts).collect()
+    few = ok.select("lang", F.xxhash64("rec_id").alias("h"), "rec_id", "text").mapInArrow(least_of_each(texts), "lang string, h long, rec_id long, text string")
+    order = Window.partitionBy("lang").orderBy("h", "rec_id")
+    rows = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts).select("text", "lang").limit(MOST_LABELS * texts).collect()
     names = {r["lang"] for r in rows}
     if len(names) >= MOST_LABELS:
         raise ValueError(f"{len(names)} labels or more are no languages")
