@@ -71,3 +71,10 @@ def test_decisions(spark):
         L.decide(L.softmax("x")), L.decide(L.softmax("x"), threshold=0.3), L.decide(L.softmax("x"), per_mark=[0.9, 0.9, 0.2]), L.decide(L.softmax("x", -5.0))
     ).collect()
     assert [tuple(r) for r in rows] == [(0, 1, 3, 1), (0, 1, 0, 1), (2, 2, 0, 2)]  # the last: 0.87 is less than 0.9, 0.04 less than 0.2
+
+
+@given(st.lists(st.text(alphabet="aÉßﬁ ِؤئآ_-.,각가क़ाো\n ٣½Ⅳ😀", max_size=12), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_exact_keys_of_many_texts(texts):
+    got = T.loose_key_exact.func(T.pa.array([*texts, None], T.pa.string())).to_pylist()
+    assert got == [*map(T.exact_key, texts), None]

@@ -3,13 +3,17 @@ which Spark lacks and Arrow UDFs supply."""
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from weftline.functions import flat
+
 #: Blanks of Unicode as one class: Java's \s and that of other engines leave some out.
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Kasra, damma, fatha, in the order of their labels 1, 2, 3.
@@ -128,18 +132,57 @@ def loose_key(c: Column | str) -> Column:
     return F.trim(F.lower(F.regexp_replace(s, r"[^\p{L}\p{N}_]+", " ")))
 
 
-@F.arrow_udf(StringType())
-def loose_key_exact(c: pa.Array) -> pa.Array:
-    """As loose_key by Unicode's rules: decomposed, combining marks dropped, recomposed, case-folded."""
+def exact_key(t: str) -> str:
+    """loose_key of one text by Unicode's rules: decomposed, combining marks dropped, recomposed, case-folded."""
+    t = "".join(x for x in unicodedata.normalize("NFD", t) if not unicodedata.combining(x))
+    t = unicodedata.normalize("NFC", t)
+    return " ".join("".join(x if x.isalnum() or x == "_" else " " for x in t).split()).casefold()
+
+
+@functools.cache
+def _joining() -> frozenset[int]:
+    """Code points without a class that compose with the one before them, from Unicode's tables."""
+    parts = (unicodedata.decomposition(chr(cp)).split() for cp in range(0x110000))
+    seconds = {int(p[1], 16) for p in parts if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(cp for cp in seconds if not unicodedata.combining(chr(cp))) | frozenset([*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])
+
 
-    def key(t: str | None) -> str | None:
-        if t is None:
-            return None
-        t = "".join(x for x in unicodedata.normalize("NFD", t) if not unicodedata.combining(x))
-        t = unicodedata.normalize("NFC", t)
-        return " ".join("".join(x if x.isalnum() or x == "_" else " " for x in t).split()).casefold()
+#: What a code point becomes in exact_key, once it was met: itself folded, 0 for nothing, 32 for a blank, ODD where its text
+#: must be taken as a whole.
+UNMET, ODD = 0xFFFFFFFF, 0xFFFFFFFE
+_folded: np.ndarray | None = None
 
-    return pa.array([key(t) for t in c.to_pylist()], pa.string())
+
+def _fold(cps: np.ndarray) -> np.ndarray:
+    global _folded
+    if _folded is None:
+        _folded = np.full(0x110000, UNMET, np.uint32)
+    for cp in np.flatnonzero(np.bincount(cps[_folded[cps] == UNMET])).tolist():
+        key = exact_key(f"a{chr(cp)}a")[1:-1]  # between letters, so that a blank stays
+        _folded[cp] = ODD if cp in _joining() or len(key) > 1 else ord(key) if key else 0
+    return _folded[cps]
+
+
+@F.arrow_udf(StringType())
+def loose_key_exact(c: pa.Array) -> pa.Array:
+    """exact_key of a column, all texts of a part at once but for those with a code point that depends on its neighbours."""
+    out: list[str] = []
+    for _, part in flat.slices(c):
+        cps, starts = flat.decode(part)
+        value = _fold(cps)
+        odd = np.add.reduceat(np.append(value == ODD, False), starts[:-1]) * (np.diff(starts) > 0)
+        value, starts = flat.compact(value, starts, (value != 0) & (value != ODD))
+        row = flat.row_ids(starts)
+        solid = value != 32
+        after = np.append(True, (row[1:] != row[:-1]) | ~solid[:-1]) if len(row) else np.zeros(0, bool)  # at the start or after a blank
+        value, starts = flat.compact(value, starts, solid | ~after)
+        text, ends = value.tobytes().decode("utf-32-le", "surrogatepass"), starts.tolist()
+        keys = [text[a:b].rstrip(" ") for a, b in zip(ends, ends[1:])]
+        whole = np.flatnonzero(odd)
+        for k, t in zip(whole.tolist(), part.take(pa.array(whole)).to_pylist()):
+            keys[k] = exact_key(t)
+        out += keys
+    return pa.array([None if null else x for x, null in zip(out, c.is_null().to_pylist())], pa.string())
 
 
 def normal_form(c: Column | str, form: str) -> Column:
