@@ -109,3 +109,71 @@ def test_a_large_file_is_cut_without_loss():
     i, j = A.confident(s, t, most=20_000)
     assert len(set(zip(i.tolist(), j.tolist())) & want) > 0.9 * len(i)
     assert A.rectangles(made_side(["a b"] * 50), made_side(["a b"] * 50), 10) == [(0, 50, 0, 50)]
+
+
+def test_a_file_of_more_than_a_million_cells_is_whole():
+    """A passage with the only numbers of the file, moved over 300 lines: cut there, the lines between are on different sides."""
+    rng = random.Random(6)
+    vocab = {f"w{a}{b}": f"ک{chr(0x628 + i)}{chr(0x62a + j)}" for i, a in enumerate("abcdefghij") for j, b in enumerate("klmnopqr")}
+    lines = [rng.choices(list(vocab), k=rng.randrange(5, 40)) + ([str(10_000 + k)] if 500 <= k < 506 else []) for k in range(1100)]
+    order = [*range(500), *range(506, 800), *range(500, 506), *range(800, 1100)]
+    s, t = made_side([" ".join(x) for x in lines]), made_side([" ".join(vocab.get(w, w) for w in lines[k]) for k in order])
+    pairs = lambda found: list(zip(*(x.tolist() for x in found)))
+    words = [(A.fold(pa.array([a]))[0][0], A.fold(pa.array([b]))[0][0]) for a, b in vocab.items()]
+    lexicon = A.Lexicon(*(np.array(x) for x in zip(*words)), np.full(len(words), 0.9))
+    want = {(k, i) for i, k in enumerate(order)}
+    assert len(set(pairs(A.confident(s, t))) & want) > 0.95 * len(want)
+    assert pairs(A.confident(s, t)) == pairs(A.confident(s, t, most=10**9))
+    assert pairs(A.by_words(s, t, lexicon)) == pairs(A.by_words(s, t, lexicon, most=10**9))
+    assert {x[:2] for x in pairs(A.by_words(s, t, lexicon))} >= want
+
+
+def test_sizes_of_strips_do_not_change_ways_or_scores(monkeypatch):
+    rng = np.random.default_rng(7)
+    tables = []
+    for n, m in ((1, 1), (1, 9), (9, 1), (40, 60), (60, 40), (75, 75)):
+        for low, high in ((-1, 2), (-3, 2), (0, 1)):  # many equal ways
+            x = rng.integers(low, high, (3, n, m)).astype(float)
+            x[1, 0] = -1e9
+            tables.append(x)
+    x = np.full((3, 50, 90), -1.0)
+    x[0, np.arange(50), np.arange(40, 90) * (np.arange(50) > 20)] = 1  # a passage left out that is longer than a strip
+    tables.append(x)
+
+    def ways():
+        return [[z.tolist() for z in A.align(lambda i, k, low, high: x[:, i:k, low:high], *x.shape[1:])] for x in tables]
+
+    def best(x):
+        total = np.zeros((x.shape[1] + 1, x.shape[2] + 1))
+        for i in range(1, total.shape[0]):
+            for j in range(1, total.shape[1]):
+                ways = [total[i - 1, j], total[i, j - 1], total[i - 1, j - 1] + x[0, i - 1, j - 1]]
+                ways += [total[i - 2, j - 1] + x[1, i - 1, j - 1]] if i > 1 else []
+                ways += [total[i - 1, j - 2] + x[2, i - 1, j - 1]] if j > 1 else []
+                total[i, j] = max(ways)
+        return total[-1, -1]
+
+    def value(x, i, j):
+        total, k = 0, 0
+        while k < len(i):
+            two_s, two_t = k + 1 < len(i) and j[k] == j[k + 1], k + 1 < len(i) and i[k] == i[k + 1]
+            at = k + 1 if two_s or two_t else k
+            total, k = total + x[1 if two_s else 2 if two_t else 0, i[at], j[at]], at + 1
+        return total
+
+    whole = ways()
+    assert [value(x, *way) for x, way in zip(tables, whole)] == [best(x) for x in tables]
+    rows, _ = corpus(3)
+    every = [[r[3] for r in rows if r[1] == side] for side in (A.SOURCE, A.TARGET)]
+    s, t = made_side(every[0] * 2), made_side(every[1] * 2)  # lines that occur again
+    word = np.unique(s.word)
+    lexicon = A.Lexicon(np.repeat(word, 3), rng.choice(np.unique(t.word), 3 * len(word)), rng.random(3 * len(word)))
+    aligned = lambda: [[x.tolist() for x in z] for z in (A.confident(s, t), A.by_words(s, t, lexicon))]
+    found = aligned()
+    for block, cells, tile, parts in ((2000, 30, 7, 16), (5, 10**6, 1, 2), (2000, 500, 13, 3), (1, 1, 50, 16)):
+        monkeypatch.setattr(A, "CELLS", cells)
+        monkeypatch.setattr(A, "TILE", tile)
+        monkeypatch.setattr(A, "PARTS", parts)
+        monkeypatch.setattr(A.align, "__defaults__", (block,))
+        assert ways() == whole
+        assert aligned() == found

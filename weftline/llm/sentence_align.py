@@ -9,12 +9,10 @@ are paired where they are each other's best match.
 Defined cases: null, blank and `nan` lines keep their numbers and are in no pair; a file with one side
 only gives none; lines without a number are ignored; a repeated line number is kept as a line of its own with that number; ties go to the
 smaller line number; sides other than the two named and other columns are ignored; an empty table gives an empty
-result. Every file is aligned by one task. The tables lines x lines are made for at most
-BLOCK source lines and about CELLS cells at a time: the dynamic programming keeps the totals between such
-strips and goes back over them in windows, so results do not depend on these sizes. A file whose table has more than
-TABLE cells is cut where lines that alone share a number or code stand in order on both sides (see `rectangles`), so that
-its time grows with its lines; where there are none it stays whole, and time grows with the product of its sides.
-Lines out of order are sought in the whole file in any case. Memory grows with the lines of a file.
+result. Every file is aligned by one task and as a whole, whatever its size: time grows with the product of its sides. The tables
+lines x lines are made for at most BLOCK source lines and about CELLS cells at a time: the dynamic programming keeps the totals
+between some strips and where the way to them comes from, and goes back over the part of each strip that the way passes, so results do
+not depend on these sizes. Lines out of order are sought in the whole file. Memory grows with the lines of a file.
 """
 
 from __future__ import annotations
@@ -39,9 +37,10 @@ SOURCE, TARGET = "eng_Latn", "kas_Arab"
 BLOCK, CELLS = 2000, 4_000_000
 #: Lines a side of the tables words x lines behind them.
 TILE = 1000
-#: Cells of the table of a file that is aligned as a whole where it can be cut; lines between anchors that confirm each
-#: other, and how much their distance may differ on the two sides.
-TABLE, NEAR, DRIFT = 1_000_000, 60, 12
+#: Strips of a table that is larger, between which totals are kept.
+PARTS = 16
+#: Lines between anchors that confirm each other, and how much their distance may differ on the two sides.
+NEAR, DRIFT = 60, 12
 #: Variance of the length difference a character, and prior costs of beads, of the length model.
 VARIANCE = 6.8
 ONE_ONE, SKIP_ONE, TWO_ONE = 0.1, 4.5, 2.4
@@ -98,23 +97,48 @@ def strips(n: int, m: int, block: int) -> list[tuple[int, int]]:
     return [(i, min(n, i + step)) for i in range(0, n, step)]
 
 
-def sweep(one: np.ndarray, two_s: np.ndarray, two_t: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Totals and moves of some rows of the dynamic programming; above: the totals of the two rows before."""
+def options(one: np.ndarray, two_s: np.ndarray, two_t: np.ndarray, last: np.ndarray, above: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(columns to the left, whether two rows up, totals) of the moves 3, 4 and 5 to a row; above, last: the totals of the two rows before."""
+    yield 1, 0, last[:-1] + one
+    yield 1, 1, above[:-1] + two_s
+    yield 2, 0, last[:-2] + two_t[1:]
+
+
+def sweep(one: np.ndarray, two_s: np.ndarray, two_t: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Moves of some rows of the dynamic programming; above: the totals of the two rows before.
+
+    1 and 2 leave out a first or second line, 3, 4 and 5 are beads of 1-1, 2-1 and 1-2. Of equal ones the least is taken, 2 only if it is better.
+    """
     n, m = one.shape
-    total, move = np.zeros((n + 2, m + 1)), np.zeros((n, m + 1), np.int8)
-    total[:2] = above
+    move, (before, last) = np.ones((n, m + 1), np.int8), above
     for i in range(n):
-        options = np.full((4, m + 1), -np.inf)
-        options[0] = total[i + 1]
-        options[1, 1:] = total[i + 1, :-1] + one[i]
-        options[2, 1:] = total[i, :-1] + two_s[i]
-        options[3, 2:] = total[i + 1, :-2] + two_t[i, 1:]
-        best = options.argmax(0)
-        value = options[best, np.arange(m + 1)]
+        value = last.copy()
+        for k, (shift, _, total) in enumerate(options(one[i], two_s[i], two_t[i], last, before), 3):
+            better = total > value[shift:]
+            np.copyto(value[shift:], total, where=better)
+            np.copyto(move[i, shift:], k, where=better)
         run = np.maximum.accumulate(value)
-        move[i] = np.where(run > value + 1e-9, 2, np.array([1, 3, 4, 5], np.int8)[best])
-        total[i + 2] = np.maximum(run, value)
-    return total, move
+        np.copyto(move[i], 2, where=run > value)
+        before, last = last, run
+    return move
+
+
+def forward(rewards, rows: tuple[int, int], low: int, high: int, above: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of the last two of some rows, and the column in which the way that sweep takes to each comes from above."""
+    before, last = above
+    every = np.arange(high - low + 1, dtype=np.int32)
+    come_before, come = every, every
+    for a, b in strips(rows[1] - rows[0], high - low, block):
+        for each in zip(*rewards(rows[0] + a, rows[0] + b, low, high)):
+            value, start = last.copy(), come.copy()
+            for shift, two_up, total in options(*each, last, before):
+                better = total > value[shift:]
+                np.copyto(value[shift:], total, where=better)
+                np.copyto(start[shift:], (come_before if two_up else come)[:-shift], where=better)
+            run = np.maximum.accumulate(value)
+            come_before, come = come, start[np.maximum.accumulate(np.where(run > value, 0, every))]
+            before, last = last, run
+    return np.stack([before, last]), np.stack([come_before, come])
 
 
 def align(rewards, n: int, m: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -122,30 +146,29 @@ def align(rewards, n: int, m: int, block: int = BLOCK) -> tuple[np.ndarray, np.n
 
     rewards(i, k, low, high) gives for the lines i to k and low to high one[i, j], the reward of i with
     j, two_s[i, j], of i - 1 and i with j, and two_t[i, j], of i with j - 1 and j. Returns pairs (i, j),
-    a bead of three lines as two of them. The totals between strips are kept; on the way back a strip is
-    done again in a window of columns, which is widened until it reaches the total known for its end.
+    a bead of three lines as two of them.
+
+    Of a table that is too large, totals are kept between PARTS strips only, with the column of the border above in which
+    the way to each of them starts. So the way back is known at the borders, and each strip is done again
+    between the two columns that it passes there: the totals on the way and the moves are the same as in the whole table.
     """
-    parts = strips(n, m, block)
-    above = np.vstack([np.full(m + 1, -np.inf), np.zeros(m + 1)])
-    borders = []
-    for i, k in parts:
-        borders.append(above)
-        total, move = sweep(*rewards(i, k, 0, m), above)
-        above = total[-2:]
-    pairs, i, j = [], n, m
-    for (start, stop), above in zip(reversed(parts), reversed(borders)):
-        low = 0
-        if len(parts) > 1:
-            # a bead of two source lines may have passed the border
-            goal, width = (after[1] if i == stop else after[0])[j] if stop < n else total[-1, j], 2 * (stop - start) + 50
-            while True:
-                low = max(0, j - width)
-                again, move = sweep(*rewards(start, i, low, j), above[:, low : j + 1])
-                if low == 0 or again[-1, -1] >= goal - 1e-7:
-                    break
-                width *= 2
-        after = above
-        while i > start and (i > 0 or j > 0):
+    pairs: list[tuple[int, int]] = []
+
+    def back(start: int, i: int, low: int, j: int, above: np.ndarray) -> tuple[int, int]:
+        """Follows the way from (i, j) up to the row start, at most one above it by a bead of two source lines."""
+        if i - start > 1 and (i - start > block or (i - start) * (j - low) > CELLS):
+            step, borders = -(-(i - start) // PARTS), []
+            for a in range(start, i, step):
+                below, come = forward(rewards, (a, min(i, a + step)), low, j, above, block)
+                borders.append((a, min(i, a + step), above, come))
+                above = below
+            for a, b, top, come in reversed(borders):
+                if i > a:
+                    first = int(come[1 if i == b else 0][j - low])
+                    i, j = back(a, i, low + first, j, top[:, first : j - low + 1])
+            return i, j
+        move = sweep(*rewards(start, i, low, j), above)
+        while i > start:
             k = move[i - 1 - start, j - low]
             if k == 1:
                 i -= 1
@@ -155,11 +178,14 @@ def align(rewards, n: int, m: int, block: int = BLOCK) -> tuple[np.ndarray, np.n
                 pairs.append((i - 1, j - 1))
                 i, j = i - 1, j - 1
             elif k == 4:
-                pairs += [(i - 1, j - 1), (i - 2, j - 1)]
+                pairs.extend([(i - 1, j - 1), (i - 2, j - 1)])
                 i, j = i - 2, j - 1
             else:
-                pairs += [(i - 1, j - 1), (i - 1, j - 2)]
+                pairs.extend([(i - 1, j - 1), (i - 1, j - 2)])
                 i, j = i - 1, j - 2
+        return i, j
+
+    back(0, n, 0, m, np.stack([np.full(m + 1, -np.inf), np.zeros(m + 1)]))
     found = np.array(pairs[::-1], np.int64).reshape(-1, 2)
     return found[:, 0], found[:, 1]
 
@@ -174,17 +200,31 @@ def shifted(x: np.ndarray, axis: int) -> np.ndarray:
     return out
 
 
-def by_length(s: Side, t: Side, block: int = BLOCK, most: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
+def by_length(s: Side, t: Side, block: int = BLOCK, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of the alignment by length."""
     ratio = max(0.2, min(5.0, t.size.sum() / max(1, s.size.sum())))
     a, b = s.size.astype(float), t.size.astype(float)
     a2, b2 = a + np.concatenate([[0.0], a[:-1]]), b + np.concatenate([[0.0], b[:-1]])
     gain = SKIP_ONE * 2
 
+    distinct = [np.unique(x, return_inverse=True) for x in (a, b, a2, b2)]
+    tables: dict[tuple[int, int], np.ndarray] = {}  # of the costs of distinct lengths, which are fewer than the lines
+
+    def cost(x: int, y: int, i: int, k: int, low: int, high: int) -> np.ndarray:
+        (first, own), (second, other) = distinct[x], distinct[y]
+        own, other = own[i:k], other[low:high]
+        if (k - i) * (high - low) <= len(first) * len(second):
+            return length_cost(first[own][:, None], second[other][None, :], ratio)
+        if (x, y) not in tables:
+            tables[x, y] = length_cost(first[:, None], second[None, :], ratio)
+        out = np.empty((k - i, high - low))
+        for r, line in enumerate(own):
+            np.take(tables[x, y][line], other, out=out[r], mode="clip")
+        return out
+
     def rewards(i: int, k: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, y, x2, y2 = a[i:k, None], b[None, low:high], a2[i:k, None], b2[None, low:high]
-        one = gain - ONE_ONE - length_cost(x, y, ratio)
-        two_s, two_t = gain * 1.5 - TWO_ONE - length_cost(x2, y, ratio), gain * 1.5 - TWO_ONE - length_cost(x, y2, ratio)
+        one = gain - ONE_ONE - cost(0, 1, i, k, low, high)
+        two_s, two_t = gain * 1.5 - TWO_ONE - cost(2, 1, i, k, low, high), gain * 1.5 - TWO_ONE - cost(0, 3, i, k, low, high)
         if i == 0:
             two_s[:1] = -1e9
         return one, two_s, two_t
@@ -239,14 +279,15 @@ def rising(j: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], np.int64)
 
 
-def rectangles(s: Side, t: Side, most: int) -> list[tuple[int, int, int, int]]:
+def rectangles(s: Side, t: Side, most: int | None) -> list[tuple[int, int, int, int]]:
     """(first, end, first, end) of the parts of both sides that are aligned by themselves: all, if their table has `most` cells at most.
 
-    Larger ones are cut before pairs of lines that alone share a number or code, which keep the order of each other, and
+    Without `most` every file is whole; no query gives it, since a cut can change the pairs. Larger ones are cut before
+    pairs of lines that alone share a number or code, which keep the order of each other, and
     of which two neighbours stand at the same distance on both sides. A file without such pairs stays whole.
     """
     n, m = len(s.no), len(t.no)
-    if n * m <= most:
+    if most is None or n * m <= most:
         return [(0, n, 0, m)]
     lone = []
     for z in (s, t):
@@ -284,7 +325,7 @@ def align_parts(rewards, parts: list[tuple[int, int, int, int]], block: int) ->
     return tuple(np.concatenate([x[side] + part[2 * side] for x, part in zip(found, parts)]) for side in range(2))
 
 
-def confident(s: Side, t: Side, block: int = BLOCK, most: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
+def confident(s: Side, t: Side, block: int = BLOCK, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """One-to-one pairs by length that no anchor contradicts."""
     n, m = len(s.no), len(t.no)
     i, j = by_length(s, t, block, most)
@@ -449,14 +490,17 @@ class Coverage:
         best = np.zeros(len(used) * len(others), np.float32)
         cell = np.repeat(np.repeat(np.arange(len(used)), n) * len(others), times) + line[spans(low, times)]
         np.maximum.at(best, cell, np.repeat(near[entry], times))
-        best, weight = best.reshape(len(used), len(others)), self.sides[side][2][x]
-        out = np.zeros((len(lines), len(others)), np.float32)
-        step = max(1, CELLS * len(lines) // (len(x) * len(others)))
-        for i in range(0, len(lines), step):  # lines hold a word at least
-            k = min(len(lines), i + step)
-            own = slice(start[i], start[k])
-            out[i:k] = np.add.reduceat(best[local[own]] * weight[own, None], start[i:k] - start[i], axis=0)
-        return out / np.add.reduceat(weight, start[:-1])[:, None]
+        weight = self.sides[side][2]
+        best = best.reshape(len(used), len(others)) * weight[used][:, None]
+        long = np.diff(start)
+        order = np.argsort(-long, kind="stable")
+        first, longer = start[:-1][order], len(long) - np.searchsorted(np.sort(long), np.arange(1, long.max()), "right")
+        total = best[local[first]]  # lines hold a word at least
+        for k, n in enumerate(longer.tolist(), 1):  # in the order of the words, so that a sum is the same in any table
+            total[:n] += best[local[first[:n] + k]]
+        out = np.empty_like(total)
+        out[order] = total
+        return out / np.add.reduceat(weight[x], start[:-1])[:, None]
 
     def of(self, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lines x lines, both ways."""
@@ -480,7 +524,7 @@ class Coverage:
         return out
 
 
-def by_words(s: Side, t: Side, lexicon: Lexicon, block: int = BLOCK, most: int = TABLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def by_words(s: Side, t: Side, lexicon: Lexicon, block: int = BLOCK, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j, score) of the final alignment of a file."""
     n, m = len(s.no), len(t.no)
     cover = Coverage(s, t, lexicon, block)
